@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dokuma.llm import formatting_dups, packing, source_mix, term_counts
+from dokuma.llm import bpe, formatting_dups, packing, source_mix, term_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_terms": term_counts.p4_terms,
         "p5_found": source_mix.p5_found,
         "p5_report": source_mix.p5_report,
+        "p8_ids": bpe.p8_ids,
+        "p8_roundtrip": bpe.p8_roundtrip,
     }
 
 
@@ -72,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _TERMS + "SELECT token, token_type, mark FROM marked WHERE mark IS NOT NULL",
         "p4_terms": _TERMS + "SELECT token, token_type, occurrences, records, mark FROM marked",
         "p5_found": _MIX,
+        "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
