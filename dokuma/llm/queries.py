@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dokuma.llm import bpe, formatting_dups, packing, source_mix, split_overlap, term_counts
+from dokuma.llm import bpe, formatting_dups, leakage, packing, source_mix, split_overlap, term_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_report": split_overlap.p7_report,
         "p8_ids": bpe.p8_ids,
         "p8_roundtrip": bpe.p8_roundtrip,
+        "p9_found": leakage.p9_found,
+        "p9_items": leakage.p9_items,
     }
 
 
