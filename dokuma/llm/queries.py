@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dokuma.llm import bpe, formatting_dups, leakage, packing, source_mix, split_overlap, term_counts
+from dokuma.llm import bpe, formatting_dups, leakage, packing, source_mix, split_overlap, structure, term_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_terms": term_counts.p4_terms,
         "p5_found": source_mix.p5_found,
         "p5_report": source_mix.p5_report,
+        "p6_found": structure.p6_found,
+        "p6_statistics": structure.p6_statistics,
         "p7_found": split_overlap.p7_found,
         "p7_report": split_overlap.p7_report,
         "p8_ids": bpe.p8_ids,
