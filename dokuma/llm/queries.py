@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dokuma.llm import bpe, formatting_dups, leakage, packing, source_mix, split_overlap, structure, term_counts
+from dokuma.llm import bpe, formatting_dups, leakage, packing, reading_level, source_mix, split_overlap, structure, term_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_roundtrip": bpe.p8_roundtrip,
         "p9_found": leakage.p9_found,
         "p9_items": leakage.p9_items,
+        "p10_found": reading_level.p10_found,
+        "p10_levels": reading_level.p10_levels,
     }
 
 
