@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dokuma.llm import bpe, formatting_dups, leakage, packing, reading_level, source_mix, split_overlap, structure, term_counts
+from dokuma.llm import bpe, formatting_dups, leakage, packing, pair_defects, reading_level, source_mix, split_overlap, structure, term_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": pair_defects.p1_found,
+        "p1_summary": pair_defects.p1_summary,
         "p2_found": packing.p2_found,
         "p2_fill": packing.p2_fill,
         "p3_found": formatting_dups.p3_found,
