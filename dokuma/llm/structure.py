@@ -29,11 +29,13 @@ from dokuma.session import small_batches
 from dokuma.sources.tables import table
 
 KINDS = ("prose", "list", "table", "junk")
-#: Marked documents of each kind used for fitting at most, those of the smallest hash of doc_id.
-FIT_ROWS = 400
+#: Marked documents used for fitting at most, those of the smallest hash of doc_id, so
+#: that kinds come in their natural shares.
+FIT_ROWS = 1600
 #: Profiles of each kind at most, the weight of the distance of the basic counts (the
 #: divergences have weight 1), and neighbours that vouch for a mark.
-PROFILES, COUNT_WEIGHT, NEIGHBOURS = 24, 3.0, 5
+PROFILES, COUNT_WEIGHT, NEIGHBOURS = 24, 3.0, 7#: How much more than other counts those of repetition weigh.
+REPEATS = 4.0
 
 #: Frequent function words of five languages, folded; fixed values.
 FUNCTION_WORDS = {
@@ -188,11 +190,10 @@ class Stats:
         s = len(WORD_SHAPES)
         self.shapes = np.bincount(w.doc * s + shape, minlength=n * s).reshape(n, s) / nw1[:, None]
         # repetition
-        distinct = np.bincount(np.unique(np.stack((w.doc, (w.hash >> np.uint64(1)).astype(np.int64))), axis=1)[0], minlength=n) / nw1 if len(w.hash) else np.zeros(n)
+        distinct = distinct_per_text(w.doc, w.hash, n) / nw1
         g, at = w.shingles(3)
-        ng = np.bincount(w.doc[at], minlength=n) if len(at) else np.zeros(n)
-        ug = np.bincount(np.unique(np.stack((w.doc[at], (g >> np.uint64(1)).astype(np.int64))), axis=1)[0], minlength=n) if len(at) else np.zeros(n)
-        trigram = np.where(ng > 0, ug / np.maximum(ng, 1), 1.0)
+        ng = np.bincount(w.doc[at], minlength=n)
+        trigram = np.where(ng > 0, distinct_per_text(w.doc[at], g, n) / np.maximum(ng, 1), 1.0)
         self._line_stats(texts, cps, cls, sep, doc, begin, ix, n)
         verb_share = np.bincount(w.doc[isverb], minlength=n) / nw1 if len(isverb) else np.zeros(n)
         letters = self.chars[:, [ix["vowel"], ix["consonant"], ix["upper"], ix["otherletter"]]].sum(1)
@@ -293,6 +294,14 @@ class Stats:
         self.line_words = np.bincount(ldoc, weights=words, minlength=n) / nl
 
 
+def distinct_per_text(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of each text; 44 bits of a hash tell apart those of one text."""
+    key = np.sort(doc.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.bincount((key[new] >> np.uint64(44)).astype(np.int64), minlength=n)
+
+
 def isf_share(isf: np.ndarray, doc: np.ndarray, nw1: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[isf], minlength=n) / nw1 if len(isf) else np.zeros(n)
 
@@ -301,9 +310,11 @@ def features(s: Stats) -> tuple[list[np.ndarray], np.ndarray]:
     """(distributions, basic counts) that profiles are compared by."""
     extra = np.stack([s.quantities, s.bullets, s.digit_lines, s.short_lines, np.minimum(s.line_words / 20, 1.5)], 1)
     dists = [s.chars, s.func, s.shapes, s.lines]
+    counts = s.counts.copy()
+    counts[:, [COUNTS.index("distinct_share"), COUNTS.index("trigram_share")]] *= REPEATS
     for d in dists:
         d /= np.maximum(d.sum(1, keepdims=True), 1e-12)
-    return dists, np.concatenate((s.counts, extra), 1)
+    return dists, np.concatenate((counts, extra), 1)
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -344,16 +355,21 @@ class Profiles:
 def fit(parts: list[np.ndarray], kinds: np.ndarray, trusted: int = 0, most: int = PROFILES) -> Profiles:
     """Profiles of marked texts.
 
-    A mark is dropped as wrong when all neighbours bear other marks; the last ``trusted``
-    rows are kept. Groups are made around texts that are chosen farthest first, so rare
-    structures get a profile of their own.
+    A mark is dropped as wrong when most neighbours bear one other mark and one at most
+    bears the same; the last ``trusted`` rows are kept. Groups are made around texts that
+    are chosen farthest first, so rare structures get a profile of their own; a marked
+    text that is left alone in its group makes none.
     """
     d = distance(parts, parts)
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, 1)[:, :NEIGHBOURS]
     usual = np.median(d.min(1)) if len(d) > 1 else 0.0
-    wrong = (kinds[near] != kinds[:, None]).all(1)
+    votes = np.stack([(kinds[near] == k).sum(1) for k in range(len(KINDS))], 1)
+    same = votes[np.arange(len(kinds)), kinds]
+    wrong = (same <= 1) & (votes.max(1) * 2 > NEIGHBOURS)
+    sure = np.zeros(len(kinds), bool)
     if trusted:
+        sure[-trusted:] = True
         wrong[-trusted:] = False
     np.fill_diagonal(d, 0)
     out, out_kinds = [], []
@@ -368,6 +384,8 @@ def fit(parts: list[np.ndarray], kinds: np.ndarray, trusted: int = 0, most: int
         group = dk[:, centres].argmin(1)
         for g in range(len(centres)):
             members = own[group == g]
+            if len(members) == 1 and len(own) > 20 and not sure[members[0]]:
+                continue
             out.append([x[members].mean(0) for x in parts])
             out_kinds.append(k)
     return Profiles([np.array([o[i] for o in out]) for i in range(len(parts))], np.array(out_kinds))
@@ -418,21 +436,23 @@ def parts_of(texts: list[str]) -> list[np.ndarray]:
     return [np.concatenate(x).astype(np.float32) for x in zip(*got, strict=True)]
 
 
-def marks(labels: DataFrame, column: str, per_value: int) -> DataFrame:
-    """(doc_id, value) of at most ``per_value`` marked documents of each value: the value
-    most annotators gave, ties by the smaller; those of the smallest hash of doc_id."""
+def marks(labels: DataFrame, column: str, rows: int, per_value: bool = False) -> DataFrame:
+    """(doc_id, value) of at most ``rows`` marked documents, or of so many for each value, those
+    of the smallest hash of doc_id. The value is what most annotators gave, ties by the smaller."""
     from pyspark.sql.window import Window
 
     votes = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id", F.col(column).alias("value")).agg(F.count("*").alias("n"))
     one = votes.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), "value")).alias("best")).select("doc_id", "best.value")
+    if not per_value:
+        return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     rank = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return one.withColumn("rank", rank).filter(F.col("rank") <= per_value).select("doc_id", "value")
+    return one.withColumn("rank", rank).filter(F.col("rank") <= rows).select("doc_id", "value")
 
 
-def marked_vectors(docs: DataFrame, labels: DataFrame, per_kind: int = FIT_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """The parts and kinds of the marked documents. Only their vectors, of fixed size and at most
-    per_kind for each kind, come to the driver."""
-    chosen = F.broadcast(marks(labels.filter(F.col("doc_kind").isin(*KINDS)), "doc_kind", per_kind))
+def marked_vectors(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
+    """The parts and kinds of the marked documents. Only their vectors, of fixed size and at
+    most ``rows``, come to the driver."""
+    chosen = F.broadcast(marks(labels.filter(F.col("doc_kind").isin(*KINDS)), "doc_kind", rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -482,7 +502,7 @@ def statistics(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": pdf["doc_id"].to_numpy()[start : start + len(texts)], "words": s.n_words, "chars": s.n_chars, "lines": s.n_lines, "mean_word_length": mean,
-                        "symbol_ratio": np.where(solid, c["symbol_ratio"], 0.0), "digit_ratio": c["digit_ratio"], "lines_ended": c["lines_ended"], "function_share": c["function_share"], "distinct_share": c["distinct_share"],
+                        "symbol_ratio": np.where(solid, c["symbol_ratio"], 0.0), "digit_ratio": c["digit_ratio"], "lines_ended": c["lines_ended"], "function_share": c["function_share"], "distinct_share": c["distinct_share"] / REPEATS,
                         "language": np.where(s.langs.max(1) > 0, names[s.langs.argmax(1)], None), "kind": np.where(solid, np.array(KINDS, object)[kind], None), "distance": np.where(solid, dist, 0.0),
                     }
                 )
