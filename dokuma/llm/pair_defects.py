@@ -61,7 +61,7 @@ SPOKEN = {
     "es": "el la los las de que y en un una es por con para no hay muchos muy pero esta este ellos sin siempre tambien nosotros personas se del al lo su como".split(),
 }
 VERB = re.compile(r"(?:yor|yorlar|yorum|yoruz|acak|ecek|acaklar|ecekler|m[iu]s|m[iu]slar|d[iu]|t[iu]|d[iu]lar|t[iu]lar|diler|tiler|d[iu]r|t[iu]r|maz|mez|malidir|melidir|var|yok|degil|alim|elim|arim|erim|edemem|olamam|katilamam|veremem|yapamam|olmaz|mumkun|sayilir|bilir|ilir|er|ar|ir|ur)$")
-OPEN_END = re.compile(r"(?:\b(?:ve|veya|ya da|ile|ama|ancak|fakat|cunku|gibi|icin|kadar|gore|bir|bu|su|o|hem|de|da|ki|en|daha|cok|olarak|boylece|ustelik|oysa|the|of|and|with|der|und|les|et|los|las|que)))$")
+OPEN_END = re.compile(r"(?:\b(?:ve|veya|ya da|ile|ama|ancak|fakat|cunku|gibi|icin|kadar|gore|bir|bu|su|o|hem|de|da|ki|en|daha|cok|olarak|boylece|ustelik|oysa|the|of|and|with|der|und|les|et|los|las|que))$")
 OPEN_SIGNS = tuple(":,;-([{=+*/")
 ENDERS = ".!?…。"
 LIST_MARK = re.compile(r"^\s*(?:[-*•▪·–—]|\d{1,3}[.)]|[a-zçğıöşü][.)])\s+", re.I)
