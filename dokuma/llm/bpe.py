@@ -7,7 +7,8 @@ encoding ends in a token compatible with t. ``Transducer`` turns this into an au
 over bytes: a state holds, for each place from which the bytes read so far could still
 grow into a token, the tokens not yet certain before that place. What all these places
 agree on can no longer change and is emitted; the lookahead is bounded by the longest
-token. States and transitions are made when first needed and kept in a bounded table.
+token. States and transitions are made lazily, when needed for the second time, and kept
+in a table of bounded size; before that the live places are followed as they are.
 
 ``Decoder`` goes back from ids to text piece by piece through an incremental UTF-8
 state machine. The vocabulary's path is a parameter; the driver reads the file (checked
@@ -17,7 +18,9 @@ against ``MAX_FILE``) and broadcasts it.
 from __future__ import annotations
 
 import base64
+import gc
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +37,11 @@ MAX_FILE = 64 << 20
 #: Splits text before the merges; the published pattern of the vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the piece memo and of the transition table before they are started anew.
-MEMO, TRANSITIONS = 400_000, 600_000
+MEMO, TRANSITIONS = 400_000, 400_000
 #: Longer pieces always go through the transducer.
 MEMO_CHARS = 48
 _NEVER = 1 << 30
-_BYTES = [bytes((b,)) for b in range(256)]
+_FRESH = ((0, ()),)  # the only live place is here, with nothing uncertain before it
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -76,18 +79,36 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.grows: set[bytes] = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        # a trie of the tokens: child[node << 8 | byte] is 4 * node + 2 * (it is a token) + (it may grow on)
+        self.child: dict[int, int] = {}
+        self.token_at: list[int] = [-1]
+        child, token_at = self.child, self.token_at
+        for t, i in ranks.items():
+            node = 0
+            for k, b in enumerate(t):
+                key = node << 8 | b
+                got = child.get(key)
+                if got is None:
+                    got = child[key] = len(token_at) << 2
+                    token_at.append(-1)
+                if k + 1 < len(t):
+                    if not got & 1:
+                        child[key] = got | 1
+                else:
+                    child[key] = got | 2
+                    token_at[got >> 2] = i
+                node = got >> 2
+        self.fits: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.lefts: dict[int, list] = {}
         self.rights: dict[int, list] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = (-1, ((b"", ()),))
+        start = (-1, _FRESH)
         self.states, self.number, self.ends = [start], {start: 0}, [()]
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.met: set[int] = set()
 
     def _spine(self, t: int, right: bool) -> list[tuple[bytes, int, int]]:
         """The tokens that stand at one edge of t while it is merged together, from the
@@ -115,14 +136,13 @@ class Transducer:
         up while its two sides stand there. Of equal ranks the leftmost merge is first,
         so a merge inside left goes before one of the same rank across, which in turn
         goes before one inside right."""
-        if left < 0:
-            return True
-        ok = self.fits.get((left, right))
+        ok = self.fits.get(left << 20 | right)
         if ok is None:
             ok = True
             ranks = self.ranks
+            first = self._spine(right, False)
             for a, a_from, a_to in self._spine(left, True):
-                for b, b_from, b_to in self._spine(right, False):
+                for b, b_from, b_to in first:
                     if b_from < a_to and a_from <= b_to:
                         c = ranks.get(a + b)
                         if c is not None and a_from < c < a_to and b_from < c <= b_to:
@@ -132,46 +152,87 @@ class Transducer:
                     break
             if len(self.fits) >= TRANSITIONS:
                 self.fits.clear()
-            self.fits[left, right] = ok
+            self.fits[left << 20 | right] = ok
         return ok
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition on a byte: a live place is (bytes since it, uncertain tokens before it)."""
+        """The transition on a byte: a live place is (trie node of the bytes since
+        it, uncertain tokens before it)."""
         last, places = self.states[state]
-        c, here, live = _BYTES[byte], None, []
-        ranks, grows = self.ranks, self.grows
+        here, live = None, []
+        child, fits, token_at = self.child, self.fits, self.token_at
         for since, chain in places:
-            grown = since + c
-            if here is None:
-                t = ranks.get(grown)
-                if t is not None and self._compatible(chain[-1] if chain else last, t):
+            grown = child.get(since << 8 | byte)
+            if grown is None:
+                continue
+            if grown & 2 and here is None:
+                t = token_at[grown >> 2]
+                left = chain[-1] if chain else last
+                ok = left < 0 or fits.get(left << 20 | t)
+                if ok or ok is None and self._compatible(left, t):
                     here = (*chain, t)
-            if grown in grows:
-                live.append((grown, chain))
-        live.append((b"", here))
-        first, sure = live[0][1], 0
-        if len(live) == 1:
-            sure = len(first)
-        elif first:  # the oldest place has the fewest uncertain tokens
-            while sure < len(first) and all(ch[sure : sure + 1] == first[sure : sure + 1] for _, ch in live):
-                sure += 1
-        if sure:
-            last = first[sure - 1]
-            live = [(g, ch[sure:]) for g, ch in live]
-        key = (last, tuple(live))
+            if grown & 1:
+                live.append((grown >> 2, chain))
+        if not live:  # nothing can grow on: all is certain
+            key, out = (here[-1], _FRESH), here
+        else:
+            live.append((0, here))
+            out = live[0][1]  # the oldest place has the fewest uncertain tokens
+            if out:
+                sure = len(out)
+                for _, ch in live:
+                    while ch[:sure] != out[:sure]:
+                        sure -= 1
+                if sure:
+                    last, out = out[sure - 1], out[:sure]
+                    live = [(g, ch[sure:]) for g, ch in live]
+                else:
+                    out = ()
+            key = (last, tuple(live))
         n = self.number.get(key)
         if n is None:
             n = self.number[key] = len(self.states)
             self.states.append(key)
-            self.ends.append(live[-1][1])
-        return n, first[:sure]
+            self.ends.append(key[1][-1][1])
+        return n, out
+
+    def _finish(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """The ids still to come when ``rest`` is read from a state, without making states."""
+        last, places = self.states[state]
+        child, fits, token_at = self.child, self.fits, self.token_at
+        for byte in rest:
+            here, live = None, []
+            for since, chain in places:
+                grown = child.get(since << 8 | byte)
+                if grown is None:
+                    continue
+                if grown & 2 and here is None:
+                    t = token_at[grown >> 2]
+                    left = chain[-1] if chain else last
+                    ok = left < 0 or fits.get(left << 20 | t)
+                    if ok or ok is None and self._compatible(left, t):
+                        here = (*chain, t)
+                if grown & 1:
+                    live.append((grown >> 2, chain))
+            live.append((0, here))
+            places = live
+        return places[-1][1]
 
     def encode_bytes(self, piece: bytes) -> list[int]:
+        """A transition is made when it is needed for the second time, or in a long piece;
+        what follows a first need is read off the live places alone."""
         out: list[int] = []
-        state, step = 0, self.step
-        for b in piece:
-            move = step.get(state << 8 | b)
+        state, step, met = 0, self.step, self.met
+        for i, b in enumerate(piece):
+            key = state << 8 | b
+            move = step.get(key)
             if move is None:
+                if key not in met and len(piece) <= MEMO_CHARS:
+                    if len(met) >= TRANSITIONS:
+                        met.clear()
+                    met.add(key)
+                    out.extend(self._finish(state, piece[i:]))
+                    return out
                 if len(step) >= TRANSITIONS:
                     last = self.states[state]
                     self._reset()
@@ -179,19 +240,28 @@ class Transducer:
                     if state == len(self.states):
                         self.states.append(last)
                         self.ends.append(last[1][-1][1])
-                move = step[state << 8 | b] = self._make(state, b)
+                    key = state << 8 | b
+                move = step[key] = self._make(state, b)
             state = move[0]
             if move[1]:
                 out.extend(move[1])
         out.extend(self.ends[state])
         return out
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        got = tuple(self.encode_bytes(piece.encode("utf-8", "replace")))
+
+class _Memo(dict):
+    """piece -> its ids as bytes of 32-bit integers; what is missing goes through the transducer."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.encode_bytes = transducer.encode_bytes
+
+    def __missing__(self, piece: str) -> bytes:
+        got = array("i", self.encode_bytes(piece.encode("utf-8", "replace"))).tobytes()
         if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = got
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = got
         return got
 
 
@@ -202,17 +272,16 @@ class Encoder:
         import regex
 
         self.transducer = Transducer(parse_ranks(data))
+        self.memo = _Memo(self.transducer)
         self.pieces = regex.compile(PATTERN).findall
 
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids without special tokens, as bytes of 32-bit integers; none for null and empty texts."""
+        return b"".join(map(self.memo.__getitem__, self.pieces(text))) if text else b""
+
     def encode(self, text: str | None) -> list[int]:
         """Ids without special tokens; null and empty texts give an empty list."""
-        out: list[int] = []
-        if not text:
-            return out
-        memo, extend, new = self.transducer.memo.get, out.extend, self.transducer.encode_piece
-        for p in self.pieces(text):
-            extend(memo(p) or new(p))
-        return out
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
 
 class Decoder:
@@ -249,9 +318,14 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def encoder_of(data: bytes) -> Encoder:
-    """One encoder a Python worker, kept between batches and tasks."""
+    """One encoder a Python worker, kept between batches and tasks.
+
+    Its tables hold no cycles, so reference counts free all there is to free; the cycle
+    collector, which would walk through every state again and again, is turned off.
+    """
     key = hash(data)
     if key not in _ENCODERS:
+        gc.disable()
         _ENCODERS[key] = Encoder(data)
     return _ENCODERS[key]
 
@@ -267,12 +341,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     held = spark.sparkContext.broadcast(read_vocabulary(path or os.path.join(TOKENIZERS, VOCAB)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_of(held.value).encode
+        enc = encoder_of(held.value).encode_packed
         for batch in batches:
-            ids = [np.array(enc(t), np.int32) for t in batch.column(1).to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], [id_col, "ids"])
+            packed = [enc(t) for t in batch.column(1).to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64))).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
