@@ -21,7 +21,7 @@ from dokuma.functions.lexicon import Lexicon
 from dokuma.functions.text import PUNCTUATION, nfc
 from dokuma.operators import segment
 from dokuma.operators.spans import NUMBER, Span, apostrophe_parts, expansion, find_spans, number_and_unit, turkish_small
-from dokuma.session import small_batches
+from dokuma.session import small_batches, spread
 
 SPECIAL_TYPES = frozenset("NUM DATE UNIT URL MENTION HASHTAG EMOJI ACRONYM EMAIL TECH".split())
 ALL_TYPES = SPECIAL_TYPES | frozenset("ROOT SUFFIX FOREIGN PUNCT".split())
@@ -32,6 +32,7 @@ TOKEN = T.StructType(
     [T.StructField(f, T.IntegerType() if f == "morph_pos" else T.ArrayType(T.StringType()) if f in ("parts", "flags") else T.StringType()) for f in FIELDS]
 )
 _ARROW = pa.struct([(f, pa.int32() if f == "morph_pos" else pa.list_(pa.string()) if f in ("parts", "flags") else pa.string()) for f in FIELDS])
+_SPACE = ["space"]
 _BLANK = re.compile(r"(\s+)")
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 _NUMBER = re.compile(NUMBER)
@@ -135,13 +136,13 @@ class Tokenizer:
             out += self._plain(core)
         return out + [token(c, "PUNCT", "punct") for c in trail]
 
-    def word(self, word: str) -> list[dict]:
-        """The annotated tokens of a word between blanks; remembered, so not to be changed."""
+    def word(self, word: str) -> list[tuple]:
+        """The finished tokens of a word between blanks; remembered, so not to be changed."""
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            got = self.memo[word] = [annotate(t) for t in self._word(word)]
+            got = self.memo[word] = finish(self._word(word))
         return got
 
     def _special(self, span: Span) -> list[dict]:
@@ -169,18 +170,32 @@ class Tokenizer:
         full = expansion(text)
         return token(text, "ACRONYM", "acronym", *(["known_acronym"] if full else []), expansion=full)
 
-    def tokenize(self, text: str | None) -> list[dict]:
-        """All tokens of a text in NFC, blanks included, with their places in their words."""
-        out: list[dict] = []
-        at = 0
-        for span in [*find_spans(text or "", self.lex), None]:
-            for part in _BLANK.split((text or "")[at : span.start if span else None]):
+    def rows(self, text: str | None) -> list[tuple]:
+        """All tokens of a text in NFC, blanks included, as tuples in the order of FIELDS."""
+        out: list[tuple] = []
+        text = text or ""
+        at, word = 0, self.word
+        for span in [*find_spans(text, self.lex), None]:
+            for part in _BLANK.split(text[at : span.start if span else None]):
                 if part:
-                    out += [token(part, "SPACE", "space")] if part.isspace() else self.word(part)
+                    if part.isspace():
+                        out.append((part, "SPACE", 0, None, None, None, None, None, None, _SPACE))
+                    else:
+                        out += word(part)
             if span:
-                out += [annotate(t) for t in self._special(span)]
+                out += finish(self._special(span))
                 at = span.end
-        return place(out)
+        return out
+
+    def tokenize(self, text: str | None) -> list[dict]:
+        """The same as dictionaries."""
+        return [dict(zip(FIELDS, t, strict=True)) for t in self.rows(text)]
+
+
+def finish(tokens: list[dict]) -> list[tuple]:
+    """Tokens of one word or span, annotated and with their places in it, as tuples. Every word and span
+    begins with a token that is no suffix, so no place depends on what stands before."""
+    return [tuple(t[f] for f in FIELDS) for t in place([annotate(t) for t in tokens])]
 
 
 def annotate(t: dict) -> dict:
@@ -230,11 +245,16 @@ def tokens(docs: DataFrame, lex: Lexicon | None = None, id_col: str = "doc_id",
         if tok is None:
             tok = cache["t"] = Tokenizer(held.value)
         for batch in batches:
-            rows = [tok.tokenize(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_ARROW))], [id_col, "tokens"])
+            rows, ends = [], [0]
+            for t in batch.column(1).to_pylist():
+                rows += tok.rows(t)
+                ends.append(len(rows))
+            columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
+            flat = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [id_col, "tokens"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("tokens", T.ArrayType(TOKEN))])
-    return docs.select(id_col, nfc(F.col(text_col)).alias(text_col)).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text_col)).select(id_col, nfc(F.col(text_col)).alias(text_col)).mapInArrow(run, schema)
 
 
 def explode_tokens(arrays: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ from dokuma.operators import encode, tokenizer
 from dokuma.operators.segment import best
 from dokuma.operators.spans import NUMBER, find_spans, turkish_small
 from dokuma.operators.tokenizer import is_caps, is_turkish_base
-from dokuma.session import small_batches
+from dokuma.session import small_batches, spread
 
 #: Patterns that count alike in any regular-expression engine.
 COUNTED = {"email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "dates": r"\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}|\d{4}[./\-]\d{1,2}[./\-]\d{1,2}", "times": r"\d{1,2}:\d{2}(?::\d{2})?", "currency": r"[$€£¥₺₽]\d+[\.,]?\d*|\d+[\.,]?\d*[$€£¥₺₽]", "numbers": NUMBER}
@@ -53,7 +53,7 @@ def spans(docs: DataFrame, lex: Lexicon) -> DataFrame:
             rows = [(d, *s) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for s in find_spans(t, held.value)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "kind", "span"])
 
-    texts = docs.filter("text is not null").select("doc_id", nfc(F.col("text")).alias("text"))
+    texts = spread(docs.filter("text is not null").select("doc_id", "text")).select("doc_id", nfc(F.col("text")).alias("text"))
     return texts.mapInPandas(run, "doc_id bigint, start int, stop int, kind string, span string")
 
 

@@ -55,3 +55,12 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch, as Python operators hold one batch at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores where a small input has fewer splits than that (a single file of one
+    row group), for work that is all CPU. Inputs with enough splits, and streams, stay as they are."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
