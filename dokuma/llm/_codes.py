@@ -17,6 +17,10 @@ BLOCK_CHARS = 400_000
 #: Separates the texts of a block; any such sign inside a text counts as a blank.
 SEP = "\x1e"
 
+#: Code points looked at one by one, and ranges of letters that have no case and no accents.
+VARIED = [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x12000), *range(0x1D400, 0x1D800), *range(0x1E900, 0x1E950)]
+PLAIN_LETTERS = ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x2FA20))
+
 _FOLD: np.ndarray | None = None
 _POW: tuple[np.ndarray, np.ndarray] | None = None
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -34,7 +38,9 @@ def fold_table() -> np.ndarray:
     global _FOLD
     if _FOLD is None:
         t = np.full(0x110000, 32, np.uint32)
-        for cp in range(0x30000):
+        for a, b in PLAIN_LETTERS:
+            t[a:b] = np.arange(a, b)
+        for cp in VARIED:
             c = chr(cp)
             kind = unicodedata.category(c)
             if kind[0] in "MC" and kind not in ("Cc", "Co", "Cn", "Cs"):

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from dokuma.session import small_batches
+from dokuma.session import small_batches, spread
 from dokuma.sources.tables import table
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -349,7 +349,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None, chunk: int = 64) -> DataFrame:

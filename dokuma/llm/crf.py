@@ -11,13 +11,14 @@ class Chain:
     def __init__(self, features: int, tags: int):
         self.emit, self.move, self.start = np.zeros((features, tags)), np.zeros((tags, tags)), np.zeros(tags)
 
-    def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], ridge: float = 1e-3, steps: int = 150, rate: float = 0.1) -> Chain:
+    def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], ridge: float = 1e-3, steps: int = 100, rate: float = 0.1) -> Chain:
         """Maximum conditional likelihood with a ridge penalty, by Adam on all sequences."""
         n, longest = len(xs), max(len(x) for x in xs)
-        d, k = self.emit.shape
-        x, y, live = np.zeros((n, longest, d)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-        for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
-            x[i, : len(a)], y[i, : len(a)], live[i, : len(a)] = a, b, True
+        k = self.emit.shape[1]
+        y, live = np.zeros((n, longest), int), np.zeros((n, longest), bool)
+        for i, b in enumerate(ys):
+            y[i, : len(b)], live[i, : len(b)] = b, True
+        x, scores = np.concatenate(xs), np.zeros((n, longest, k))
         goal = np.eye(k)[y] * live[:, :, None]
         pairs = np.zeros((k, k))
         both = live[:, 1:] & live[:, :-1]
@@ -25,9 +26,9 @@ class Chain:
         theta = [self.emit, self.move, self.start]
         m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
         for step in range(1, steps + 1):
-            one, two = self._marginals(x @ self.emit, live)
-            diff = (one - goal) * live[:, :, None]
-            grads = [np.einsum("ntd,ntk->dk", x, diff) / n + ridge * self.emit, (two - pairs) / n + ridge * self.move, (one[:, 0] - goal[:, 0]).sum(0) / n]
+            scores[live] = x @ self.emit
+            one, two = self._marginals(scores, live)
+            grads = [x.T @ (one - goal)[live] / n + ridge * self.emit, (two - pairs) / n + ridge * self.move, (one[:, 0] - goal[:, 0]).sum(0) / n]
             for j, g in enumerate(grads):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.99 * v[j] + 0.01 * g * g

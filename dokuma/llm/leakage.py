@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dokuma.llm._codes import SEP, Words, blocks, powers
-from dokuma.session import small_batches
+from dokuma.session import small_batches, spread
 from dokuma.sources.tables import table
 
 Q = 12
@@ -246,7 +246,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item_id", "doc_id", "words", "spanned", "matched"])
 
-        out = out.unionByName(docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(spread(docs.filter("doc_id is not null and text is not null").select("doc_id", "text")).mapInArrow(run, schema))
     return out.groupBy("item_id", "doc_id").agg(F.max("words").alias("words"), F.max("spanned").alias("spanned"), F.max("matched").alias("matched"))
 
 

@@ -29,7 +29,7 @@ from dokuma.sources.tables import table
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs that the field is fitted on at most, those of the smallest hash of example_id.
-FIT_ROWS = 500
+FIT_ROWS = 300
 #: Clauses of a response that is used for fitting at most.
 LONGEST = 14
 #: Share of the words that makes an echo or a foreign answer the pair's defect.
@@ -242,6 +242,11 @@ FOREIGN = [
 ]
 
 
+#: Pairs to fit on besides those of the table, and the ways each is broken off.
+SEED_CUTS = 8
+SEEDS = [("Bu köprü hakkında bilgi ver.", "", "Köprü eski bir kentte kuruldu. Bugün onu her gün binlerce kişi geçiyor."), ("Bu metni özetle.", "Deniz sabah sakindi ama öğleden sonra rüzgar çıktı.", "Deniz önce sakin, sonra rüzgarlıydı."), ("3 öneri sırala.", "", "- Yeni kent yolu\n- Eski kale kapısı\n- Küçük ada limanı"), ("İki sayıyı toplayan bir Python fonksiyonu yaz.", "", "```python\ndef topla(a, b):\n    toplam = a + b\n    return toplam\n```"), ("Verilen metni aynen tekrar et.", "Yol uzun ve güzeldi.", "Yol uzun ve güzeldi.")]
+
+
 def examples(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Feature sequences and tags: pairs without a sign of a defect, and defects made from them."""
     r = random.Random(11)
@@ -258,7 +263,7 @@ def examples(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[lis
 
     where = {f: i for i, f in enumerate(FEATURES)}
     signs = [where[f] for f in ("last_open", "last_verbless", "last_cut", "list_short", "item_odd", "code_open", "bracket_open", "declines", "echo_whole", "foreign")]
-    for instruction, given, output in rows:
+    for k, (instruction, given, output) in enumerate(rows):
         if is_empty(output) or len(output) > 6000:
             continue
         req = Request(instruction, given)
@@ -278,18 +283,15 @@ def examples(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[lis
         if not req.code:
             add(req, r.choice([f for f in FOREIGN if language(fold(f).split())[0] != req.language]), "foreign")
         end = len(stripped(output))
-        if end > 40 and not req.repeats:
-            cut = output[: r.randint(end // 3, end - 8)].rstrip(" .!?…")
-            got = describe(req, cut)[0]
-            if len(got) and got[-1, signs[:7]].any():
-                add(req, cut, "unfinished", last_only=True)
+        for _ in range(SEED_CUTS if k < len(SEEDS) else 1):
+            if end > 40 and not req.repeats:
+                cut = output[: r.randint(end // 3, end - 8)].rstrip(" .!?…")
+                got = describe(req, cut)[0]
+                if len(got) and got[-1, signs[:7]].any():
+                    add(req, cut, "unfinished", last_only=True)
     return xs, ys
 
 
-#: Pairs to fit on where a table has none.
-SEEDS = [("Bu köprü hakkında bilgi ver.", "", "Köprü eski bir kentte kuruldu. Bugün onu her gün binlerce kişi geçiyor."), ("Bu metni özetle.", "Deniz sabah sakindi ama öğleden sonra rüzgar çıktı.", "Deniz önce sakin, sonra rüzgarlıydı."), ("3 öneri sırala.", "", "- Yeni kent yolu\n- Eski kale kapısı\n- Küçük ada limanı"), ("Verilen metni aynen tekrar et.", "Yol uzun ve güzeldi.", "Yol uzun ve güzeldi.")]
-
-
 def fit(rows: list[tuple[str | None, str | None, str | None]]) -> Chain:
     xs, ys = examples([*SEEDS, *rows])
     return Chain(len(FEATURES), len(TAGS)).fit(xs, ys)
@@ -320,7 +322,9 @@ def defects(pairs: DataFrame, chain: Chain | None = None) -> DataFrame:
     spark = pairs.sparkSession
     small_batches(spark)
     cols = ["instruction", "input", "output"]
-    one = pairs.filter("example_id is not null").groupBy("example_id").agg(F.max(F.struct("added_at", *cols)).alias("r")).select("example_id", *[F.col(f"r.{c}").alias(c) for c in cols])
+    # so many partitions stay, as the work is all CPU and rows are few
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = pairs.filter("example_id is not null").repartition(parts, "example_id").groupBy("example_id").agg(F.max(F.struct("added_at", *cols)).alias("r")).select("example_id", *[F.col(f"r.{c}").alias(c) for c in cols])
     held = spark.sparkContext.broadcast(chain or learn(one))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dokuma.llm._codes import BLOCK_CHARS, SEP, Words, blocks, codepoints, mix
 from dokuma.llm.structure import KINDS, Profiles, Stats, features, learn, marks
-from dokuma.session import small_batches
+from dokuma.session import small_batches, spread
 from dokuma.sources.tables import table
 
 LEVELS = ("temel", "orta", "ileri")
@@ -164,8 +164,10 @@ def fit(texts: list[str], levels: np.ndarray) -> LevelModel:
     """The model of marked texts. The sentence models of one half calibrate on the other,
     then the sentence models are fitted on all; wrong marks are outvoted by their
     level's other texts."""
-    if not len(texts):
-        texts, levels = [t for t, _ in SEEDS], np.array([k for _, k in SEEDS])
+    for k, sentences in enumerate(SEEDS):
+        if (levels == k).sum() < FEW:
+            texts = [*texts, *(" ".join(sentences[(i + j) % len(sentences)] for j in range(3)) for i in range(FEW))]
+            levels = np.concatenate((levels, np.full(FEW, k)))
     halves = np.arange(len(texts)) % 2
     x = np.zeros((len(texts), 6))
     for h in (0, 1):
@@ -184,12 +186,22 @@ def _fit_on(texts: list[str], levels: np.ndarray, rows: np.ndarray) -> LevelMode
     return fit_sentences(s, levels[rows][s.doc])
 
 
-#: Plain, middling and scholarly sentences for a table without marks.
+#: Marked documents of a level under which seeds help it out.
+FEW = 12
+#: Plain, middling and scholarly sentences for a table with few marks or none.
 SEEDS = [
-    ("Ev büyük. Kedi uyudu. Anne geldi. Okul yakın. Çocuk süt içti. Top kırmızı.", 0),
-    ("Belediye yeni otobüs hatlarını dün akşam duyurdu ve pazar günü seferlerin başlayacağını söyledi. Üreticiler fiyatların yükselmesinden yakınıyor, ama kooperatif destek vereceğini açıkladı.", 1),
-    ("Kuramsal çerçevenin yöntembilimsel varsayımlarla ilişkilendirilmesi, kavramsallaştırmanın bağlamsal boyutlarının yeniden değerlendirilmesini gerektirdiğinden, bulguların genellenebilirliği sorgulanmaktadır.", 2),
-]
+    ["Ev büyük.", "Kedi uyudu.", "Anne geldi.", "Okul yakın.", "Çocuk süt içti.", "Top kırmızı.", "Kuş ağaca kondu.", "Bu elma tatlı.", "Baba evde oturdu."],
+    [
+        "Belediye yeni otobüs hatlarını dün akşam duyurdu ve pazar günü seferlerin başlayacağını söyledi.", "Üreticiler fiyatların yükselmesinden yakınıyor, ama kooperatif destek vereceğini açıkladı.",
+        "Geçen yıl kurulan dernek, bu hafta mahallede ücretsiz bir kurs başlatacak.", "Yağmur yüzünden ertelenen maç önümüzdeki çarşamba oynanacak.", "Müze yaz boyunca akşam saatlerinde de açık kalacak, böylece turistler daha rahat gezebilecek.",
+    ],
+    [
+        "Kuramsal çerçevenin yöntembilimsel varsayımlarla ilişkilendirilmesi, kavramsallaştırmanın bağlamsal boyutlarının yeniden değerlendirilmesini gerektirdiğinden, bulguların genellenebilirliği sorgulanmaktadır.",
+        "Toplumsallaşma süreçlerinin çokkatmanlı yapılandırılması, kurumsal söylemin belirsizliğini derinleştiren epistemolojik kırılmalarla açıklanmaktadır.",
+        "Niceliksel parametrelerin istatistiksel olarak sınanması, değişkenler arasındaki nedensellik bağıntısının yalnızca belirli koşullarda geçerli olduğunu göstermektedir.",
+        "Küreselleşmenin sosyokültürel yansımalarına ilişkin çözümlemeler, modernleşme kuramlarının disiplinlerarası bir yaklaşımla yeniden yorumlanmasını zorunlu kılmaktadır.",
+    ],
+]
 
 
 def verse_like(s: Stats) -> np.ndarray:
@@ -227,7 +239,7 @@ def assess(docs: DataFrame, profiles: Profiles, model: LevelModel) -> DataFrame:
                     level[at], sure[at] = np.array(LEVELS, object)[got], p
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[start : start + len(texts)], "level": level, "confidence": sure, "kind": np.where(s.n_lines > 0, np.array(KINDS, object)[kind], None)})
 
-    return docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, level string, confidence double, kind string")
+    return spread(docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInPandas(run, "doc_id bigint, level string, confidence double, kind string")
 
 
 def learn_levels(docs: DataFrame, labels: DataFrame, per_level: int = FIT_ROWS) -> LevelModel:

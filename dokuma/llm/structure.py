@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.llm._codes import Words, blocks, codepoints, word_hash
-from dokuma.session import small_batches
+from dokuma.llm._codes import PLAIN_LETTERS, VARIED, Words, blocks, codepoints, word_hash
+from dokuma.session import small_batches, spread
 from dokuma.sources.tables import table
 
 KINDS = ("prose", "list", "table", "junk")
@@ -59,7 +59,9 @@ def class_table() -> np.ndarray:
     if _CLASS is None:
         ix = {c: i for i, c in enumerate(CLASSES)}
         t = np.full(0x110000, ix["odd"], np.uint8)
-        for cp in range(0x30000):
+        for a, b in PLAIN_LETTERS:
+            t[a:b] = ix["otherletter"]
+        for cp in VARIED:
             c, k = chr(cp), unicodedata.category(chr(cp))
             if k[0] == "L":
                 base = unicodedata.normalize("NFD", c)[0].lower()
@@ -420,6 +422,9 @@ def seeds() -> tuple[list[str], list[str]]:
     tr = "Bu sabah erkenden kalktık ve denize doğru yürüdük. Yolda eski bir köprü gördük, ama kimse onu geçmiyordu. Akşam olunca herkes evine döndü ve çocuklar kitap okudu. "
     add("junk", (tr * 3).encode().decode("latin-1"), (tr * 3).encode().decode("latin-1").encode().decode("latin-1"))
     add("prose", tr * 3, tr.replace(". ", ".\n") * 3, (tr * 3).upper(), tr[:70] + "\n" + tr[70:140] + "\n" + tr[140:], "- " + tr.replace(". ", ".\n- ") * 2)
+    plain = "Ev büyük. Kedi sütü içti. Çocuk okula gitti. Anne elma aldı. Bu top çok kırmızı. Kuş ağaca kondu. "
+    learned = "Kuramsal çerçevenin yöntembilimsel varsayımlarla ilişkilendirilmesi, kavramsallaştırmanın bağlamsal boyutlarının yeniden değerlendirilmesini gerektirmektedir. Toplumsallaşma süreçlerinin yapılandırılması, kurumsal söylemin belirsizliğini derinleştiren kırılmalarla açıklanmaktadır. "
+    add("prose", plain * 2, learned * 2, learned)
     add("prose", "The people of the village have a river that they like, and it is not far from the old bridge. There was a boat, but nobody could use it. " * 3)
     add("prose", "Die Leute in dem Dorf haben einen Fluss, und sie gehen nicht ohne das Boot zu der Brücke. Es gibt auch eine Schule, die alt ist. " * 3)
     add("prose", "Les gens du village ont une rivière qui est belle, et ils ne vont pas sans le bateau dans la ville. Il y a beaucoup de ponts pour nous. " * 3)
@@ -507,7 +512,7 @@ def statistics(docs: DataFrame, profiles: Profiles) -> DataFrame:
                     }
                 )
 
-    return docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return spread(docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInPandas(run, schema)
 
 
 def _statistics(spark: SparkSession, folder: str) -> DataFrame:
