@@ -57,15 +57,18 @@ def with_ordinal(rows: DataFrame, *order: str) -> DataFrame:
     the driver, so no task sees all rows.
     """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = materialise(ranged, "ordinals")
-    part = F.shiftright("_at", 33)
-    offsets, before = [], 0
-    for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
-        offsets += [F.lit(r.part), F.lit(before)]
-        before += r.n
-    if not offsets:
-        return ranged.withColumn("ordinal", F.lit(0).cast("bigint")).drop("_at")
-    return ranged.withColumn("ordinal", (F.element_at(F.create_map(*offsets), part) + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_at")
+    ranged = materialise(ranged, "ordinals").withColumn("_part", F.shiftright("_at", 33))
+    joined = ranged.join(_offsets(ranged, "_part", F.count("*")), "_part")
+    return joined.withColumn("ordinal", (F.col("before") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_at", "_part", "before")
+
+
+def _offsets(rows: DataFrame, part: str, size: Column) -> DataFrame:
+    """(part, before): what all partitions before each add up to; one row a partition, so broadcast."""
+    sums, before = [], 0
+    for r in rows.groupBy(part).agg(size.cast("bigint").alias("n")).orderBy(part).collect():
+        sums.append((r[0], before))
+        before += r.n or 0
+    return F.broadcast(rows.sparkSession.createDataFrame(sums, f"{part} {rows.schema[part].dataType.simpleString()}, before bigint"))
 
 
 def split_global(docs: DataFrame, every: int = VAL_EVERY) -> DataFrame:
@@ -101,15 +104,9 @@ def flatten(docs: DataFrame) -> DataFrame:
     """
     ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged.select("doc_id", "ids", "part"), "sequence")
-    offsets, before = [], 0
-    for r in ranged.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).orderBy("part").collect():
-        offsets += [F.lit(r.part), F.lit(before)]
-        before += r.n
-    if not offsets:
-        return ranged.select(F.lit(0).cast("bigint").alias("place"), F.lit(0).alias("id")).limit(0)
     run = F.sum(F.size("ids")).over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    begin = F.element_at(F.create_map(*offsets), F.col("part")) + F.coalesce(run, F.lit(0))
-    return ranged.withColumn("begin", begin).select("begin", F.posexplode("ids").alias("i", "id")).select((F.col("begin") + F.col("i")).cast("bigint").alias("place"), "id")
+    running = ranged.withColumn("run", F.coalesce(run, F.lit(0))).join(_offsets(ranged, "part", F.sum(F.size("ids"))), "part")
+    return running.withColumn("begin", F.col("before") + F.col("run")).select("begin", F.posexplode("ids").alias("i", "id")).select((F.col("begin") + F.col("i")).cast("bigint").alias("place"), "id")
 
 
 def pack(sequence: DataFrame, block: int) -> DataFrame:

@@ -15,7 +15,7 @@ from dokuma.functions.lexicon import Lexicon
 from dokuma.functions.text import nfc
 from dokuma.operators import encode, tokenizer
 from dokuma.operators.segment import best
-from dokuma.operators.spans import NUMBER, find_spans, turkish_small
+from dokuma.operators.spans import NUMBER, apostrophe_parts, find_spans, turkish_small
 from dokuma.operators.tokenizer import is_caps, is_turkish_base
 from dokuma.session import small_batches, spread
 
@@ -111,6 +111,13 @@ def part_foreign(text: str, lex: Lexicon) -> tuple[str, list[tuple[str, str]]]:
     return _APOSTROPHE.sub(change, text), pairs
 
 
+def apostrophe_tokens(word: str, suffixes: str, foreign: bool) -> list[dict]:
+    """Tokens of a word and the suffixes after its apostrophe, the word with a blank before it."""
+    head = tokenizer.token(f" {word}", "FOREIGN", "foreign") if foreign else tokenizer.token(f" {word}", "ROOT")
+    tail = [tokenizer.token(s, "SUFFIX", "apo_suffix", suffix_label=label) for s, label in apostrophe_parts(suffixes)]
+    return tokenizer.place([head, tokenizer.token("'", "PUNCT", "punct"), *tail])
+
+
 def foreign_apostrophes(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """(doc_id, text, bases, suffixes) of the texts that hold foreign words with suffixes after an apostrophe."""
     small_batches(docs.sparkSession)

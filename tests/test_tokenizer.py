@@ -165,3 +165,17 @@ def test_lexicon_from_dirty_rows(spark):
 
 def test_foreign_apostrophes():
     assert words.part_foreign("zoom'da İstanbul'da x'q", Lexicon()) == ("zoom da İstanbul'da x'q", [("zoom", "da")])
+
+
+def test_registered_functions(spark):
+    from dokuma.functions.register import register
+
+    register(spark)
+    got = spark.sql("SELECT token, token_type, morph_pos FROM tokenize_text('NATO''nun üyesi')").collect()
+    assert [tuple(r) for r in got][:3] == [("NATO", "ACRONYM", 0), ("'", "PUNCT", 0), ("nun", "SUFFIX", 1)]
+    assert spark.sql("SELECT token_types('15kg') AS t, token_types(NULL) AS n").first() == (["NUM", "UNIT"], [])
+
+
+def test_apostrophe_tokens():
+    got = words.apostrophe_tokens("zoom", "larda", True)
+    assert [(t["token"], t["token_type"], t["morph_pos"]) for t in got] == [(" zoom", "FOREIGN", 0), ("'", "PUNCT", 0), ("lar", "SUFFIX", 1), ("da", "SUFFIX", 2)]
