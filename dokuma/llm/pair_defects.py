@@ -325,7 +325,7 @@ def defects(pairs: DataFrame, chain: Chain | None = None) -> DataFrame:
     # so many partitions stay, as the work is all CPU and rows are few
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = pairs.filter("example_id is not null").repartition(parts, "example_id").groupBy("example_id").agg(F.max(F.struct("added_at", *cols)).alias("r")).select("example_id", *[F.col(f"r.{c}").alias(c) for c in cols])
-    held = spark.sparkContext.broadcast(chain or learn(one))
+    held = spark.sparkContext.broadcast(chain or learn(pairs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
