@@ -77,9 +77,12 @@ def split_global(docs: DataFrame, every: int = VAL_EVERY) -> DataFrame:
 
 
 def split_by_worker(docs: DataFrame, worker: Column, every: int = VAL_EVERY) -> DataFrame:
-    """The same with places counted within each worker's documents."""
-    place = F.row_number().over(Window.partitionBy("worker").orderBy("doc_id")) - 1
-    return docs.withColumn("worker", worker).withColumn("part", F.when(place % every == 0, "val").otherwise("train")).drop("worker")
+    """The same with places counted within each worker's documents: global places in the order of worker
+    and document, less the worker's first, which is one row a worker."""
+    placed = with_ordinal(docs.withColumn("worker", worker), "worker", "doc_id")
+    first = placed.groupBy("worker").agg(F.min("ordinal").alias("first"))
+    joined = placed.join(F.broadcast(first), "worker")
+    return joined.withColumn("part", F.when((F.col("ordinal") - F.col("first")) % every == 0, "val").otherwise("train")).drop("worker", "ordinal", "first")
 
 
 def counters(ids: DataFrame, split: DataFrame, vocab: DataFrame) -> DataFrame:
