@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dokuma.llm.crf import Chain
-from dokuma.session import small_batches
+from dokuma.session import small_batches, spread
 from dokuma.sources.tables import table
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -316,24 +316,24 @@ def defects(pairs: DataFrame, chain: Chain | None = None) -> DataFrame:
     """(example_id, defect_type), one row for each example with a defect.
 
     pairs: example_id, instruction, input, output, added_at. A null instruction or input
-    is blank; a null output is empty; a repeated example_id is judged once, by the row
-    of the latest added_at; other columns are ignored; an empty table gives no rows.
+    is blank; a null output is empty; of a repeated example_id the row of the latest
+    added_at counts (of equal ones the greater digest); other columns are ignored; an empty
+    table gives no rows. Texts are judged where they are read; only ids and verdicts are shuffled.
     """
     spark = pairs.sparkSession
     small_batches(spark)
-    cols = ["instruction", "input", "output"]
-    # so many partitions stay, as the work is all CPU and rows are few
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = pairs.filter("example_id is not null").repartition(parts, "example_id").groupBy("example_id").agg(F.max(F.struct("added_at", *cols)).alias("r")).select("example_id", *[F.col(f"r.{c}").alias(c) for c in cols])
     held = spark.sparkContext.broadcast(chain or learn(pairs))
+    cols = ["instruction", "input", "output"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [judge(held.value, *(None if not isinstance(v, str) else v for v in row)) for row in zip(pdf["instruction"], pdf["input"], pdf["output"], strict=True)]
-            out = pd.DataFrame({"example_id": pdf["example_id"], "defect_type": got})
-            yield out[out["defect_type"].notna()]
+            got = [judge(held.value, *(v if isinstance(v, str) else None for v in row)) for row in zip(pdf["instruction"], pdf["input"], pdf["output"], strict=True)]
+            yield pd.DataFrame({"example_id": pdf["example_id"], "added_at": pdf["added_at"], "digest": pdf["digest"], "defect_type": pd.Series(got, dtype=object)})
 
-    return one.mapInPandas(run, "example_id bigint, defect_type string")
+    rows = spread(pairs.filter("example_id is not null").select("example_id", "added_at", F.xxhash64(*cols).alias("digest"), *cols))
+    judged = rows.mapInPandas(run, "example_id bigint, added_at timestamp, digest bigint, defect_type string")
+    last = judged.groupBy("example_id").agg(F.max(F.struct("added_at", "digest", "defect_type")).alias("r"))
+    return last.select("example_id", "r.defect_type").filter("defect_type is not null")
 
 
 def _defects(spark: SparkSession, folder: str) -> DataFrame:
