@@ -8,6 +8,7 @@ results). ``explode_tokens`` makes token rows of them.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -243,6 +244,7 @@ def tokens(docs: DataFrame, lex: Lexicon | None = None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = cache.get("t")
         if tok is None:
+            gc.disable()  # a batch is millions of tuples without cycles, which the collector would walk again and again
             tok = cache["t"] = Tokenizer(held.value)
         for batch in batches:
             rows, ends = [], [0]

@@ -74,7 +74,7 @@ def accented(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def segment(words: DataFrame, lex: Lexicon) -> DataFrame:
-    """(word, score, source, parts, labels, lemma) of words taken as wholes."""
+    """(word, score, source, parts, labels, lemma) of distinct words taken as wholes."""
     small_batches(words.sparkSession)
     held = words.sparkSession.sparkContext.broadcast(lex)
 
@@ -91,7 +91,9 @@ def segment(words: DataFrame, lex: Lexicon) -> DataFrame:
                 rows.append((w, r.score, r.source, [low[a:b] for a, b in zip(cuts, cuts[1:])], list(r.labels), r.root.lemma if r.root else None))
             yield pd.DataFrame(rows, columns=["word", "score", "source", "parts", "labels", "lemma"])
 
-    return words.select("word").mapInPandas(run, "word string, score int, source string, parts array<string>, labels array<string>, lemma string")
+    # distinct words are few bytes but much work, so they stay in as many partitions as a shuffle has
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.select("word").repartition(parts, "word").mapInPandas(run, "word string, score int, source string, parts array<string>, labels array<string>, lemma string")
 
 
 _APOSTROPHE = re.compile(r"([A-Za-zÇçĞğİıÖöŞşÜü0-9]{2,})['’]([A-Za-zÇçĞğİıÖöŞşÜü]{1,6})\b")
