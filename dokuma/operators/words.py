@@ -27,7 +27,7 @@ BLANK = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
 def split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, pos, piece, blank): the runs of white space and of other signs of each text, in order."""
     runs = F.regexp_extract_all(text_col, F.lit(f"[{BLANK}]+|[^{BLANK}]+"), 0)
-    return docs.select(id_col, F.posexplode(runs).alias("pos", "piece")).withColumn("blank", F.col("piece").rlike(f"^[{BLANK}]"))
+    return spread(docs.select(id_col, text_col)).select(id_col, F.posexplode(runs).alias("pos", "piece")).withColumn("blank", F.col("piece").rlike(f"^[{BLANK}]"))
 
 
 def edges(words: DataFrame, column: str = "piece") -> DataFrame:

@@ -63,3 +63,23 @@ def read_shard(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), first)), pa.array(np.arange(len(ids))), pa.array(ids)], ["first_doc", "i", "id"])
 
     return spark.read.parquet(path).mapInArrow(run, schema)
+
+
+def read_prompt(spark: SparkSession, prompt: str | None = None, path: str | None = None) -> str:
+    """The prompt of a file if one is named, else the one given; an error if there is neither."""
+    if path:
+        return spark.read.text(path, wholetext=True).first().value
+    if prompt:
+        return prompt
+    raise ValueError("a prompt or a file is needed")
+
+
+def write_meta(one_row: DataFrame, path: str) -> None:
+    """The metadata of a run as JSON, one object."""
+    one_row.coalesce(1).write.json(path)
+
+
+def preview(rows: DataFrame, main: tuple[str, ...] = (), most: int = 2) -> DataFrame:
+    """The first rows with every column as text, cut at 300 signs for the main columns and 200 for others."""
+    cut = [F.substring(F.col(c).cast("string"), 1, 300 if c in main else 200).alias(c) for c in rows.columns]
+    return rows.limit(most).select(*cut)

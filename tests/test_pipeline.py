@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from dokuma.operators import encode, sampling, sft
@@ -84,3 +86,14 @@ def test_stream(spark, tmp_path):
     q = stream.tokenised(stream.read_documents(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("tok").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.doc_id: len(r.tokens) for r in spark.table("tok").collect()} == {1: 5, 2: 0}
+
+
+def test_prompt_meta_and_preview(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("Merhaba\ndünya", encoding="utf-8")
+    assert files.read_prompt(spark, "x", str(tmp_path / "p.txt")) == "Merhaba\ndünya" and files.read_prompt(spark, "x") == "x"
+    with pytest.raises(ValueError):
+        files.read_prompt(spark)
+    files.write_meta(spark.range(1).selectExpr("3 AS docs", "'uint16' AS dtype"), f"{tmp_path}/meta")
+    assert spark.read.json(f"{tmp_path}/meta").first().docs == 3
+    row = files.preview(spark.createDataFrame([("a" * 500, "b" * 500, None)], "t string, o string, n int"), ("t",)).first()
+    assert (len(row.t), len(row.o), row.n) == (300, 200, None)
