@@ -1,7 +1,7 @@
 """Filling blocks of fixed capacity with whole items: conflict-constrained best fit.
 
 Items of a kind are spread by hash over slices of about ``SLICE_ROWS`` items; each slice
-is packed on its own, longest item first. Open blocks are kept in order of their
+is packed on its own, texts with copies first, then the longest item first. Open blocks are kept in order of their
 residual space and carry two bitmaps, of the sources and of the duplicate clusters
 they hold. An item goes to the tightest block it fits into that is compatible: no block
 takes two items of one duplicate cluster (same text), nor of two sources named as a
@@ -102,7 +102,9 @@ class Shelf:
 def pack_slice(ids: Iterable[int], lengths: Iterable[int], clusters: Iterable[int], sources: Iterable, capacity: int, conflicts: dict | None = None) -> list[tuple[int, int, int, int, int, int]]:
     """(index, piece, pieces, begin, length, block) of every piece of a slice's items.
 
-    Only clusters that occur twice or more in the slice need a bit. Ties of length are
+    Only clusters that occur twice or more in the slice need a bit. They are placed first, the
+    largest before, as they are the hardest to place: left to the end, the copies of a short
+    text would each open a block. All others follow, longest first. Ties of length are
     packed in the order of their ids, those of one cluster and source together.
     """
     lengths, ids, clusters, sources = list(lengths), list(ids), list(clusters), list(sources)
@@ -110,6 +112,7 @@ def pack_slice(ids: Iterable[int], lengths: Iterable[int], clusters: Iterable[in
     for c in clusters:
         seen[c] = seen.get(c, 0) + 1
     bit = {c: 1 << k for k, c in enumerate(c for c, n in seen.items() if n > 1)}
+    copies = {bit[c]: n for c, n in seen.items() if n > 1}
     source_bit = {s: 1 << k for k, s in enumerate(dict.fromkeys(sources))}
     against = {s: sum(source_bit[o] for o in (conflicts or {}).get(s, ()) if o in source_bit) for s in source_bit}
     shelf, out, full = Shelf(capacity), [], 0
@@ -125,7 +128,7 @@ def pack_slice(ids: Iterable[int], lengths: Iterable[int], clusters: Iterable[in
     same: dict = {}
     for n, i, p, pieces in sorted(rests, key=lambda x: (-x[0], ids[x[1]])):
         same.setdefault((-n, bit.get(clusters[i], 0), sources[i]), []).append((i, p, pieces))
-    for (n, cluster, s), own in sorted(same.items(), key=lambda kv: kv[0][0]):
+    for (n, cluster, s), own in sorted(same.items(), key=lambda kv: (-copies.get(kv[0][1], 0), kv[0][0])):
         for (i, p, pieces), block in zip(own, shelf.put(-n, cluster, source_bit[s], against[s], len(own)), strict=True):
             out.append((i, p, pieces, lengths[i] + n, -n, block))
     return out
