@@ -47,9 +47,9 @@ def canonical(text: Column) -> Column:
 
 
 def keyed(records: DataFrame, id_col: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(rec_id, key): the identifier, and a digest of all canonical fields."""
+    """(rec_id, key): the identifier, and a digest of all canonical fields; rows without one are no records."""
     parts = [canonical(F.col(f"`{f}`")) for f in fields]
-    return records.select(F.col(f"`{id_col}`").alias("rec_id"), F.unhex(F.sha2(F.concat_ws("\x1f", *parts), 256)).alias("key"))
+    return records.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("rec_id"), F.unhex(F.sha2(F.concat_ws("\x1f", *parts), 256)).alias("key"))
 
 
 def hot_keys(keys: DataFrame, hot_parts: int = HOT_PARTS) -> list[bytes]:

@@ -149,11 +149,13 @@ def pack(things: DataFrame, limits: DataFrame, slice_rows: int = SLICE_ROWS, con
     """Every piece of every item with its block, as ``item_kind, item_id, piece, pieces,
     begin, length, block, cut``.
 
-    things: item_kind, item_id, length, cluster, source; null lengths are no items, an
+    things: item_kind, item_id, length, cluster, source; null ids and lengths are no items, a
+    null cluster is a text of its own, an
     empty text is an item of length 0; kinds without a limit are left out. limits: item_kind,
     capacity over 0, one row a kind (the largest if there are more). conflicts: source ->
     sources it must not share a block with.
     """
+    things = things.filter("item_id is not null and item_kind is not null").select("item_kind", "item_id", "length", F.coalesce("cluster", F.xxhash64("item_id", F.lit("own"))).alias("cluster"), "source")
     limits = limits.filter("capacity > 0").groupBy("item_kind").agg(F.max("capacity").alias("capacity"))
     things = things.filter("length is not null")
     slices = {r.item_kind: max(1, -(-r.n // slice_rows)) for r in things.groupBy("item_kind").agg(F.count("*").alias("n")).collect()}  # one row a kind

@@ -246,7 +246,7 @@ def learn_levels(docs: DataFrame, labels: DataFrame, per_level: int = FIT_ROWS)
     """The model of at most ``per_level`` marked documents of each level; their texts are cut
     to nothing, but texts of over a million characters are left out of the fit."""
     chosen = F.broadcast(marks(labels.filter(F.col("reading_level").isin(*LEVELS)), "reading_level", per_level, per_value=True))
-    rows = docs.join(chosen, "doc_id").filter("text is not null and length(text) <= 1000000").select("doc_id", "text", "value").collect()
+    rows = docs.select("doc_id", "text").filter("text is not null and length(text) <= 1000000").join(chosen, "doc_id").select("doc_id", "text", "value").collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], np.array([LEVELS.index(r.value) for r in rows], np.int64))
 

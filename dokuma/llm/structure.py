@@ -465,7 +465,7 @@ def marked_vectors(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
                 flat = np.concatenate(parts_of([t or "" for t in batch.column(1).to_pylist()]), 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], ["value", "vector"])
 
-    got = docs.join(chosen, "doc_id").filter("text is not null").select("value", "text").mapInArrow(run, "value string, vector binary").collect()
+    got = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").select("value", "text").mapInArrow(run, "value string, vector binary").collect()
     got.sort(key=lambda r: (r.value, bytes(r.vector)))
     sizes = [x.shape[1] for x in parts_of(["a"])]
     flat = np.array([np.frombuffer(r.vector, np.float32) for r in got], np.float32).reshape(len(got), sum(sizes))

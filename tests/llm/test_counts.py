@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dokuma.llm import formatting_dups as dups
 from dokuma.llm import packing, source_mix, term_counts
 
-ITEMS = "item_kind string, item_id bigint, length int, cluster bigint, source string, text string"
+ITEMS = "item_kind string, item_id bigint, length int, cluster bigint, source string, slice string"
 
 
 def packed(spark, rows, capacity=100, **kw):
@@ -22,15 +22,16 @@ def packed(spark, rows, capacity=100, **kw):
 
 def test_packing_keeps_items_whole_and_blocks_within_capacity(spark):
     r = random.Random(1)
-    rows = [("a", i, r.choice([0, 1, 7, 33, 60, 99, 100, 101, 250, 300, r.randint(0, 400)]), i % 50, None, "x") for i in range(400)] + [("a", 900, None, 1, "s", None), ("c", 901, 5, 1, "s", "x")]
+    rows = [("a", i, r.choice([0, 1, 7, 33, 60, 99, 100, 101, 250, 300, r.randint(0, 400)]), i % 50, None, "x") for i in range(400)] + [("a", 900, None, 1, "s", None), ("c", 901, 5, 1, "s", "x"), ("a", None, 5, 1, "s", "x"), (None, 902, 5, 1, "s", "x")]
+    rows += [("a", 1000 + i, 10, None, None, None) for i in range(9)]
     out = packed(spark, rows)
-    size = {i: n for k, i, n, *_ in rows if k == "a" and n is not None}
+    size = {i: n for k, i, n, *_ in rows if k == "a" and n is not None and i is not None}
     pieces = defaultdict(list)
     fill, clusters = Counter(), defaultdict(list)
     for x in out:
         pieces[x["item_id"]].append((x["begin"], x["length"]))
         fill[x["block"]] += x["length"]
-        if x["length"] < 100:
+        if x["length"] < 100 and x["item_id"] < 1000:
             clusters[x["block"]].append(x["item_id"] % 50)
     assert set(pieces) == set(size) and max(fill.values()) <= 100
     for i, own in pieces.items():
@@ -88,7 +89,7 @@ def test_formatting_duplicates_against_brute_force(spark):
         styled = [None if s is None else r.choice([s, s.upper(), s.lower().replace(" ", "\n"), unicodedata.normalize("NFD", s), f"“{s}” …"]) for s in f]
         rows.append((1000 - i, *styled, "clash"))
     rows.append(rows[0])
-    df = spark.createDataFrame(rows, RECORDS)
+    df = spark.createDataFrame([*rows, (None, "ab", "", "cogu", "")], RECORDS)
     keys = dups.keyed(df, "rec_id")
     groups = defaultdict(set)
     for i, *f, _ in rows:

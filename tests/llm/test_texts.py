@@ -47,7 +47,7 @@ def test_chain_learns_and_marginals_are_probabilities():
     assert np.allclose(one[0, :2].sum(1), 1) and one[0, 2].sum() == 0 and np.isclose(two.sum(), 1)
 
 
-DOCS = "doc_id bigint, text string, kind string, words string"
+DOCS = "doc_id bigint, text string, kind string, value string"
 LABELS = "doc_id bigint, annotator int, doc_kind string, reading_level string"
 
 
