@@ -65,6 +65,9 @@ OPEN_END = re.compile(r"(?:\b(?:ve|veya|ya da|ile|ama|ancak|fakat|cunku|gibi|ici
 OPEN_SIGNS = tuple(":,;-([{=+*/")
 ENDERS = ".!?…。"
 LIST_MARK = re.compile(r"^\s*(?:[-*•▪·–—]|\d{1,3}[.)]|[a-zçğıöşü][.)])\s+", re.I)
+#: A heading before a response, which is none of it; fixed values.
+LABEL = re.compile(r"^\s*(?:yanıt|yanit|cevap|soru|talimat|girdi|çıktı|metin|answer|response|output|instruction|input|question)\s*[:\-–—]\s*(?=\S)", re.I)
+INLINE_MARK = re.compile(r"(?:^|\s)(?:[-*•▪·–—]|\d{1,3}[.)])(?=\s)", re.M)
 _FOLD = str.maketrans({"ı": "i", "İ": "i", "I": "i", "’": "'", "‘": "'"})
 _WORD = re.compile(r"[^\W_]+")
 
@@ -155,6 +158,7 @@ _TR_END = re.compile(r"(?:yor|lar|ler|lari|leri|nin|nun|dan|den|tan|ten|miş|mis
 
 def describe(req: Request, output: str) -> tuple[np.ndarray, list[int], list[str]]:
     """(features of each clause, its number of words, clauses) of a response."""
+    output = LABEL.sub("", output) or output
     parts = clauses(output)
     words = [fold(p).split() or ["x"] for p in parts]
     whole = [w for ws in words for w in ws]
@@ -162,7 +166,7 @@ def describe(req: Request, output: str) -> tuple[np.ndarray, list[int], list[str
     both = req.shingles[0] | req.shingles[1]
     out_runs = _runs(whole)
     back = [covered(src, out_runs) if len(src) > 2 and out_runs and len(next(iter(out_runs))) == 3 else float(any(whole[i : i + len(src)] == src for i in range(len(whole) - len(src) + 1)) and bool(src)) for src in (req.instruction, req.given)]
-    tail = stripped(output)
+    tail = re.sub(r"(?<=\S)[ \t]+[-–—]$", "", stripped(output))  # a dash set for a full stop
     last_word = whole[-1] if whole else ""
     text_stops = sum(tail.count(c) for c in ENDERS)
     fence = output.count("```") % 2 == 1
@@ -197,16 +201,18 @@ def describe(req: Request, output: str) -> tuple[np.ndarray, list[int], list[str
             turkish = (lang or "tr") == "tr"
             verb = bool(VERB.search(last_word)) if turkish else False
             folded_tail = fold(tail[-40:])
-            open_end = not ended and bool(OPEN_END.search(folded_tail) or tail[-1:] in OPEN_SIGNS)
+            given_back = x["echo_whole"] > 0  # it ends as its source does
+            open_end = not ended and not given_back and bool(len(whole) > 2 and OPEN_END.search(folded_tail) or tail[-1:] in OPEN_SIGNS)
             short = len(parts) == 1 and len(whole) <= 4 and not open_end
             x["last_open"] = float(open_end and not short)
             structured = item_last or req.code or fence
-            wrapped = re.search(r"(?:saygilarimla|sevgilerimle|sevgiler|iyi gunler|kolay gelsin)$", text) is not None
+            wrapped = given_back or re.search(r"(?:saygilarimla|sevgilerimle|sevgiler|iyi gunler|kolay gelsin)$", text) is not None
             x["last_verbless"] = float(not ended and not verb and not structured and not short and not wrapped and bool(turkish or text_stops or len(ws) < 4))
             x["last_cut"] = float(not ended and verb and text_stops > 0 and not structured and not wrapped and not short)
             x["last_short"] = float(short)
-            x["list_short"] = float(0 < len(items) < req.items)
-            if item_last and len(items) > 1:
+            marks = len(INLINE_MARK.findall(output))
+            x["list_short"] = float(len(items) > 0 and max(len(items), marks) < req.items)
+            if item_last and len(items) > 1 and marks <= len(items):
                 sizes = [len(fold(LIST_MARK.sub("", q)).split()) for q in items]
                 finals = [(fold(q).split() or ["x"])[-1][-1] for q in items[:-1]]
                 x["item_odd"] = float(sizes[-1] < min(sizes[:-1]) or (fold(items[-1]).split() or ["x"])[-1][-1] not in set(finals) | {"i", "u"})
