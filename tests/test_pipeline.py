@@ -97,3 +97,12 @@ def test_prompt_meta_and_preview(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/meta").first().docs == 3
     row = files.preview(spark.createDataFrame([("a" * 500, "b" * 500, None)], "t string, o string, n int"), ("t",)).first()
     assert (len(row.t), len(row.o), row.n) == (300, 200, None)
+
+
+def test_stream_counts(spark, tmp_path):
+    rows = [("ev", "ROOT", "2024-07-01 10:00:00"), ("ev", "ROOT", "2024-07-01 11:00:00"), ("ev", "ROOT", "2024-07-02 01:00:00"), (None, "ROOT", "2024-07-02 01:00:00")]
+    spark.createDataFrame(rows, "token string, token_type string, t string").selectExpr("token", "token_type", "cast(t as timestamp) AS loaded_at").write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("token string, token_type string, loaded_at timestamp").parquet(f"{tmp_path}/in")
+    q = stream.typed_counts(source).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.token, r.n) for r in spark.table("counts").collect()) == [("<ROOT>ev", 1), ("<ROOT>ev", 2)]
