@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -42,15 +43,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that ``materialise`` has written for each session.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a
-    lost executor costs nothing but a re-read."""
+    lost executor costs nothing but a re-read. The table stays until ``release`` or the
+    end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def release() -> None:
+    """Delete the tables written so far; frames that read them can no longer be evaluated."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; the folder is the cluster's to clear
+            return
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch, as Python operators hold one batch at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

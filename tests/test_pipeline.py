@@ -106,3 +106,15 @@ def test_stream_counts(spark, tmp_path):
     q = stream.typed_counts(source).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.token, r.n) for r in spark.table("counts").collect()) == [("<ROOT>ev", 1), ("<ROOT>ev", 2)]
+
+
+def test_written_tables_are_released(spark):
+    from pathlib import Path
+
+    from dokuma import session
+
+    df = session.materialise(spark.range(3), "kept")
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 3 and folder.exists()
+    session.release()
+    assert not folder.exists()
