@@ -3,8 +3,8 @@
 A record is a document. ``signed`` turns added (+1), deleted (-1) or changed
 (-1 of the old, +1 of the new) records into per-term changes of the occurrences and
 of the number of records; ``merge`` adds them to the counts held as files
-partitioned by a hash of the term, and drops terms that reach zero. Only the added,
-changed and deleted records are ever aggregated.
+partitioned by a hash of the term, rewriting only the partitions that are touched, and
+drops terms that reach zero. Only the added, changed and deleted records are ever aggregated.
 
 Hot terms and hot documents: each step has a map-side combine on a key that splits
 them, (doc_id, pos), then (doc_id, term), then term.
@@ -13,11 +13,13 @@ them, (doc_id, pos), then (doc_id, term), then term.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.session import shared_dir
+from dokuma.session import materialise, shared_dir
 from dokuma.sources.tables import table
 
 RARE_DOCS = 2
@@ -47,62 +49,77 @@ def signed(rows: DataFrame, sign: int = 1) -> DataFrame:
 
 
 class TermCounts:
-    """Counts kept under ``path``: terms (by bucket) and one row with the number of records.
+    """Counts kept under ``path``: terms in hash buckets, the number of records, and a manifest of
+    each version that says in which version's folder every bucket lies.
 
-    Every merge writes a new version beside the old one and then turns to it, so a
-    job that dies leaves the last version whole.
+    A merge reads and rewrites only the buckets that its terms fall into. The manifest is
+    written last, so a job that dies leaves the last version whole. Opening a path that
+    holds counts goes on from its last version.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.path = path or f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
-        self.version = 0
-
-    def _read(self, part: str, schema: str) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{self.version}/{part}")
-
-    def terms(self) -> DataFrame:
-        """(token, token_type, occurrences, records, bucket)."""
-        return self._read("terms", "token string, token_type string, occurrences bigint, records bigint, bucket int")
-
-    def records(self) -> DataFrame:
-        """One row: the number of records."""
-        return self._read("records", "records bigint")
+        self.version, self.at = 0, {}
+        if path:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            rows = self.spark.read.schema("version int, bucket int, at int, buckets int").parquet(f"{self.path}/v*/manifest").collect()  # a row a bucket and version
+        except AnalysisException:  # nothing there yet
+            return
+        self.version = max((r.version for r in rows), default=0)
+        self.at = {r.bucket: r.at for r in rows if r.version == self.version and r.bucket >= 0}
+        self.buckets = max((r.buckets for r in rows), default=self.buckets)
+
+    def _bucket(self, b: int) -> str:
+        return f"{self.path}/v{self.at[b]}/terms/bucket={b}"
+
+    def terms(self, only: list[int] | None = None) -> DataFrame:
+        """(token, token_type, occurrences, records) of all buckets or of some."""
+        schema = "token string, token_type string, occurrences bigint, records bigint"
+        paths = [self._bucket(b) for b in (self.at if only is None else only) if b in self.at]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def records(self) -> int:
+        """The number of records."""
+        return self.spark.read.parquet(f"{self.path}/v{self.version}/records").first().records if self.version else 0
 
     def merge(self, added: DataFrame | None = None, deleted: DataFrame | None = None) -> TermCounts:
         """Bring in added and take out deleted records, both as clean rows. A changed
         record is given in both: its old rows as deleted, its new ones as added."""
-        bucket = F.pmod(F.xxhash64("token", "token_type"), F.lit(self.buckets)).cast("int")
         parts = [(d, s) for d, s in ((added, 1), (deleted, -1)) if d is not None]
-        now = self.terms().select("token", "token_type", "occurrences", "records")
-        size = self.records().select("records")
-        for d, s in parts:
-            now = now.unionByName(signed(d, s).toDF("token", "token_type", "occurrences", "records"))
-            size = size.unionByName(d.select("doc_id").filter("doc_id is not null").distinct().agg((F.count("*") * s).alias("records")))
-        now = now.groupBy("token", "token_type").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        now = now.filter("occurrences <> 0 or records <> 0").withColumn("bucket", bucket)
-        to = f"{self.path}/v{self.version + 1}"
-        now.write.partitionBy("bucket").parquet(f"{to}/terms")
-        size.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records")).write.parquet(f"{to}/records")
-        self.version += 1
+        if not parts:
+            return self
+        names = ["token", "token_type", "occurrences", "records"]
+        deltas = reduce(DataFrame.unionByName, [signed(d, s).toDF(*names) for d, s in parts])
+        bucket = F.pmod(F.xxhash64("token", "token_type"), F.lit(self.buckets)).cast("int")
+        delta = materialise(deltas.groupBy("token", "token_type").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "term-deltas")
+        touched = [r.bucket for r in delta.select(bucket.alias("bucket")).distinct().collect()]  # one row a bucket
+        size = self.records() + sum(s * d.select("doc_id").filter("doc_id is not null").distinct().count() for d, s in parts)
+        now = self.terms(touched).unionByName(delta).groupBy("token", "token_type").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        version, to = self.version + 1, f"{self.path}/v{self.version + 1}"
+        now.filter("occurrences <> 0 or records <> 0").withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{to}/terms")
+        whole = self.spark.read.schema("token string, bucket int").parquet(f"{to}/terms").select("bucket").distinct().collect()
+        self.spark.createDataFrame([(size,)], "records bigint").write.parquet(f"{to}/records")
+        at = {b: v for b, v in self.at.items() if b not in touched} | {r.bucket: version for r in whole}
+        rows = [(version, b, v, self.buckets) for b, v in at.items()] or [(version, -1, 0, self.buckets)]
+        self.spark.createDataFrame(rows, "version int, bucket int, at int, buckets int").coalesce(1).write.parquet(f"{to}/manifest")
+        self.version, self.at = version, at
         return self
 
     def marked(self, rare: int = RARE_DOCS, common: float = COMMON_SHARE) -> DataFrame:
         """All terms with mark: 'rare' (at most ``rare`` records), 'common' (more than
         that share of the records) or null. A term that is both is rare."""
-        total = self.records().first()
-        n = total.records if total else 0
+        n = self.records()
         mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * n, "common")
-        return self.terms().drop("bucket").withColumn("mark", mark)
+        return self.terms().withColumn("mark", mark)
 
 
 def _counts(spark: SparkSession, folder: str) -> TermCounts:
     """The whole table as two deltas: the documents of the earlier and of the later
     half of the loads, so the counts come from a merge into counts that are there."""
-    from dokuma.session import materialise
-
     rows = materialise(clean_rows(table(spark, folder, "token_rows").select("doc_id", "pos", "token", "token_type", "loaded_at")), "clean-rows")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     return TermCounts(spark).merge(added=rows.filter(half)).merge(added=rows.filter(~F.coalesce(half, F.lit(False))))

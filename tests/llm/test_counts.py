@@ -137,13 +137,20 @@ def test_term_counts_by_deltas(spark):
     assert all(v[2] == ("rare" if v[1] <= 2 else "common" if v[1] > 15 else None) for v in whole.values())
     part = all_rows.filter("doc_id < 10")
     steps = term_counts.TermCounts(spark).merge(added=all_rows.filter("doc_id >= 10")).merge(added=part).merge(deleted=part).merge(deleted=all_rows.filter("doc_id = 20"), added=all_rows.filter("doc_id = 20 or doc_id < 10"))
-    assert of(steps) == whole and steps.records().first().records == 30
+    assert of(steps) == whole and steps.records() == 30
+    again = term_counts.TermCounts(spark, steps.path)
+    assert of(again) == whole and again.version == steps.version == 4
+    one = token_rows(spark, [(99, 0, "tek", "ROOT")])
+    before = dict(again.at)
+    again.merge(added=term_counts.clean_rows(one))
+    assert sum(before.get(b) != v for b, v in again.at.items()) == 1 and again.records() == 31
+    assert again.merge(deleted=term_counts.clean_rows(one)).records() == 30 and of(again) == whole
 
 
 def test_term_counts_of_nothing(spark):
     empty = term_counts.clean_rows(token_rows(spark, []))
     counts = term_counts.TermCounts(spark).merge(added=empty)
-    assert counts.marked().count() == 0 and counts.records().first().records == 0
+    assert counts.marked().count() == 0 and counts.records() == 0 and term_counts.TermCounts(spark, counts.path).version == 1
 
 
 EXAMPLES = "example_id bigint, source string, output string, added_at timestamp, size string"
