@@ -34,7 +34,7 @@ def records(examples: DataFrame) -> DataFrame:
     """(rec_id, source, size): each example_id once, the latest added_at winning; blanks
     around the source and its letter case do not count; a null output has size 0."""
     last = examples.filter("example_id is not null").groupBy("example_id").agg(F.max(F.struct("added_at", "source", F.coalesce(F.length("output"), F.lit(0)).alias("size"))).alias("r"))
-    clean = F.lower(F.translate(F.regexp_replace("r.source", _BLANKS, ""), "İI", "ii"))
+    clean = F.lower(F.translate(F.regexp_replace("r.source", _BLANKS, ""), "İIı", "iii"))
     return last.select(F.col("example_id").alias("rec_id"), clean.alias("source"), F.col("r.size").cast("bigint").alias("size"))
 
 
