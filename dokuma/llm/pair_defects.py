@@ -312,7 +312,8 @@ def judge(chain: Chain, instruction: str | None, given: str | None, output: str
 
 
 def learn(pairs: DataFrame, rows: int = FIT_ROWS) -> Chain:
-    """The field of at most ``rows`` pairs of no more than 20,000 characters."""
+    """The field of at most ``rows`` pairs of no more than 20,000 characters, which bounds what comes
+    to the driver."""
     short = pairs.filter("length(output) <= 6000 and coalesce(length(input), 0) + coalesce(length(instruction), 0) <= 14000")
     got = short.orderBy(F.xxhash64("example_id"), "example_id").limit(rows).select("instruction", "input", "output").collect()
     return fit(sorted(((r.instruction, r.input, r.output) for r in got), key=str))

@@ -243,8 +243,8 @@ def assess(docs: DataFrame, profiles: Profiles, model: LevelModel) -> DataFrame:
 
 
 def learn_levels(docs: DataFrame, labels: DataFrame, per_level: int = FIT_ROWS) -> LevelModel:
-    """The model of at most ``per_level`` marked documents of each level; their texts are cut
-    to nothing, but texts of over a million characters are left out of the fit."""
+    """The model of at most ``per_level`` marked documents of each level, whole texts of up to a
+    million characters, which bounds what comes to the driver."""
     chosen = F.broadcast(marks(labels.filter(F.col("reading_level").isin(*LEVELS)), "reading_level", per_level, per_value=True))
     rows = docs.select("doc_id", "text").filter("text is not null and length(text) <= 1000000").join(chosen, "doc_id").select("doc_id", "text", "value").collect()
     rows.sort(key=lambda r: r.doc_id)
