@@ -20,28 +20,33 @@ _LETTER = "A-Za-zÇçĞğİıÖöŞşÜü"
 _APO = "['’]"
 _ENDINGS = "(?:" + "|".join(tables.APOSTROPHE_SUFFIXES) + ")+"
 _UNIT = "(?:" + "|".join(sorted(tables.UNITS, key=lambda u: (-len(u), u))) + ")"
+# Patterns that other operators use too.
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+DATE = r"\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}|\d{4}[./\-]\d{1,2}[./\-]\d{1,2}"
+TIME = r"\d{1,2}:\d{2}(?::\d{2})?"
+CURRENCY = r"[$€£¥₺₽]\d+[\.,]?\d*|\d+[\.,]?\d*[$€£¥₺₽]"
 NUMBER = r"%\d+[\.,]?\d*|\d{1,3}(?:\.\d{3})+|\d+[\.,]\d+|\d+%|\d+/\d+"
 
 #: (type, pattern, letter case ignored, signs of which the text must hold one); of matches of
 #: one place and length the earlier pattern's is taken. The patterns are fixed values.
 PATTERNS = [
     ("URL", r"https?://\S+|www\.\S+", True, ("http", "www.", "HTTP", "WWW.", "Http", "Www.")),
-    ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", False, ("@",)),
+    ("EMAIL", EMAIL, False, ("@",)),
     ("TECH", r"C\+\+|C#|F#", True, ("+", "#")),
     ("HASHTAG", r"#[\wÀ-ɏ]+", False, ("#",)),
-    ("DATE", r"\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}|\d{4}[./\-]\d{1,2}[./\-]\d{1,2}", False, "digit"),
+    ("DATE", DATE, False, "digit"),
     ("TECH", r"\bv?\d+(?:\.\d+)+(?:[a-zA-Z0-9._-]*)\b", False, "digit"),
     ("ROOT_APO", rf"\be-devlet{_APO}{_ENDINGS}\b", True, ("-",)),
     ("ROOT", r"\be-devlet\b", True, ("-",)),
     ("MENTION", r"@[\wÀ-ɏ]+", False, ("@",)),
     ("TECH", r"(?:/[a-zA-Z0-9._-]+){2,}|(?:\b[a-zA-Z]:\\[a-zA-Z0-9._\-\\]+)", False, ("/", "\\")),
-    ("UNIT", r"[$€£¥₺₽]\d+[\.,]?\d*|\d+[\.,]?\d*[$€£¥₺₽]", False, ("$", "€", "£", "¥", "₺", "₽")),
+    ("UNIT", CURRENCY, False, ("$", "€", "£", "¥", "₺", "₽")),
     ("NUM_APO", rf"\d+(?:[.:,]\d+)*{_APO}{_ENDINGS}\b", True, ("'", "’")),
     ("HYPHENATED_APO", rf"\b[{_LETTER}]+(?:-[{_LETTER}0-9]+)+{_APO}{_ENDINGS}\b", True, ("-",)),
     ("ACRONYM_APO", rf"\b(?:[{_CAP}]{{2,}}[0-9]*|[{_CAP}][0-9]+){_APO}{_ENDINGS}\b", False, ("'", "’")),
     ("ACRONYM", rf"\b[{_CAP}]{{2,}}[0-9]*\b|\b[{_CAP}][0-9]+\b", False, None),
     ("NUM", NUMBER, False, "digit"),
-    ("NUM", r"\d{1,2}:\d{2}(?::\d{2})?", False, "digit"),
+    ("NUM", TIME, False, "digit"),
     ("NUM_UNIT", rf"\b(\d+(?:[.,]\d+)?)({_UNIT})\b", True, "digit"),
     ("NUM", r"\b\d+\b", False, "digit"),
     ("EMOJI", "[\U0001f600-\U0001f64f\U0001f300-\U0001f5ff\U0001f680-\U0001f6ff\U0001f1e0-\U0001f1ff✀-➿\U0001f900-\U0001f9ff☀-⛿]+", False, "high"),

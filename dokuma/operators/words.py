@@ -15,12 +15,12 @@ from dokuma.functions.lexicon import Lexicon
 from dokuma.functions.text import nfc
 from dokuma.operators import encode, tokenizer
 from dokuma.operators.segment import best
-from dokuma.operators.spans import NUMBER, apostrophe_parts, find_spans, turkish_small
+from dokuma.operators.spans import CURRENCY, DATE, EMAIL, NUMBER, TIME, apostrophe_parts, find_spans, turkish_small
 from dokuma.operators.tokenizer import is_caps, is_turkish_base
 from dokuma.session import small_batches, spread
 
 #: Patterns that count alike in any regular-expression engine.
-COUNTED = {"email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "dates": r"\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}|\d{4}[./\-]\d{1,2}[./\-]\d{1,2}", "times": r"\d{1,2}:\d{2}(?::\d{2})?", "currency": r"[$€£¥₺₽]\d+[\.,]?\d*|\d+[\.,]?\d*[$€£¥₺₽]", "numbers": NUMBER}
+COUNTED = {"email": EMAIL, "dates": DATE, "times": TIME, "currency": CURRENCY, "numbers": NUMBER}
 BLANK = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
 
 
@@ -96,6 +96,7 @@ def segment(words: DataFrame, lex: Lexicon) -> DataFrame:
     return words.select("word").repartition(parts, "word").mapInPandas(run, "word string, score int, source string, parts array<string>, labels array<string>, lemma string")
 
 
+# Fixed value: a word, an apostrophe and what may be its suffixes.
 _APOSTROPHE = re.compile(r"([A-Za-zÇçĞğİıÖöŞşÜü0-9]{2,})['’]([A-Za-zÇçĞğİıÖöŞşÜü]{1,6})\b")
 
 

@@ -132,7 +132,7 @@ def test_surfaces_give_the_text_back():
 
 def test_tables():
     assert (len(tables.SUFFIXES), len(tables.APOSTROPHE_SUFFIXES), len(tables.MORPHEMES), len(tables.ACRONYMS)) == (209, 67, 99, 90)
-    assert tables.SUFFIXES["mi"] == "-Q" and tables.SUFFIXES["de"] == "-LOC" and tables.harmonise("AlY") == ["alı", "eli"]
+    assert tables.SUFFIXES["mi"] == "-Q" and tables.SUFFIXES["de"] == "-LOC" and tables.harmonise("AlI") == ["alı", "eli"] and tables.harmonise("IncA") == ["ınca", "unca", "ince", "ünce"]
 
 
 def test_tokens_of_nulls_and_extra_columns(spark):
