@@ -15,6 +15,7 @@ def register(spark: SparkSession, lex: Lexicon | None = None) -> None:
     """Registers the table function ``tokenize_text(text)``, one row for each token, and the function
     ``token_types(text)``, the array of its token types; a null text has no tokens."""
     held = lex or Lexicon()
+    cache: dict = {}  # a worker's tokenizer with its memo
     columns = ", ".join(f"{f} {TOKEN[f].dataType.simpleString()}" for f in FIELDS)
 
     class TokenizeText:
@@ -26,7 +27,9 @@ def register(spark: SparkSession, lex: Lexicon | None = None) -> None:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def token_types(texts: pd.Series) -> pd.Series:
-        tokenizer = Tokenizer(held)
+        if "t" not in cache:
+            cache["t"] = Tokenizer(held)
+        tokenizer = cache["t"]
         return texts.map(lambda t: [row[1] for row in tokenizer.rows(t)])
 
     spark.udtf.register("tokenize_text", F.udtf(TokenizeText, returnType=columns))

@@ -1,16 +1,31 @@
-"""From token rows to ids, splits, shards and blocks, and back to text."""
+"""From token rows to ids, splits, shards and blocks, and back to text.
+
+Documents stay arrays: places are worked out on rows of (doc_id, size), and only then are
+the arrays cut where blocks begin, so no operator here makes a row of every id but
+``flatten``, whose result that is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dokuma.functions.text import split_typed, typed_token
-from dokuma.session import materialise
+from dokuma.functions.text import typed_token
+from dokuma.session import materialise, small_batches
 
 BOS, EOS, UNK, PAD = 1, 2, 3, 0
 MIN_IDS, VAL_EVERY = 16, 100
+#: Vocabulary sizes up to which ids are written in 16 bits, by either encoder.
+NARROW_SEQUENTIAL, NARROW_PARALLEL = 65_535, 65_536
+#: Vocabulary rows that may be broadcast for decoding, checked.
+MAX_VOCAB = 5_000_000
 
 
 def long_enough(text: Column, least: int = 50, strict: bool = True) -> Column:
@@ -71,76 +86,180 @@ def _offsets(rows: DataFrame, part: str, size: Column) -> DataFrame:
     return F.broadcast(rows.sparkSession.createDataFrame(sums, f"{part} {rows.schema[part].dataType.simpleString()}, before bigint"))
 
 
+def places(keys: DataFrame, *order: str) -> DataFrame:
+    """(order columns, ordinal) of rows that the order tells apart; nothing else is shuffled or written."""
+    return with_ordinal(keys.select(*order), *order)
+
+
 def split_global(docs: DataFrame, every: int = VAL_EVERY) -> DataFrame:
-    """Adds ``part``: every ``every``-th kept document in the order of doc_id is val, all others train."""
-    return with_ordinal(docs, "doc_id").withColumn("part", F.when(F.col("ordinal") % every == 0, "val").otherwise("train")).drop("ordinal")
+    """Adds ``part``: every ``every``-th kept document in the order of doc_id is val, all others train.
+    doc_id is unique; it alone is numbered, and its place is joined back."""
+    part = F.when(F.col("ordinal") % every == 0, "val").otherwise("train")
+    return docs.join(places(docs, "doc_id").select("doc_id", part.alias("part")), "doc_id")
+
+
+def first_kept(docs: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` documents in the order of doc_id: the stop of an encoding run after so many kept ones."""
+    return docs.join(places(docs, "doc_id").filter(F.col("ordinal") < most).select("doc_id"), "doc_id")
 
 
 def split_by_worker(docs: DataFrame, worker: Column, every: int = VAL_EVERY) -> DataFrame:
     """The same with places counted within each worker's documents: global places in the order of worker
-    and document, less the worker's first, which is one row a worker."""
-    placed = with_ordinal(docs.withColumn("worker", worker), "worker", "doc_id")
+    and document, less the worker's first, which is one row a worker. The worker follows from the doc_id."""
+    placed = places(docs.select(worker.alias("worker"), "doc_id"), "worker", "doc_id")
     first = placed.groupBy("worker").agg(F.min("ordinal").alias("first"))
-    joined = placed.join(F.broadcast(first), "worker")
-    return joined.withColumn("part", F.when((F.col("ordinal") - F.col("first")) % every == 0, "val").otherwise("train")).drop("worker", "ordinal", "first")
-
-
-def counters(ids: DataFrame, split: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row of run metadata: documents, train and val tokens with BOS and EOS, vocabulary size, its
-    smallest unsigned type, and unknown tokens of all, those of dropped documents included."""
-    of_docs = split.agg(
-        F.count("*").alias("docs"), F.coalesce(F.sum(F.when(F.col("part") == "train", F.size("ids"))), F.lit(0)).alias("train_tokens"),
-        F.coalesce(F.sum(F.when(F.col("part") == "val", F.size("ids"))), F.lit(0)).alias("val_tokens"),
-    )
-    of_ids = ids.agg(F.count("*").alias("total_tokens"), F.count_if(F.col("id") == UNK).alias("unk_count"))
+    part = F.when((F.col("ordinal") - F.col("first")) % every == 0, "val").otherwise("train")
+    return docs.join(placed.join(F.broadcast(first), "worker").select("doc_id", part.alias("part")), "doc_id")
+
+
+def sizes(ids: DataFrame) -> DataFrame:
+    """(doc_id, n, unk): tokens and unknown tokens of each document, combined before the shuffle."""
+    return ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == UNK).alias("unk"))
+
+
+def narrow(vocab_size: Column, most: int = NARROW_SEQUENTIAL) -> Column:
+    """The type of written ids: uint16 up to ``most`` entries, which the two encoders put at
+    NARROW_SEQUENTIAL and NARROW_PARALLEL, else uint32."""
+    return F.when(vocab_size <= most, "uint16").otherwise("uint32")
+
+
+def counters(of_docs: DataFrame, vocab: DataFrame, least: int = MIN_IDS, every: int = VAL_EVERY, most: int = NARROW_SEQUENTIAL) -> DataFrame:
+    """One row of run metadata of documents given as ``sizes``: kept documents, train and val tokens with BOS
+    and EOS, vocabulary size, type of the ids, and unknown tokens of all, those of dropped documents included."""
+    of_docs = materialise(of_docs, "sizes")
+    kept = with_ordinal(of_docs.filter(F.col("n") + 2 >= least).select("doc_id", "n"), "doc_id")
+    val = F.col("ordinal") % every == 0
+    part = lambda own: F.coalesce(F.sum(F.when(own, F.col("n") + 2)), F.lit(0))
+    of_kept = kept.agg(F.count("*").alias("docs"), part(~val).alias("train_tokens"), part(val).alias("val_tokens"))
+    of_all = of_docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("unk"), F.lit(0)).alias("unk_count"))
     size = keep_last(vocab).agg(F.count("*").alias("vocab_size"))
-    one = of_docs.crossJoin(of_ids).crossJoin(size)  # one row each
-    dtype = F.when(F.col("vocab_size") > 65535, "uint32").otherwise("uint16")
-    return one.withColumn("dtype", dtype).withColumn("unk_ratio", F.col("unk_count") / F.greatest("total_tokens", F.lit(1)))
+    one = of_kept.crossJoin(of_all).crossJoin(size)  # one row each
+    return one.withColumn("dtype", narrow(F.col("vocab_size"), most)).withColumn("unk_ratio", F.col("unk_count") / F.greatest("total_tokens", F.lit(1)))
 
 
-def flatten(docs: DataFrame) -> DataFrame:
-    """(place, id): all ids of all documents in the order of doc_id as one sequence, ``place`` from 0.
+def worker_counters(of_docs: DataFrame, worker: Column, least: int = MIN_IDS, every: int = VAL_EVERY) -> DataFrame:
+    """(worker, docs, kept, tokens, unk_tokens, train_ids, val_ids) of documents given as ``sizes``: the totals
+    of each worker of a parallel run, whose split counts its own kept documents."""
+    of_docs = materialise(of_docs.withColumn("worker", worker), "worker-sizes")
+    kept = split_by_worker(of_docs.filter(F.col("n") + 2 >= least), F.col("worker"), every)
+    part = lambda name: F.coalesce(F.sum(F.when(F.col("part") == name, F.col("n") + 2)), F.lit(0))
+    of_kept = kept.groupBy("worker").agg(F.count("*").alias("kept"), part("train").alias("train_ids"), part("val").alias("val_ids"))
+    of_all = of_docs.groupBy("worker").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.sum("unk").alias("unk_tokens"))
+    return of_all.join(of_kept, "worker", "left").na.fill(0, ["kept", "train_ids", "val_ids"])
 
-    The offset of a document is its partition's, from one sum for each partition, and a
-    running sum over the sizes within the partition.
-    """
-    ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    ranged = materialise(ranged.select("doc_id", "ids", "part"), "sequence")
-    run = F.sum(F.size("ids")).over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    running = ranged.withColumn("run", F.coalesce(run, F.lit(0))).join(_offsets(ranged, "part", F.sum(F.size("ids"))), "part")
-    return running.withColumn("begin", F.col("before") + F.col("run")).select("begin", F.posexplode("ids").alias("i", "id")).select((F.col("begin") + F.col("i")).cast("bigint").alias("place"), "id")
-
-
-def pack(sequence: DataFrame, block: int) -> DataFrame:
-    """(block_id, x, y): full blocks of ``block`` ids and the same moved on by one."""
-    both = sequence.select(F.floor(F.col("place") / block).alias("block_id"), F.lit(0).alias("moved"), (F.col("place") % block).alias("i"), "id").unionByName(
-        sequence.filter("place > 0").select(F.floor((F.col("place") - 1) / block).alias("block_id"), F.lit(1).alias("moved"), ((F.col("place") - 1) % block).alias("i"), "id")
-    )
-    side = lambda m: F.transform(F.array_sort(F.collect_list(F.when(F.col("moved") == m, F.struct("i", "id")))), lambda s: s["id"])
-    return both.groupBy("block_id").agg(side(0).alias("x"), side(1).alias("y")).filter((F.size("x") == block) & (F.size("y") == block))
-
-
-def blocks_at(sequence: DataFrame, starts: DataFrame, block: int) -> DataFrame:
-    """(start, x, y): the blocks that begin at given places, met by equality on the coarse place
-    (a block touches two at most), not by a range join."""
-    cells = starts.select("start", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + block) / block))).alias("cell"))
-    met = cells.join(sequence.withColumn("cell", F.floor(F.col("place") / block)), "cell").withColumn("i", F.col("place") - F.col("start")).filter((F.col("i") >= 0) & (F.col("i") <= block))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda s: s["id"])
-    whole = met.groupBy("start").agg(ids.alias("ids")).filter(F.size("ids") == block + 1)
+
+def begins(docs: DataFrame) -> DataFrame:
+    """(doc_id, begin): where each document begins in the sequence of all ids in the order of doc_id. Worked
+    out on (doc_id, size) rows: one sum for each range partition, and a running sum within it."""
+    ranged = docs.select("doc_id", F.size("ids").alias("size")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged, "sequence")
+    run = F.sum("size").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    running = ranged.withColumn("run", F.coalesce(run, F.lit(0))).join(_offsets(ranged, "part", F.sum("size")), "part")
+    return running.select("doc_id", (F.col("before") + F.col("run")).cast("bigint").alias("begin"))
+
+
+def flatten(docs: DataFrame) -> DataFrame:
+    """(place, id): all ids of all documents in the order of doc_id as one sequence, ``place`` from 0. doc_id is unique."""
+    placed = docs.select("doc_id", "ids").join(begins(docs), "doc_id")
+    return placed.select("begin", F.posexplode("ids").alias("i", "id")).select((F.col("begin") + F.col("i")).cast("bigint").alias("place"), "id")
+
+
+def _cells(docs: DataFrame, width: int, beyond: int) -> DataFrame:
+    """(cell, begin, own): the pieces of each document's array that lie in places cell * width to
+    (cell + 1) * width + beyond - 1; ``begin`` is the place of a piece's first id."""
+    placed = docs.filter(F.size("ids") > 0).select("doc_id", "ids").join(begins(docs), "doc_id")
+    end = F.col("begin") + F.size("ids")
+    first = F.greatest(F.floor((F.col("begin") - beyond) / width), F.lit(0))
+    listed = placed.select("begin", "ids", end.alias("end"), F.explode(F.sequence(first, F.floor((end - 1) / width))).alias("cell"))
+    low, high = F.greatest("begin", F.col("cell") * width), F.least("end", (F.col("cell") + 1) * width + beyond)
+    piece = F.slice("ids", (low - F.col("begin") + 1).cast("int"), (high - low).cast("int"))
+    return listed.filter(high > low).select("cell", low.alias("begin"), piece.alias("own"))
+
+
+def _in_order(begin: str = "begin", own: str = "own") -> Column:
+    return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(begin, own))), lambda p: p[own]))
+
+
+def pack(docs: DataFrame, block: int) -> DataFrame:
+    """(block_id, x, y): full blocks of ``block`` ids of the sequence and the same moved on by one. Documents are
+    cut where blocks begin, so a block is put together of a few pieces, each with the one id after it."""
+    whole = _cells(docs, block, 1).groupBy(F.col("cell").alias("block_id")).agg(_in_order().alias("ids")).filter(F.size("ids") == block + 1)
+    return whole.select("block_id", F.slice("ids", 1, block).alias("x"), F.slice("ids", 2, block).alias("y"))
+
+
+def draw_starts(spark: SparkSession, draws: int, length: int, block: int, seed: int = 42) -> DataFrame:
+    """(draw, start): places drawn evenly from those at which a block and the id after it fit, by the digest
+    of seed and draw. A sequence that is too short for any is an error."""
+    most = length - block - 1
+    if most <= 0:
+        raise ValueError(f"a sequence of {length} ids is too short for blocks of {block}")
+    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "id")), 1, 15), 16, 10).cast("bigint")
+    return spark.range(draws).select(F.col("id").alias("draw"), (number % most).alias("start"))
+
+
+def blocks_at(docs: DataFrame, starts: DataFrame, block: int) -> DataFrame:
+    """(start, x, y): the blocks that begin at given places, met by equality on the cell (a block
+    touches two at most), not by a range join. Columns of ``starts`` but start are left out; a place drawn twice is one row."""
+    cells = starts.select("start").distinct().select("start", F.explode(F.array(F.floor(F.col("start") / (block + 1)), F.floor(F.col("start") / (block + 1)) + 1)).alias("cell"))
+    met = cells.join(_cells(docs, block + 1, 0), "cell")
+    low, high = F.greatest("begin", "start"), F.least(F.col("begin") + F.size("own"), F.col("start") + block + 1)
+    cut = met.filter(high > low).select("start", low.alias("at"), F.slice("own", (low - F.col("begin") + 1).cast("int"), (high - low).cast("int")).alias("own"))
+    whole = cut.groupBy("start").agg(_in_order("at").alias("ids")).filter(F.size("ids") == block + 1)
     return whole.select("start", F.slice("ids", 1, block).alias("x"), F.slice("ids", 2, block).alias("y"))
 
 
+_TYPED = re.compile(r"<([^>]*)>(.*)", re.S)
+_SILENT = {"<pad>", "<bos>", "<eos>"}
+
+
+class _Pieces:
+    """What each id adds to a text, as arrays over vocabulary rows; the last row is that of unknown ids."""
+
+    def __init__(self, vocab: list[tuple[int, str]]):
+        rows = sorted(dict(sorted(vocab)).items())  # of tokens with one id the greatest
+        self.ids = np.array([i for i, _ in rows], np.int64)
+        typed = [t for _, t in rows] + ["<unk>"]
+        parts = [m.groups() if (m := _TYPED.fullmatch(t)) else ("UNK", t) for t in typed]
+        self.silent = np.array([t in _SILENT for t in typed])
+        self.glued = np.array([k in ("SUFFIX", "PUNCT") for k, _ in parts])
+        self.opens = np.array([s[-1:] in (" ", "\n", "'", "’", "(", "[", "{", "/") and s != "" for _, s in parts])
+        self.text = pa.array([s for _, s in parts] + [" " + s for _, s in parts])
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at, len(self.ids))
+
+
 def decode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, text): special tokens left out, suffixes and punctuation put on, all else parted by
-    a blank unless an opening sign, an apostrophe, a slash or white space is before it."""
-    names = vocab.filter("id is not null").groupBy("id").agg(F.max("token").alias("typed"))
-    rows = docs.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(names), "id", "left")
-    rows = rows.withColumn("typed", F.coalesce("typed", F.lit("<unk>"))).filter(~F.col("typed").isin("<pad>", "<bos>", "<eos>"))
-    rows = rows.withColumn("t", split_typed(F.col("typed"))).select("doc_id", "pos", "t.kind", "t.surface")
-    before = F.lag("surface").over(Window.partitionBy("doc_id").orderBy("pos"))
-    glued = F.col("kind").isin("SUFFIX", "PUNCT") | before.isNull() | before.rlike(r"[ \n'’(\[{/]$")
-    rows = rows.withColumn("piece", F.when(glued, F.col("surface")).otherwise(F.concat(F.lit(" "), "surface")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
-    out = rows.groupBy("doc_id").agg(text.alias("text"))
-    return docs.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    a blank unless an opening sign, an apostrophe, a slash or white space is before it. A null or empty array
+    gives ''. One pass over Arrow arrays with the vocabulary, of at most MAX_VOCAB rows, broadcast."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = vocab.filter("id is not null and token is not null").select(F.col("id").cast("bigint").alias("id"), "token").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCAB} rows")
+    held = spark.sparkContext.broadcast(_Pieces([(r.id, r.token) for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = held.value
+        n = len(p.silent)
+        for batch in batches:
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(False)
+            doc = np.repeat(np.arange(len(size)), size)
+            at = p.rows(pc.fill_null(lists.flatten(), -1).to_numpy(False).astype(np.int64))
+            keep = ~p.silent[at]
+            doc, at = doc[keep], at[keep]
+            first = np.ones(len(at), bool)
+            first[1:] = doc[1:] != doc[:-1]
+            free = first | p.glued[at]
+            free[1:] |= p.opens[at[:-1]] & ~first[1:]
+            pieces = p.text.take(pa.array(np.where(free, at, at + n)))
+            ends = np.searchsorted(doc, np.arange(len(size) + 1)).astype(np.int32)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces), "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
+
+    return docs.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

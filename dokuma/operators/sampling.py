@@ -61,11 +61,16 @@ def tokens_seen(step: Column, batch: int, accumulate: int, block: int, world: in
     return step * (batch * accumulate * block * world)
 
 
-def cross_entropy(logits: DataFrame, targets: DataFrame, ignore: int = -100) -> DataFrame:
-    """(loss): the mean over sequences of -log p(target); targets of ``ignore`` do not count."""
-    used = targets.filter(F.col("target") != ignore)
+def losses(logits: DataFrame, targets: DataFrame, ignore: int = -100) -> DataFrame:
+    """(seq_id, target, loss): -log p(target) of each sequence; targets of ``ignore`` do not count."""
+    used = targets.filter(F.col("target") != ignore).select("seq_id", "target")
     met = softmax(logits).join(used, "seq_id").filter(F.col("token_id") == F.col("target"))
-    return met.agg(F.avg(-F.log("p")).alias("loss"))
+    return met.select("seq_id", "target", (-F.log("p")).alias("loss"))
+
+
+def cross_entropy(logits: DataFrame, targets: DataFrame, ignore: int = -100) -> DataFrame:
+    """(loss): the mean over sequences of -log p(target)."""
+    return losses(logits, targets, ignore).agg(F.avg("loss").alias("loss"))
 
 
 def state_summary(tensors: DataFrame) -> DataFrame:

@@ -234,8 +234,9 @@ def place(tokens: list[dict]) -> list[dict]:
     return out
 
 
-def tokens(docs: DataFrame, lex: Lexicon | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, tokens): an array of TOKEN for each row; empty for a null or empty text."""
+def tokens(docs: DataFrame, lex: Lexicon | None = None, id_col: str = "doc_id", text_col: str = "text", skip_errors: bool = False) -> DataFrame:
+    """(id_col, tokens): an array of TOKEN for each row; empty for a null or empty text. With ``skip_errors``
+    a text that cannot be tokenised gives null and does not end the job."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     held = spark.sparkContext.broadcast(lex or Lexicon())
@@ -244,16 +245,26 @@ def tokens(docs: DataFrame, lex: Lexicon | None = None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = cache.get("t")
         if tok is None:
-            gc.disable()  # a batch is millions of tuples without cycles, which the collector would walk again and again
             tok = cache["t"] = Tokenizer(held.value)
-        for batch in batches:
-            rows, ends = [], [0]
-            for t in batch.column(1).to_pylist():
-                rows += tok.rows(t)
-                ends.append(len(rows))
-            columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
-            flat = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [id_col, "tokens"])
+        gc.disable()  # a batch is millions of tuples without cycles, which the collector would walk again and again
+        try:
+            for batch in batches:
+                rows, ends, lost = [], [0], []
+                for t in batch.column(1).to_pylist():
+                    try:
+                        rows += tok.rows(t)
+                        lost.append(False)
+                    except Exception:
+                        if not skip_errors:
+                            raise
+                        lost.append(True)
+                    ends.append(len(rows))
+                columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
+                flat = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(lost, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, "tokens"])
+        finally:
+            gc.enable()
 
     schema = T.StructType([docs.schema[id_col], T.StructField("tokens", T.ArrayType(TOKEN))])
     return spread(docs.select(id_col, text_col)).select(id_col, nfc(F.col(text_col)).alias(text_col)).mapInArrow(run, schema)

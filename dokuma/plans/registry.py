@@ -26,8 +26,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").filter(encode.long_enough(F.col("text")))
     rows = materialise(tokenizer.explode_tokens(tokenizer.tokens(docs, lexicon(spark, folder))).select("doc_id", "pos", "token", "token_type"), "tokens")
     vocab = encode.build_vocab(rows, 1000).select("token", "id")
-    ids = encode.lookup(rows, vocab)
-    return encode.counters(ids, encode.split_global(encode.frame(ids)), vocab)
+    return encode.counters(encode.sizes(encode.lookup(rows, vocab)), vocab)
 
 
 def lexicon(spark: SparkSession, folder: str) -> Lexicon:
@@ -47,6 +46,10 @@ def _logits(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select("seq_id", "token_id", F.round(F.col("v").cast("double") * 20, 6).alias("logit"))
 
 
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("seq_id"), F.when(F.col("label") == 0, -100).otherwise(F.col("label")).alias("target"))
+
+
 def _history(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "encoded_docs").select(F.col("doc_id").alias("seq_id"), F.posexplode(F.slice("ids", F.lit(1), F.size("ids") - 1)).alias("pos", "token_id"))
 
@@ -98,10 +101,52 @@ def schema_inspect(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(n, *sft.inspect(f)) for n, f in frames.items()], "name string, status string, hit array<string>")
 
 
+def _kind(spark: SparkSession, folder: str) -> str:
+    """The type of ids that the vocabulary's size asks for."""
+    return encode.keep_last(table(spark, folder, "vocab")).agg(encode.narrow(F.count("*"), encode.NARROW_PARALLEL).alias("kind")).first().kind
+
+
 def shard_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    path = _scratch(spark, "shard")
-    files.write_shard(table(spark, folder, "encoded_docs").select("doc_id", "ids"), path)
-    return files.read_shard(spark, path).groupBy("id").agg(F.count("*").alias("n"))
+    """Ids written as a shard of the type the vocabulary asks for and read again as one sequence."""
+    path, kind = _scratch(spark, "shard"), _kind(spark, folder)
+    files.write_shard(table(spark, folder, "encoded_docs"), path, kind)
+    return files.read_shard(spark, path, kind, least=BLOCK + 2)
+
+
+def scan_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return files.scan_errors(table(spark, folder, "sft_raw").select("record_id", "payload"), "payload", F.pmod("record_id", F.lit(4)), "output")
+
+
+def run_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters of a run written as JSON and read again."""
+    path, own = _scratch(spark, "meta"), encode_meta(spark, folder)
+    files.write_meta(own, path)
+    return spark.read.schema(own.schema).json(path)
+
+
+def run_config(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark, "config")
+    files.run_config(spark, {"preset": "sanity", "block": BLOCK, "val_every": encode.VAL_EVERY, "dtype": _kind(spark, folder)}, path)
+    return spark.read.schema("block int, dtype string, preset string, val_every int").json(path)
+
+
+def prompt_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompt of a file, which goes before the one given."""
+    path = _scratch(spark, "prompt")
+    spark.createDataFrame([("Kısa bir şiir yaz.",)], "value string").coalesce(1).write.text(path)
+    got = [("file", files.read_prompt(spark, "verilen", path).rstrip("\n")), ("given", files.read_prompt(spark, "verilen"))]
+    return spark.createDataFrame(got, "source string, prompt string")
+
+
+def preview(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "sft_raw").select("record_id", "payload", "source")
+    return files.preview(rows.orderBy("record_id"), ("payload",))
+
+
+def dtype_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The types that both encoders choose about the limit."""
+    n = spark.range(65_534, 65_539).select(F.col("id").alias("vocab_size"))
+    return n.select("vocab_size", encode.narrow(F.col("vocab_size")).alias("sequential"), encode.narrow(F.col("vocab_size"), encode.NARROW_PARALLEL).alias("parallel"))
 
 
 def text_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,6 +213,13 @@ def turkish_bases(spark: SparkSession, folder: str) -> DataFrame:
     return met.select("word", tx.is_turkish_base(F.col("word"), F.coalesce("known", F.lit(False))).alias("turkish"))
 
 
+def acronyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Known acronyms among the words of the documents, taken as roots, those in capitals only."""
+    cores = words.edges(words.split(table(spark, folder, "documents")).filter("not blank")).select(F.col("core").alias("token"), F.lit("ROOT").alias("token_type"))
+    known = annotate.acronyms(cores, tx.is_all_caps(F.col("token"))).filter("expansion is not null")
+    return known.groupBy("token", "token_type", "expansion").agg(F.count("*").alias("n"))
+
+
 def foreign_apostrophes(spark: SparkSession, folder: str) -> DataFrame:
     return words.foreign_apostrophes(table(spark, folder, "documents"), lexicon(spark, folder))
 
@@ -210,8 +262,12 @@ def _framed(spark: SparkSession, folder: str, keep_space: bool = False) -> DataF
 
 def encode_meta(spark: SparkSession, folder: str) -> DataFrame:
     vocab = table(spark, folder, "vocab")
-    ids = encode.lookup(_typed_rows(spark, folder), vocab)
-    return encode.counters(ids, encode.split_global(encode.frame(ids)), vocab)
+    return encode.counters(encode.sizes(encode.lookup(_typed_rows(spark, folder), vocab)), vocab)
+
+
+def worker_meta(spark: SparkSession, folder: str) -> DataFrame:
+    of_docs = encode.sizes(encode.lookup(_typed_rows(spark, folder), table(spark, folder, "vocab"), True))
+    return encode.worker_counters(of_docs, F.pmod("doc_id", F.lit(4)))
 
 
 def _sequence(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,8 +275,9 @@ def _sequence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def random_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    starts = spark.range(200).select((F.col("id") * 97 + 5).alias("start"))
-    return encode.blocks_at(_sequence(spark, folder), starts, BLOCK)
+    docs = table(spark, folder, "encoded_docs")
+    length = docs.agg(F.sum(F.size("ids")).alias("n")).first().n
+    return encode.blocks_at(docs, encode.draw_starts(spark, 200, length, BLOCK), BLOCK)
 
 
 def _maskable(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,16 +343,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reclassify": lambda s, f: annotate.reclassify(_rows(s, f)).groupBy("token", "token_type", "flag").agg(F.count("*").alias("n")),
         "canonical": lambda s, f: annotate.canonical(_rows(s, f)).groupBy("canonical").agg(F.count("*").alias("n")),
         "compounds": lambda s, f: annotate.compounds(_rows(s, f)).filter("parts is not null").select("doc_id", "pos", "token", "parts"),
-        "acronyms": lambda s, f: annotate.acronyms(_rows(s, f), F.col("token").rlike(r"^\p{Lu}+$")).filter("expansion is not null").select("doc_id", "pos", "token_type", "expansion"),
+        "acronyms": acronyms,
         "morph_pos": lambda s, f: annotate.morph_pos(_typed_rows(s, f)).select("doc_id", "pos", "token_type", "morph_pos"),
         "vocab_topk": vocab_topk,
         "encode_docs": lambda s, f: _framed(s, f),
         "encode_docs_keep_space": lambda s, f: _framed(s, f, True),
         "split_global": lambda s, f: encode.split_global(table(s, f, "encoded_docs").select("doc_id")),
         "split_by_worker": lambda s, f: encode.split_by_worker(table(s, f, "encoded_docs").select("doc_id"), F.pmod("doc_id", F.lit(4))),
+        "encode_max_docs": lambda s, f: encode.first_kept(_framed(s, f), 100),
         "encode_meta": encode_meta,
+        "worker_meta": worker_meta,
+        "run_meta": run_meta,
+        "run_config": run_config,
+        "dtype_rules": dtype_rules,
+        "scan_errors": scan_errors,
+        "prompt_source": prompt_source,
+        "preview": preview,
         "flatten_ids": _sequence,
-        "pack_blocks": lambda s, f: encode.pack(_sequence(s, f), BLOCK),
+        "pack_blocks": lambda s, f: encode.pack(table(s, f, "encoded_docs"), BLOCK),
         "random_blocks": random_blocks,
         "decode_ids": lambda s, f: encode.decode(table(s, f, "encoded_docs"), table(s, f, "vocab")),
         "encode_pairs": encode_pairs,
@@ -313,7 +378,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ngram_ban": lambda s, f: sampling.banned_ngrams(_history(s, f), 2),
         "draw": lambda s, f: sampling.draw(_logits(s, f)),
         "lr_schedule": lambda s, f: s.range(1, 1001).select(F.col("id").alias("step"), F.round(sampling.learning_rate(F.col("id"), 3e-4, 100, 1000), 12).alias("lr"), sampling.tokens_seen(F.col("id"), 1, 64, 1024, 4).alias("tokens")),
-        "perplexity": lambda s, f: _logits(s, f).filter("token_id = 0").select("seq_id", F.round(sampling.perplexity(F.col("logit")), 6).alias("ppl")),
-        "masked_loss": lambda s, f: sampling.cross_entropy(_logits(s, f), table(s, f, "embeddings").select(F.col("vec_id").alias("seq_id"), F.when(F.col("label") == 0, -100).otherwise(F.col("label")).alias("target"))).select(F.round("loss", 6).alias("loss")),
+        "perplexity": lambda s, f: sampling.losses(_logits(s, f), _targets(s, f)).groupBy("target").agg(F.round(sampling.perplexity(F.avg("loss")), 6).alias("ppl")),
+        "masked_loss": lambda s, f: sampling.cross_entropy(_logits(s, f), _targets(s, f)).select(F.round("loss", 6).alias("loss")),
         "state_summary": lambda s, f: sampling.state_summary(table(s, f, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("dtype"), F.col("p_size").cast("bigint").alias("numel"))),
     }

@@ -58,7 +58,7 @@ def oracle_sql() -> dict[str, str]:
     punct = "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in "'?.,;:!-–—()[]{}\"`/\\|@#$%^&*+=<>~’‘“”′«»‹›•…·°±×÷").replace("'", "''")
     caps = r"(length({0}) >= 2 AND NOT regexp_matches({0}, '[^\p{{Lu}}]'))"
     wl = r"regexp_replace(word, '[^\p{L}]', '', 'g')"
-    return {
+    out = {
         "corpus_filter_sequential": "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) > 50",
         "corpus_filter_parallel": "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) >= 50",
         "jsonl_scan": "SELECT record_id, payload ->> '$.output' AS text FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM sft_raw) WHERE json_type(payload) = 'OBJECT' AND length(payload ->> '$.output') > 50",
@@ -68,7 +68,12 @@ def oracle_sql() -> dict[str, str]:
         "vocab_by_id": "SELECT id, max(token) AS token FROM vocab GROUP BY id",
         "lexicon_load": f"WITH {LEX} SELECT word FROM lex",
         "name_load": r"SELECT DISTINCT lower(n) AS name FROM (SELECT regexp_replace(word, '^\s+|\s+$', '', 'g') AS n FROM lexicon) WHERE n <> '' AND NOT starts_with(n, '#')",
-        "shard_roundtrip": "SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM encoded_docs) GROUP BY id",
+        "shard_roundtrip": f"WITH {SEQUENCE} SELECT place, CAST(id AS BIGINT) AS id FROM seq",
+        "scan_errors": "WITH l AS (SELECT record_id % 4 AS worker, CASE WHEN json_valid(payload) THEN payload END AS p FROM sft_raw), o AS (SELECT worker, CASE WHEN json_type(p) = 'OBJECT' THEN p END AS p FROM l) SELECT worker, count(*) AS lines, count(*) FILTER (p IS NULL) AS json_errors, count(*) FILTER (p IS NOT NULL AND NOT coalesce(length(p ->> '$.output') >= 50, false)) AS short, count(*) FILTER (length(p ->> '$.output') >= 50) AS kept FROM o GROUP BY worker",
+        "dtype_rules": "SELECT n AS vocab_size, CASE WHEN n > 65535 THEN 'uint32' ELSE 'uint16' END AS sequential, CASE WHEN n <= 65536 THEN 'uint16' ELSE 'uint32' END AS parallel FROM (VALUES (65534), (65535), (65536), (65537), (65538)) AS v(n)",
+        "run_config": "SELECT 64 AS block, CASE WHEN count(DISTINCT token) <= 65536 THEN 'uint16' ELSE 'uint32' END AS dtype, 'sanity' AS preset, 100 AS val_every FROM vocab",
+        "prompt_source": "SELECT * FROM (VALUES ('file', 'Kısa bir şiir yaz.'), ('given', 'verilen')) AS v(source, prompt)",
+        "preview": "SELECT CAST(record_id AS VARCHAR) AS record_id, left(payload, 300) AS payload, left(source, 200) AS source FROM sft_raw ORDER BY sft_raw.record_id LIMIT 2",
         "text_forms": "SELECT doc_id, nfc_normalize(text) AS nfc, lower(translate(nfc_normalize(text), 'İI', 'iı')) AS small FROM documents",
         "char_predicates": f"SELECT DISTINCT token, regexp_matches(token, '[çğışöüÇĞİŞÖÜ]') AS turkish, {caps.format(letters)} AS caps, (length({letters}) >= 2 AND regexp_matches({letters}, '\\p{{Ll}}') AND regexp_matches({letters}, '^.+\\p{{Lu}}')) AS mixed, regexp_full_match(regexp_replace(token, '^[{BLANK}]+|[{BLANK}]+$', '', 'g'), '(?:[{punct}0-9]|[^\\x{{0}}-\\x{{2FF}}\\p{{L}}])+') AS punct FROM token_rows WHERE token IS NOT NULL",
         "clean_fields": f"SELECT example_id, {', '.join(f'{_clean(c)} AS {c}' for c in ('instruction', 'input', 'output', 'source'))} FROM sft_examples",
@@ -91,7 +96,8 @@ def oracle_sql() -> dict[str, str]:
         "reclassify": f"WITH {ROWS}, f AS (SELECT token, token_type, {flag} AS flag FROM rows_once) SELECT token, CASE WHEN flag IN ('num', 'roman') THEN 'NUM' WHEN flag = 'unit' THEN 'UNIT' WHEN flag = 'month' THEN 'ROOT' ELSE token_type END AS token_type, flag, count(*) AS n FROM f GROUP BY ALL",
         "canonical": f"WITH {ROWS} SELECT m.v AS canonical, count(*) AS n FROM rows_once LEFT JOIN (SELECT * FROM {_values(tables.MORPHEMES, 'k', 'v')}) m ON token_type = 'SUFFIX' AND m.k = {low} GROUP BY 1",
         "compounds": f"WITH {ROWS} SELECT doc_id, pos, token, string_split(m.v, '+') AS parts FROM rows_once JOIN (SELECT * FROM {_values({k: '+'.join(v) for k, v in tables.COMPOUNDS.items()}, 'k', 'v')}) m ON token_type = 'ROOT' AND m.k = {low}",
-        "acronyms": f"WITH {ROWS} SELECT doc_id, pos, 'ACRONYM' AS token_type, m.v AS expansion FROM rows_once JOIN (SELECT * FROM {_values(tables.ACRONYMS, 'k', 'v')}) m ON m.k = upper(trim(token)) WHERE token_type = 'ACRONYM' OR (token_type = 'ROOT' AND regexp_full_match(token, '\\p{{Lu}}+'))",
+        "acronyms": f"""WITH p AS (SELECT unnest(regexp_extract_all(text, '[^{BLANK}]+')) AS piece FROM documents), c AS (SELECT regexp_replace(piece, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g') AS token FROM p)
+            SELECT token, 'ACRONYM' AS token_type, m.v AS expansion, count(*) AS n FROM c JOIN (SELECT * FROM {_values(tables.ACRONYMS, 'k', 'v')}) m ON m.k = upper(token) WHERE {caps.format(letters)} GROUP BY ALL""",
         "morph_pos": f"""{TYPED}, g AS (SELECT *, sum(CASE WHEN token_type IN ('SUFFIX', 'SPACE') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS w FROM typed_rows)
             SELECT doc_id, pos, token_type, CAST(CASE WHEN token_type = 'SUFFIX' THEN sum(CASE WHEN token_type = 'SUFFIX' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, w ORDER BY pos) ELSE 0 END AS INT) AS morph_pos FROM g""",
         "vocab_topk": f"{TYPED}, c AS (SELECT '<' || token_type || '>' || token AS token, count(*) AS n FROM typed_rows WHERE token <> '' AND token_type <> 'SPACE' GROUP BY 1), r AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rn FROM c) SELECT token, n, CAST(rn + 3 AS INT) AS id FROM r WHERE rn <= 1000",
@@ -99,11 +105,14 @@ def oracle_sql() -> dict[str, str]:
         "encode_docs_keep_space": f"{IDS.replace(' AND token_type <> ' + _q('SPACE'), '')}, {FRAMED} SELECT doc_id, ids FROM framed",
         "split_global": "SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) % 100 = 0 THEN 'val' ELSE 'train' END AS part FROM encoded_docs",
         "split_by_worker": "SELECT doc_id, CASE WHEN (row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1) % 100 = 0 THEN 'val' ELSE 'train' END AS part FROM encoded_docs",
+        "encode_max_docs": f"{IDS}, {FRAMED} SELECT doc_id, ids FROM framed ORDER BY doc_id LIMIT 100",
+        "worker_meta": f"""{IDS.replace(' AND token_type <> ' + _q('SPACE'), '')}, s AS (SELECT doc_id, doc_id % 4 AS worker, count(*) AS n, count(*) FILTER (id = 3) AS unk FROM ids GROUP BY doc_id), k AS (SELECT worker, n + 2 AS n, (row_number() OVER (PARTITION BY worker ORDER BY doc_id) - 1) % 100 = 0 AS val FROM s WHERE n + 2 >= 16)
+            SELECT worker, count(*) AS docs, (SELECT count(*) FROM k WHERE k.worker = s.worker) AS kept, sum(n) AS tokens, sum(unk) AS unk_tokens, (SELECT coalesce(sum(n), 0) FROM k WHERE k.worker = s.worker AND NOT val) AS train_ids, (SELECT coalesce(sum(n), 0) FROM k WHERE k.worker = s.worker AND val) AS val_ids FROM s GROUP BY worker""",
         "encode_meta": f"""{IDS}, {FRAMED}, s AS (SELECT len(ids) AS n, (row_number() OVER (ORDER BY doc_id) - 1) % 100 = 0 AS val FROM framed)
             SELECT (SELECT count(*) FROM s) AS docs, (SELECT coalesce(sum(n), 0) FROM s WHERE NOT val) AS train_tokens, (SELECT coalesce(sum(n), 0) FROM s WHERE val) AS val_tokens, (SELECT count(*) FROM ids) AS total_tokens, (SELECT count(*) FROM ids WHERE id = 3) AS unk_count, (SELECT count(*) FROM v) AS vocab_size, CASE WHEN (SELECT count(*) FROM v) > 65535 THEN 'uint32' ELSE 'uint16' END AS dtype, (SELECT count(*) FROM ids WHERE id = 3) / greatest((SELECT count(*) FROM ids), 1) AS unk_ratio""",
         "flatten_ids": f"WITH {SEQUENCE} SELECT place, id FROM seq",
         "pack_blocks": f"WITH {SEQUENCE}, x AS (SELECT CAST(floor(place / 64) AS BIGINT) AS block_id, list(id ORDER BY place) AS x FROM seq GROUP BY 1), y AS (SELECT CAST(floor((place - 1) / 64) AS BIGINT) AS block_id, list(id ORDER BY place) AS y FROM seq WHERE place > 0 GROUP BY 1) SELECT block_id, x, y FROM x JOIN y USING (block_id) WHERE len(x) = 64 AND len(y) = 64",
-        "random_blocks": f"WITH {SEQUENCE}, starts AS (SELECT range * 97 + 5 AS start FROM range(200)), b AS (SELECT start, list(id ORDER BY place) AS ids FROM starts JOIN seq ON place BETWEEN start AND start + 64 GROUP BY start) SELECT start, ids[1:64] AS x, ids[2:65] AS y FROM b WHERE len(ids) = 65",
+        "random_blocks": f"WITH {SEQUENCE}, starts AS (SELECT DISTINCT CAST('0x' || substr(md5('42-' || range), 1, 15) AS BIGINT) % ((SELECT count(*) FROM seq) - 65) AS start FROM range(200)), b AS (SELECT start, list(id ORDER BY place) AS ids FROM starts JOIN seq ON place BETWEEN start AND start + 64 GROUP BY start) SELECT start, ids[1:64] AS x, ids[2:65] AS y FROM b WHERE len(ids) = 65",
         "decode_ids": r"""WITH n AS (SELECT id, max(token) AS typed FROM vocab WHERE id IS NOT NULL GROUP BY id), r AS (SELECT doc_id, i, coalesce(n.typed, '<unk>') AS typed FROM (SELECT doc_id, ids[i] AS id, i FROM (SELECT doc_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM encoded_docs)) LEFT JOIN n USING (id)),
             s AS (SELECT doc_id, i, regexp_extract(typed, '(?s)^<([^>]*)>', 1) AS kind, regexp_replace(typed, '(?s)^<[^>]*>', '') AS surface FROM r WHERE typed NOT IN ('<pad>', '<bos>', '<eos>')),
             p AS (SELECT doc_id, i, kind, surface, lag(surface) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s),
@@ -122,7 +131,8 @@ def oracle_sql() -> dict[str, str]:
         "repetition_penalty": f"WITH {LOGITS} SELECT seq_id, token_id, round(CASE WHEN token_id % 3 <> 0 THEN logit WHEN logit < 0 THEN logit * 1.3 ELSE logit / 1.3 END, 9) AS logit FROM logits",
         "ngram_ban": "WITH h AS (SELECT doc_id AS seq_id, ids, len(ids) - 1 AS n FROM encoded_docs), g AS (SELECT seq_id, ids, n, unnest(range(1, n)) AS i FROM h) SELECT DISTINCT seq_id, ids[i + 1] AS token_id FROM g WHERE ids[i] = ids[n]",
         "lr_schedule": "SELECT range AS step, round(CASE WHEN range <= 100 THEN 3e-4 * range / 100 ELSE 3e-4 * 0.5 * (1 + cos(pi() * (range - 100) / 900)) END, 12) AS lr, range * 262144 AS tokens FROM range(1, 1001)",
-        "perplexity": f"WITH {LOGITS} SELECT seq_id, round(exp(least(logit, 20)), 6) AS ppl FROM logits WHERE token_id = 0",
+        "perplexity": f"WITH {LOGITS}, e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY seq_id)) AS e FROM logits), p AS (SELECT *, e / sum(e) OVER (PARTITION BY seq_id) AS p FROM e) SELECT label AS target, round(exp(least(avg(-ln(p)), 20)), 6) AS ppl FROM p JOIN embeddings ON vec_id = seq_id AND token_id = label WHERE label <> 0 GROUP BY label",
         "masked_loss": f"WITH {LOGITS}, e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY seq_id)) AS e FROM logits), p AS (SELECT *, e / sum(e) OVER (PARTITION BY seq_id) AS p FROM e) SELECT round(avg(-ln(p)), 6) AS loss FROM p JOIN embeddings ON vec_id = seq_id AND token_id = label WHERE label <> 0",
         "state_summary": "SELECT p_type AS dtype, count(*) AS tensors, sum(CAST(p_size AS BIGINT)) AS parameters FROM part GROUP BY p_type",
     }
+    return out | {"run_meta": out["encode_meta"]}

@@ -15,14 +15,17 @@ def test_flatten_and_pack_in_order(spark):
     docs = spark.createDataFrame([(5, [5, 6]), (1, [1, 2, 3]), (3, []), (9, [9])], IDS)
     rows = encode.flatten(docs).orderBy("place").collect()
     assert [(r.place, r.id) for r in rows] == list(enumerate([1, 2, 3, 5, 6, 9]))
-    assert [(r.x, r.y) for r in encode.pack(encode.flatten(docs), 2).orderBy("block_id").collect()] == [([1, 2], [2, 3]), ([3, 5], [5, 6])]
+    assert [(r.x, r.y) for r in encode.pack(docs, 2).orderBy("block_id").collect()] == [([1, 2], [2, 3]), ([3, 5], [5, 6])]
+    long = spark.createDataFrame([(i, [i] * r) for i, r in enumerate([700, 0, 1, 63, 64, 65, 2])], IDS)
+    flat = [x for i, r in enumerate([700, 0, 1, 63, 64, 65, 2]) for x in [i] * r]
+    assert {r.block_id: (r.x, r.y) for r in encode.pack(long, 64).collect()} == {b: (flat[b * 64 : b * 64 + 64], flat[b * 64 + 1 : b * 64 + 65]) for b in range((len(flat) - 1) // 64)}
     assert encode.flatten(docs.limit(0)).count() == 0
 
 
 def test_blocks_at(spark):
     docs = spark.createDataFrame([(1, list(range(10)))], IDS)
     starts = spark.createDataFrame([(0,), (3,), (7,)], "start bigint")
-    got = {r.start: (r.x, r.y) for r in encode.blocks_at(encode.flatten(docs), starts, 3).collect()}
+    got = {r.start: (r.x, r.y) for r in encode.blocks_at(docs, starts, 3).collect()}
     assert got == {0: ([0, 1, 2], [1, 2, 3]), 3: ([3, 4, 5], [4, 5, 6])}
 
 
@@ -39,10 +42,60 @@ def test_lookup_without_broadcast_is_the_same(spark):
     assert {(r.pos, r.id) for r in a} == {(0, 9), (3, encode.UNK)} == {(r.pos, r.id) for r in encode.lookup(rows, vocab, most_broadcast=0).collect()}
 
 
+def test_drawn_starts_fit(spark):
+    got = [r.start for r in encode.draw_starts(spark, 500, 20, 10).collect()]
+    assert set(got) == set(range(9))
+    with pytest.raises(ValueError):
+        encode.draw_starts(spark, 1, 11, 10)
+
+
 def test_shard_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([(2, [65535, 0]), (1, [7])], IDS)
+    docs = spark.createDataFrame([(2, [65535, 0]), (1, [7]), (3, []), (4, None)], IDS)
+    files.write_shard(docs, f"{tmp_path}/s")
+    assert [(r.place, r.id) for r in files.read_shard(spark, f"{tmp_path}/s").orderBy("place").collect()] == [(0, 7), (1, 65535), (2, 0)]
+    with pytest.raises(ValueError):
+        files.read_shard(spark, f"{tmp_path}/s", least=4)
+    wide = spark.createDataFrame([(1, [70000])], IDS)
+    with pytest.raises(Exception, match="does not fit uint16"):
+        files.write_shard(wide, f"{tmp_path}/w")
+    files.write_shard(wide, f"{tmp_path}/w4", "uint32")
+    assert [r.id for r in files.read_shard(spark, f"{tmp_path}/w4", "uint32").collect()] == [70000]
+
+
+def test_shard_places_do_not_depend_on_batches(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "array(cast(id AS int), 1) AS ids")
     files.write_shard(docs, f"{tmp_path}/s")
-    assert [r.id for r in files.read_shard(spark, f"{tmp_path}/s").orderBy("first_doc", "i").collect()] == [7, 65535, 0]
+    got = files.read_shard(spark, f"{tmp_path}/s").orderBy("place").collect()
+    assert [r.place for r in got] == list(range(6000)) and [r.id for r in got[::2]] == list(range(3000))
+
+
+def test_decode(spark):
+    vocab = spark.createDataFrame([("<ROOT>ev", 4), ("<SUFFIX>ler", 5), ("<PUNCT>(", 6), ("<pad>", 0), ("<bos>", 1), ("<eos>", 2), ("<ROOT>aa", 4), ("çıplak", 7), (None, 8)], "token string, id int")
+    docs = spark.createDataFrame([(1, [1, 4, 5, 7, 6, 4, 2]), (2, []), (3, None), (4, [9, 0, 9, None])], IDS)
+    assert {r.doc_id: r.text for r in encode.decode(docs, vocab).collect()} == {1: "evler çıplak(ev", 2: "", 3: "", 4: "  "}
+    assert {r.text for r in encode.decode(docs.filter("doc_id < 3"), vocab.limit(0)).collect()} == {"      ", ""}
+
+
+def test_first_kept_and_splits(spark):
+    docs = spark.range(250).selectExpr("id * 3 AS doc_id", "array(1) AS ids")
+    assert {r.doc_id for r in encode.first_kept(docs, 7).collect()} == {i * 3 for i in range(7)}
+    assert {r.doc_id for r in encode.split_global(docs).filter("part = 'val'").collect()} == {0, 300, 600}
+
+
+def test_texts_that_fail_are_skipped_only_if_asked(spark, monkeypatch):
+    from dokuma.operators import tokenizer
+
+    class Breaks(tokenizer.Tokenizer):
+        def rows(self, text):
+            if text == "kötü":
+                raise ValueError(text)
+            return super().rows(text)
+
+    monkeypatch.setattr(tokenizer, "Tokenizer", Breaks)
+    docs = spark.createDataFrame([(1, "iyi"), (2, "kötü"), (3, "iyi gün")], "doc_id bigint, text string")
+    assert {r.doc_id: r.tokens and len(r.tokens) for r in tokenizer.tokens(docs, skip_errors=True).collect()} == {1: 1, 2: None, 3: 3}
+    with pytest.raises(Exception, match="kötü"):
+        tokenizer.tokens(docs).collect()
 
 
 def test_jsonl_drops_broken_lines(spark, tmp_path):

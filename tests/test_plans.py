@@ -8,7 +8,7 @@ from dokuma.plans import registry
 from tests.oracle import FOLDER
 
 #: Queries that join single rows.
-ONE_ROW = {"encode_meta"}
+ONE_ROW = {"encode_meta", "run_meta"}
 
 
 def plan(df):
