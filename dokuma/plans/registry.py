@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dokuma.functions import text as tx
 from dokuma.functions.lexicon import Lexicon, load_names, load_words
 from dokuma.operators import annotate, encode, sampling, sft, tokenizer, words
-from dokuma.plans.sql import oracle_sql
+from dokuma.plans import cases, sql
 from dokuma.session import materialise, shared_dir
 from dokuma.sources import files
 from dokuma.sources.tables import table
@@ -309,6 +309,10 @@ def sft_shuffle_cap(spark: SparkSession, folder: str) -> DataFrame:
     return sft.shuffle_cap(rows, 20_000)
 
 
+def oracle_sql() -> dict[str, str]:
+    return sql.oracle_sql() | cases.oracle_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "corpus_filter_sequential": _doc_ids(lambda t: encode.long_enough(t)),
@@ -381,4 +385,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "perplexity": lambda s, f: sampling.losses(_logits(s, f), _targets(s, f)).groupBy("target").agg(F.round(sampling.perplexity(F.avg("loss")), 6).alias("ppl")),
         "masked_loss": lambda s, f: sampling.cross_entropy(_logits(s, f), _targets(s, f)).select(F.round("loss", 6).alias("loss")),
         "state_summary": lambda s, f: sampling.state_summary(table(s, f, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("dtype"), F.col("p_size").cast("bigint").alias("numel"))),
-    }
+    } | cases.queries()
