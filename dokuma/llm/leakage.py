@@ -1,16 +1,23 @@
 """Documents that hold passages of held-out evaluation items.
 
 Texts are compared as streams of folded letters and digits, so case, accents, blanks,
-line breaks and punctuation do not matter. By the q-gram lemma a passage of m letters with
-k changed words keeps at least its q-grams but those that the changed words touch. For
-each item the least number of shared q-grams that any qualifying passage keeps is
-worked out beforehand (``Index.need``); shared q-grams of a document and an item are
-counted in diagonal bands that overlap by half, and only bands reaching that number are
-kept and verified by a banded word alignment. No qualifying passage is lost.
+line breaks and punctuation do not matter. A qualifying passage is a run of at least half of
+an item's words that a document holds with at most ``CHANGED`` word edits (words changed, lost
+or added) a word of the run, as ``passage`` finds it over the whole table.
+
+By the q-gram lemma a passage keeps at least its q-grams but those that the edited words
+touch. For each item the least number of counted q-grams that any qualifying passage keeps,
+of whatever length from half of the words on, is worked out beforehand (``Index.need``).
+Shared q-grams of a document and an item are counted in diagonal bands. Diagonals are
+differences of word numbers, so an edit moves a passage by one at most, however long the
+word; bands are as wide as twice the item's edit budget and overlap by half, so every passage
+lies in one. Bands reaching the least number are verified by a word alignment of that
+band. No qualifying passage is lost.
 
 Q-grams that many items share (a common lead-in) are not counted; the items' thresholds
 are lowered by them exactly, and an item whose threshold would fall under one gets its
-frequent q-grams back.
+frequent q-grams back. An item of so short words that its q-grams promise nothing even then is
+looked for by runs of ``RUN`` words, one of which every qualifying passage holds unedited.
 
 The items are the query side: they are indexed in blocks of bounded size, each
 broadcast and held against all documents in one pass without a shuffle.
@@ -31,12 +38,11 @@ from dokuma.sources.tables import table
 
 Q = 12
 MIN_WORDS = 10
-#: Changed words over the words of the passage.
+#: Edited words (changed, lost or added) over the item's words in the passage.
 CHANGED = 0.15
-#: Letters by which edits may shift a passage; half a band's width.
-BAND = 48
-#: Words about the expected place that the alignment compares.
-BAND_WORDS = 16
+#: Words that every passage of at least half of MIN_WORDS words holds unedited in a row: with s words and
+#: k = CHANGED * s edits, (s - k) / (k + 1) rounded up, which is least for s = 7.
+RUN = 3
 #: Items that may share a q-gram for it to be counted.
 FREQUENT = 12
 #: Letters of the items of one block, which bounds what is broadcast to some 60 MB.
@@ -58,7 +64,7 @@ class _Stream:
         self.first = np.concatenate((self.word_at, [len(c)]))[last]  # first letter of each text
         n = len(c) - Q + 1
         if n <= 0:
-            self.grams, self.at, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.grams, self.at, self.doc, self.word = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         up, down = powers(len(c) + 1)
         with np.errstate(over="ignore"):
@@ -68,91 +74,121 @@ class _Stream:
         inside = doc[:n] == doc[Q - 1 :]
         self.at = np.flatnonzero(inside)
         self.grams, self.doc = h[self.at], doc[self.at]
+        self.word = (np.cumsum(np.bincount(self.word_at, minlength=len(c))) - 1)[self.at]  # index of the word each begins in
 
 
 class Index:
-    """Q-grams of one block of items."""
+    """Q-grams of one block of items, and runs of words of those that q-grams cannot tell."""
 
     def __init__(self, items: list[tuple[int, str]]):
         s = _Stream([t for _, t in items])
         w = s.words
+        n = len(items)
         self.ids = [i for i, _ in items]
-        self.item_words = [w.hash[w.first[i] : w.first[i + 1]].tolist() for i in range(len(items))]
-        self.item_at = [s.word_at[w.first[i] : w.first[i + 1]] - s.first[i] for i in range(len(items))]
+        self.item_words = [w.hash[w.first[i] : w.first[i + 1]].tolist() for i in range(n)]
         n_words = np.diff(w.first)
+        #: Half a band: word edits may move a passage by less.
+        self.half = (n_words * CHANGED).astype(np.int64) + 1
         code, inverse = np.unique(s.grams, return_inverse=True)
-        pairs = np.unique(inverse.astype(np.int64) * len(items) + s.doc)
-        spread = np.bincount(pairs // max(len(items), 1), minlength=len(code))
+        pairs = np.unique(inverse.astype(np.int64) * max(n, 1) + s.doc)
+        spread = np.bincount(pairs // max(n, 1), minlength=len(code))
         counted = spread[inverse] <= FREQUENT
-        self.need = np.zeros(len(items), np.int64)
-        for i in range(len(items)):
-            own = s.doc == i
-            need = self._least(s, i, n_words[i], counted)
+        bounds = np.searchsorted(s.doc, np.arange(n + 1))
+        self.need = np.full(n, 1 << 40)
+        by_run = np.zeros(n, bool)
+        for i in np.flatnonzero(n_words >= MIN_WORDS):
+            own = slice(bounds[i], bounds[i + 1])
+            need = self._least(s, i, s.at[own][counted[own]])
             if need < 1:
-                counted = counted | own
-                need = max(1, self._least(s, i, n_words[i], counted))
+                counted[own] = True
+                need = self._least(s, i, s.at[own])
+            by_run[i] = need < 1
             self.need[i] = need
-        use = counted & (n_words[s.doc] >= MIN_WORDS)
-        order = np.argsort(s.grams[use], kind="stable")
-        g = s.grams[use][order]
-        self.code, self.begin, self.count = np.unique(g, return_index=True, return_counts=True)
-        self.item = s.doc[use][order]
-        self.pos = (s.at[use] - s.first[s.doc[use]])[order]
-        self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[(self.code >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        use = counted & (n_words[s.doc] >= MIN_WORDS) & ~by_run[s.doc]
+        self.grams = _Postings(s.grams[use], s.doc[use], s.word[use] - w.first[s.doc[use]])
+        h, at = w.shingles(RUN)
+        use = by_run[w.doc[at]]
+        self.need[by_run] = 1
+        self.runs = _Postings(h[use], w.doc[at][use], (at - w.first[w.doc[at]])[use])
 
     @staticmethod
-    def _least(s: _Stream, i: int, n: int, counted: np.ndarray) -> int:
-        """The least number of counted q-grams of item i that a passage of half its
-        words keeps, whichever of its words are changed."""
-        if n < MIN_WORDS:
-            return 1 << 40
-        a = s.words.first[i]
-        at, size = s.word_at[a : a + n], s.word_len[a : a + n]
-        lo, hi = s.first[i], s.first[i + 1]
-        flags = np.zeros(hi - lo + 1, np.int64)
-        own = s.at[(s.doc == i) & counted] - lo
-        flags[own + 1] = 1
+    def _least(s: _Stream, i: int, at: np.ndarray) -> int:
+        """The least number of the q-grams beginning at the given letters that a qualifying passage of item i keeps,
+        whatever its length and whichever of its words are edited. An edited word spoils the q-grams that
+        begin in it or less than Q letters before it; the longest words are taken to be the edited ones."""
+        a, b = s.words.first[i], s.words.first[i + 1]
+        n, lo = b - a, s.first[i]
+        begin = s.word_at[a:b] - lo
+        end = begin + s.word_len[a:b]
+        flags = np.zeros(s.first[i + 1] - lo + 1, np.int64)
+        flags[at - lo + 1] = 1
         upto = np.cumsum(flags)
-        span = -(-n // 2)
-        k = int(span * CHANGED)
+        spoilt = np.concatenate(([0], np.cumsum(np.sort(s.word_len[a:b])[::-1] + Q - 1)))
         least = 1 << 40
-        for j in range(n - span + 1):
-            begin, end = at[j] - lo, at[j + span - 1] + size[j + span - 1] - lo
-            inside = upto[max(end - Q + 1, begin)] - upto[begin]
-            spoilt = np.sort(size[j : j + span])[-k:].sum() + k * (Q - 1) if k else 0
-            least = min(least, int(inside - spoilt))
+        for span in range(-(-n // 2), n + 1):
+            first = begin[: n - span + 1]
+            inside = upto[np.maximum(end[span - 1 :] - Q + 1, first)] - upto[first]
+            least = min(least, int(inside.min() - spoilt[int(span * CHANGED)]))
         return least
 
 
-def passage(item: list, doc: list, centre: list[int] | None = None, changed: float = CHANGED, width: int = BAND_WORDS) -> tuple[int, int]:
+class _Postings:
+    """Where codes occur in the items: (item, word number) in runs by code."""
+
+    def __init__(self, codes: np.ndarray, item: np.ndarray, word: np.ndarray):
+        order = np.argsort(codes, kind="stable")
+        self.code, self.begin, self.count = np.unique(codes[order], return_index=True, return_counts=True)
+        self.item, self.word = item[order], word[order]
+        self.bitmap = np.zeros(1 << _BITS, bool)
+        self.bitmap[(self.code >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+
+    def meet(self, codes: np.ndarray, doc: np.ndarray, word: np.ndarray, least: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, difference of word numbers) of all occurrences of the items' codes, in documents with at least so many."""
+        none = np.zeros(0, np.int64)
+        maybe = np.flatnonzero(self.bitmap[(codes >> np.uint64(64 - _BITS)).astype(np.int64)])
+        if not len(maybe) or not len(self.code):
+            return none, none, none
+        g = codes[maybe]
+        spot = np.minimum(np.searchsorted(self.code, g), len(self.code) - 1)
+        hit = self.code[spot] == g
+        maybe, spot = maybe[hit], spot[hit]
+        n = self.count[spot]
+        keep = np.bincount(doc[maybe], weights=n, minlength=docs)[doc[maybe]] >= least
+        maybe, spot, n = maybe[keep], spot[keep], n[keep]
+        if not len(maybe):
+            return none, none, none
+        which = np.repeat(self.begin[spot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        return np.repeat(doc[maybe], n), self.item[which], np.repeat(word[maybe], n) - self.word[which]
+
+
+def passage(item: list, doc: list, low: int | None = None, high: int | None = None, changed: float = CHANGED) -> tuple[int, int]:
     """(words spanned, words matched) of the longest run of item words that doc holds as
-    one running passage with at most that share of them changed, by a local alignment
+    one running passage with at most that share of them edited, by a local alignment
     in which a changed, lost or added word costs three matches.
 
-    centre[i]: where in doc word i of the item is expected; only words within ``width`` of
-    it are compared. Without it the whole table is computed.
+    low, high: the diagonals (number of the doc word less that of the item word) that the alignment keeps to,
+    high not included. Without them the whole table is computed.
     """
     best = (0, 0)
-    none = (0, 0, 0)  # a cell: (score, item word begun at, matched)
-    row: dict[int, tuple[int, int, int]] = {}
+    none = (0, 0, 0, 0)  # a cell: (score, item word begun at, matched, edits saved)
+    row: dict[int, tuple[int, int, int, int]] = {}
     for i, x in enumerate(item, 1):
-        lo, hi = (0, len(doc)) if centre is None else (max(0, centre[i - 1] - width), min(len(doc), centre[i - 1] + width + 1))
-        new: dict[int, tuple[int, int, int]] = {}
+        lo = 0 if low is None else max(0, i - 1 + low)
+        hi = len(doc) if high is None else min(len(doc), i - 1 + high)
+        new: dict[int, tuple[int, int, int, int]] = {}
         left = none
         for j in range(lo, hi):
-            s, b, m = row.get(j - 1, none)
+            s, b, m, e = row.get(j - 1, none)
             if x == doc[j]:
                 if not s:
-                    b, m = i - 1, 0
-                left = new[j] = (s + 1, b, m + 1)
-                if (i - b, m + 1) > best and m + 1 >= (i - b) * (1 - changed):
+                    b, m, e = i - 1, 0, 0
+                left = new[j] = (s + 1, b, m + 1, e)
+                if (i - b, m + 1) > best and -e <= (i - b) * changed:
                     best = (i - b, m + 1)
                 continue
-            up = row.get(j, none)
-            top = max((s, b, m), up, left)
+            top = max((s, b, m, e), row.get(j, none), left)
             if top[0] > 3:
-                left = new[j] = (top[0] - 3, top[1], top[2])
+                left = new[j] = (top[0] - 3, top[1], top[2], top[3] - 1)
             else:
                 left = none
         row = new
@@ -162,46 +198,36 @@ def passage(item: list, doc: list, centre: list[int] | None = None, changed: flo
 def _scan(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, words spanned, words matched) of the texts of a block."""
     s = _Stream(texts)
-    maybe = np.flatnonzero(index.bitmap[(s.grams >> np.uint64(64 - _BITS)).astype(np.int64)])
-    if not len(maybe) or not len(index.code):
-        return
-    g = s.grams[maybe]
-    spot = np.minimum(np.searchsorted(index.code, g), len(index.code) - 1)
-    hit = index.code[spot] == g
-    maybe, spot = maybe[hit], spot[hit]
-    n = index.count[spot]
-    # documents with fewer hits than the least threshold are out before postings are unrolled
-    per_doc = np.bincount(s.doc[maybe], weights=n, minlength=len(texts))
-    keep = per_doc[s.doc[maybe]] >= index.need.min()
-    maybe, spot, n = maybe[keep], spot[keep], n[keep]
-    if not len(maybe):
+    w = s.words
+    n = len(texts)
+    items = max(len(index.ids), 1)
+    met = [index.grams.meet(s.grams, s.doc, s.word - w.first[s.doc], index.need.min(), n)]
+    if len(index.runs.code):
+        h, at = w.shingles(RUN)
+        met.append(index.runs.meet(h, w.doc[at], at - w.first[w.doc[at]], 1, n))
+    doc, item, shift = (np.concatenate(x) for x in zip(*met, strict=True))
+    if not len(doc):
         return
-    which = np.repeat(index.begin[spot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    item, ipos = index.item[which], index.pos[which]
-    doc = np.repeat(s.doc[maybe], n)
-    dpos = np.repeat(s.at[maybe] - s.first[s.doc[maybe]], n)
-    cell = (dpos - ipos) // BAND + (1 << 30)
-    key = (doc.astype(np.uint64) * np.uint64(len(index.ids)) + item.astype(np.uint64)) << np.uint64(32) | cell.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, shift = key[order], (dpos - ipos)[order]
-    cells, begin, count = np.unique(key, return_index=True, return_counts=True)
-    after = np.zeros(len(cells), np.int64)
-    after[:-1] = np.where(cells[1:] == cells[:-1] + np.uint64(1), count[1:], 0)
+    cell = shift // index.half[item] + (1 << 30)
+    key = (doc.astype(np.uint64) * np.uint64(items) + item.astype(np.uint64)) << np.uint64(32) | cell.astype(np.uint64)
+    cells, count = np.unique(key, return_counts=True)
+    # a band is a cell and the next; a passage may begin in the cell before with words too few for a q-gram
+    joined = cells[1:] == cells[:-1] + np.uint64(1)
+    after, alone = np.zeros(len(cells), np.int64), np.ones(len(cells), np.int64)
+    after[:-1] = np.where(joined, count[1:], 0)
+    alone[1:] = ~joined
     pair = (cells >> np.uint64(32)).astype(np.int64)
-    w = s.words
     found: dict[tuple[int, int], tuple[int, int]] = {}
-    for c in np.flatnonzero(count + after >= index.need[pair % len(index.ids)]):
-        d, i = divmod(int(pair[c]), len(index.ids))
+    for c in np.flatnonzero(count + after >= index.need[pair % items]):
+        d, i = divmod(int(pair[c]), items)
         words = index.item_words[i]
         if found.get((d, i), (0, 0))[0] * 2 >= len(words):
             continue
-        # the band's middle tells where each word of the item is expected
-        middle = int(np.median(shift[begin[c] : begin[c] + count[c] + after[c]]))
-        a, b = w.first[d], w.first[d + 1]
-        centre = np.searchsorted(s.word_at[a:b], s.first[d] + middle + index.item_at[i]).tolist()
-        lo = max(0, centre[0] - BAND_WORDS)
-        hashes = w.hash[a + lo : min(b, a + centre[-1] + BAND_WORDS + 1)].tolist()
-        got = passage(words, hashes, [x - lo for x in centre])
+        half, at = int(index.half[i]), int(cells[c] & np.uint64(0xFFFFFFFF)) - (1 << 30)
+        low, high = (at - int(alone[c])) * half, (at + 2) * half
+        a, b, lo = w.first[d], w.first[d + 1], max(0, low)
+        hashes = w.hash[a + lo : max(a + lo, min(b, a + len(words) + high))].tolist()
+        got = passage(words, hashes, low - lo, high - lo)
         found[d, i] = max(found.get((d, i), (0, 0)), got)
     for (d, i), (span, matched) in found.items():
         if span * 2 >= len(index.item_words[i]):

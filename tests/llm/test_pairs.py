@@ -132,21 +132,53 @@ def test_leaks(spark, monkeypatch):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
-def test_filter_loses_no_passage():
-    """Whatever words are changed within the budget, the counted q-grams reach the item's threshold."""
-    items, _, _ = planted(5)
-    ix = leakage.Index([(i, t) for i, _, t, _ in items[:40]])
+def edited(r, part, k, mode):
+    """The part with k words changed, lost or added, its ends kept."""
+    part = list(part)
+    for _ in range(k):
+        j, m = r.randint(1, max(1, len(part) - 2)), r.choice("sdi") if mode == "x" else mode
+        if m == "s":
+            part[j] = "q" * r.randint(1, 20)
+        elif m == "d":
+            del part[j]
+        else:
+            part.insert(j, "w" * r.randint(1, 20))
+    return part
+
+
+def test_no_passage_is_lost():
+    """Whatever is found by aligning every item with every document over the whole table is found by the index."""
     r = random.Random(6)
-    for k, (_, _, text, _) in enumerate(items[:40]):
-        words = text.split()
-        for _ in range(20):
-            span = -(-len(words) // 2)
-            begin = r.randint(0, len(words) - span)
-            part = words[begin : begin + span]
-            inner = range(4, span - 3, 5)  # a change at an end only makes the passage shorter
-            for j in r.sample(inner, min(len(inner), int(span * leakage.CHANGED))):
-                part[j] = "q" * r.randint(1, 9)
-            assert any(i == k for _, i, *_ in leakage._scan(ix, [" ".join(part)]))
+    word = lambda a, b: "".join(r.choice("bcdfglmnrst") + r.choice("aeiou") for _ in range(r.randint(a, b)))
+    makers = [lambda: word(2, 4), lambda: word(1, 1), lambda: r.choice(["o", "bu", "ne", "da", "ve", "su"])]
+    cases = [(240, 132, 13, "i"), (400, 220, 21, "i")] + [(n, None, None, m) for n in (10, 11, 14, 20, 33, 60, 120, 240) for m in "sdix" for _ in range(5)]
+    qualify = 0
+    for n, span, k, mode in cases:
+        make = makers[0] if span else r.choice(makers)
+        item = [make() for _ in range(n)]
+        ix = leakage.Index([(1, " ".join(item)), (2, " ".join(word(2, 4) for _ in range(30)))])
+        for _ in range(2):
+            size = span or r.randint(-(-n // 2), n)
+            at = r.randint(0, n - size)
+            part = edited(r, item[at : at + size], int(size * leakage.CHANGED * r.random()) if k is None else k, mode)
+            doc = " ".join([make() for _ in range(r.randint(0, 60))] + part + [make() for _ in range(r.randint(0, 60))])
+            want = leakage.passage(fold_words(" ".join(item)), fold_words(doc))[0] * 2 >= n
+            assert any(i == 0 for _, i, *_ in leakage._scan(ix, [doc])) == want
+            qualify += want
+    assert qualify > 200
+
+
+def test_short_words_are_looked_for_by_runs():
+    item = "o ne bu su da ve ki de mi ya"
+    ix = leakage.Index([(7, item)])
+    assert len(ix.runs.code) and [x[1:3] for x in leakage._scan(ix, ["ev " * 40 + "ne bu su da ve ki" + " ev" * 40, "ne bu su ki", ""])] == [(0, 6)]
+
+
+def test_runs_are_long_enough():
+    """Every passage holds RUN unedited words in a row."""
+    for s in range(-(-leakage.MIN_WORDS // 2), 500):
+        k = int(s * leakage.CHANGED)
+        assert -(-(s - k) // (k + 1)) >= leakage.RUN
 
 
 def test_passage():
