@@ -318,14 +318,9 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def encoder_of(data: bytes) -> Encoder:
-    """One encoder a Python worker, kept between batches and tasks.
-
-    Its tables hold no cycles, so reference counts free all there is to free; the cycle
-    collector, which would walk through every state again and again, is turned off.
-    """
+    """One encoder a Python worker, kept between batches and tasks."""
     key = hash(data)
     if key not in _ENCODERS:
-        gc.disable()
         _ENCODERS[key] = Encoder(data)
     return _ENCODERS[key]
 
@@ -341,12 +336,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     held = spark.sparkContext.broadcast(read_vocabulary(path or os.path.join(TOKENIZERS, VOCAB)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_of(held.value).encode_packed
-        for batch in batches:
-            packed = [enc(t) for t in batch.column(1).to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64))).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], [id_col, "ids"])
+        gc.disable()  # the encoder's tables hold no cycles, and the collector would walk through every state again and again
+        try:
+            enc = encoder_of(held.value).encode_packed
+            for batch in batches:
+                packed = [enc(t) for t in batch.column(1).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64))).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], [id_col, "ids"])
+        finally:
+            gc.enable()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

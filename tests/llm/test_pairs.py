@@ -66,7 +66,7 @@ def test_overlaps_against_brute_force(spark):
     assert got == want and len(want) > 100
 
 
-def test_overlaps_of_nothing_and_frequent_shingles(spark):
+def test_overlaps_of_nothing_and_boilerplate(spark):
     assert split_overlap.overlaps(spark.createDataFrame([], DOCS)).count() == 0
     same = "ortak giriş cümlesi her belgede durur ve hiç değişmez burada "
     r = random.Random(2)
@@ -74,8 +74,41 @@ def test_overlaps_of_nothing_and_frequent_shingles(spark):
     rows.append((99, rows[1][1] + " son", "train", ""))
     docs = spark.createDataFrame(rows, DOCS)
     assert {(x.eval_doc, x.train_doc) for x in split_overlap.overlaps(docs).collect()} == {(1, 99)}
-    frequent, _ = split_overlap.order_of(docs.filter("split <> 'train'"), parts=64)
-    assert len(frequent)
+
+
+def test_texts_that_repeat_a_word(spark):
+    r = random.Random(9)
+    words = ["aynı"] * 150 + [f"söz{i}" for i in range(50)]
+    other = list(words)
+    for j in r.sample(range(150, 200), 17):
+        other[j] = "yeni" + str(j)
+    rows = [(1, " ".join(words), "train", ""), (2, " ".join(other), "val", ""), (3, " ".join(["aynı"] * 200), "train", ""), (4, " ".join(["aynı"] * 190), "test", ""), (5, "aynı " * 30, "train", "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {(2, 1): 17, (4, 3): 10}
+    for most in (split_overlap.MOST_ENTRIES, 0):  # with a filter and without
+        assert {(x.eval_doc, x.train_doc): x.edits for x in split_overlap.overlaps(docs, most).collect()} == want
+
+
+def test_stretches_hold_a_shingle():
+    n = np.arange(split_overlap.MIN_WORDS, 200_000)
+    assert (n // (split_overlap.widest(n) + 1)).min() >= split_overlap.Q
+
+
+def test_report_counts_pairs_without_making_them(spark, tmp_path):
+    r = random.Random(12)
+    text = lambda: " ".join(f"k{r.randrange(10**6)}" for _ in range(30))
+    a, b = text(), text()
+    rows = [(i, a if i < 12 else b if i < 20 else text(), "train" if i % 4 == 0 else "val" if i % 4 == 1 else "test", "x" if i % 2 else None) for i in range(40)]
+    rows.append((50, a + " ek", "train", "x"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, split string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [tuple(x) for x in split_overlap.overlaps(docs).select("eval_doc", "train_doc").collect()]
+    of = {i: (s, q) for i, _, s, q in rows}
+    want = {}
+    for e, _ in pairs:
+        want.setdefault(of[e], []).append(e)
+    got = {(x.split, x.source): (x.documents, x.pairs) for x in split_overlap.p7_report(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(set(v)), len(v)) for k, v in want.items()} and len(pairs) > 30
 
 
 def test_word_edits():
@@ -86,11 +119,13 @@ def test_word_edits():
         assert split_overlap.word_edits(a, b, most) == min(slow_edits(a, b), most + 1)
 
 
-def test_bloom_loses_nothing(spark):
+def test_filters_lose_nothing(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'x' AS text")
     ids = spark.range(0, 1000, 7)
-    rows = spark.range(3000).withColumnRenamed("id", "doc_id")
-    passed = {x.doc_id for x in split_overlap.pass_bloom(rows, "doc_id", split_overlap.bloom(ids, 1 << 12), 1 << 12).collect()}
-    assert {x.id for x in ids.collect()} <= passed and len(passed) < 1500
+    want = {x.id for x in ids.collect()}
+    passed = {x.doc_id for x in split_overlap.some_texts(docs, ids).collect()}
+    assert want <= passed and len(passed) < 300
+    assert split_overlap.some_texts(docs, ids, 10).count() == 3000 and split_overlap.some_texts(docs, ids.limit(0)).count() == 0
 
 
 ITEMS = "item_id bigint, task string, text string, doc_id string"
