@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from dokuma.functions import text as tx
 from dokuma.functions.lexicon import Lexicon, load_names, load_words
 from dokuma.operators import annotate, encode, sampling, sft, tokenizer, words
 from dokuma.plans import cases, sql
-from dokuma.session import materialise, shared_dir
+from dokuma.session import materialise, scratch
 from dokuma.sources import files
 from dokuma.sources.tables import table
 
@@ -64,10 +63,6 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _doc_ids(keep: Callable) -> Callable:
     return lambda spark, folder: table(spark, folder, "documents").filter(keep(F.col("text"))).select("doc_id", F.length("text").alias("chars"))
 
@@ -78,14 +73,14 @@ def jsonl_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    path = _scratch(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     files.write_jsonl(_pairs(spark, folder).select("instruction", "input", "output", "source"), path)
     return files.read_instructions(spark, path)
 
 
 def corpus_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     """Texts written as JSON lines and scanned again under both length filters."""
-    path = _scratch(spark, "corpus")
+    path = scratch(spark, "corpus")
     files.write_jsonl(table(spark, folder, "documents").select("text"), path)
     scan = files.scan_jsonl(spark, path)
     return scan.agg(F.count_if(encode.long_enough(F.col("text"))).alias("over_50"), F.count_if(encode.long_enough(F.col("text"), strict=False)).alias("from_50"))
@@ -108,7 +103,7 @@ def _kind(spark: SparkSession, folder: str) -> str:
 
 def shard_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Ids written as a shard of the type the vocabulary asks for and read again as one sequence."""
-    path, kind = _scratch(spark, "shard"), _kind(spark, folder)
+    path, kind = scratch(spark, "shard"), _kind(spark, folder)
     files.write_shard(table(spark, folder, "encoded_docs"), path, kind)
     return files.read_shard(spark, path, kind, least=BLOCK + 2)
 
@@ -119,20 +114,20 @@ def scan_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_meta(spark: SparkSession, folder: str) -> DataFrame:
     """The counters of a run written as JSON and read again."""
-    path, own = _scratch(spark, "meta"), encode_meta(spark, folder)
+    path, own = scratch(spark, "meta"), encode_meta(spark, folder)
     files.write_meta(own, path)
     return spark.read.schema(own.schema).json(path)
 
 
 def run_config(spark: SparkSession, folder: str) -> DataFrame:
-    path = _scratch(spark, "config")
+    path = scratch(spark, "config")
     files.run_config(spark, {"preset": "sanity", "block": BLOCK, "val_every": encode.VAL_EVERY, "dtype": _kind(spark, folder)}, path)
     return spark.read.schema("block int, dtype string, preset string, val_every int").json(path)
 
 
 def prompt_source(spark: SparkSession, folder: str) -> DataFrame:
     """The prompt of a file, which goes before the one given."""
-    path = _scratch(spark, "prompt")
+    path = scratch(spark, "prompt")
     spark.createDataFrame([("Kısa bir şiir yaz.",)], "value string").coalesce(1).write.text(path)
     got = [("file", files.read_prompt(spark, "verilen", path).rstrip("\n")), ("given", files.read_prompt(spark, "verilen"))]
     return spark.createDataFrame(got, "source string, prompt string")

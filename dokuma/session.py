@@ -43,29 +43,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Tables that ``materialise`` has written for each session.
+#: Folders that ``scratch`` has named for each session.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` or the end of the process deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a
     lost executor costs nothing but a re-read. The table stays until ``release`` or the
     end of the process."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system; one that is not there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def release() -> None:
     """Delete the tables written so far; frames that read them can no longer be evaluated."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(*_WRITTEN.pop())
         except Exception:  # the session has ended; the folder is the cluster's to clear
             return
 
