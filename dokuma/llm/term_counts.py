@@ -1,137 +1,211 @@
 """Occurrences and record counts of every term, kept up to date by signed deltas.
 
-A record is a document. ``signed`` turns added (+1), deleted (-1) or changed
-(-1 of the old, +1 of the new) records into per-term changes of the occurrences and
-of the number of records; ``merge`` adds them to the counts held as files
-partitioned by a hash of the term, rewriting only the partitions that are touched, and
-drops terms that reach zero. Only the added, changed and deleted records are ever aggregated.
-
-Hot terms and hot documents: each step has a map-side combine on a key that splits
-them, (doc_id, pos), then (doc_id, term), then term.
+A record is a document. ``per_document`` counts the terms of whole records, each place once however
+often it was delivered; ``deltas`` turns records that are added (+1), deleted (-1) or changed (-1 of the
+old, +1 of the new) into per-term changes of the occurrences and of the number of records; ``merge`` adds
+them to the counts held as files partitioned by a hash of the term, reading and rewriting only the
+partitions that are touched, and drops terms that reach zero. Only the added, changed and deleted records are
+ever aggregated. The number of records is held as the records of the null term, which every document has.
+
+Few places are delivered twice, so rows are not shuffled to find them. Deliveries are counted in digits of one number for
+``PLACES`` places of a document, which combines before the shuffle; a bit filter over the places that have
+more than one sends only their rows through an exact choice of the last delivery. All others are counted
+where they are read. Where the places are too many for a filter, all rows take the exact way.
+
+Hot terms and hot documents: each aggregation combines before the shuffle on a key that splits
+them, (document, places), then (document, term), then term.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.session import materialise, shared_dir
+from dokuma.llm._filters import MOST_ENTRIES, BitFilter
+from dokuma.session import delete, materialise, scratch
 from dokuma.sources.tables import table
 
 RARE_DOCS = 2
 COMMON_SHARE = 0.5
-BUCKETS = 16
+#: Terms of one bucket of the counts, about; twice as many double the number of buckets.
+BUCKET_ROWS = 100_000
+#: Places counted in one number, four bits each.
+PLACES = 15
+#: Versions that stay readable.
+KEEP = 2
 _BLANKS = r"(?U)^\s+|\s+$"
+TERM = ["token", "token_type"]
 
 
+def _terms(rows: DataFrame) -> DataFrame:
+    """Tokens without blanks at the ends and types in capitals; a row that is no term, being empty, null or of
+    type SPACE, becomes the null term."""
+    token, kind = F.regexp_replace("token", _BLANKS, ""), F.upper("token_type")
+    is_term = (token != "") & kind.isNotNull() & (kind != "SPACE")
+    return rows.withColumn("token", F.when(is_term, token)).withColumn("token_type", F.when(is_term, kind))
 
-def clean_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, token, token_type): one row per (doc_id, pos), the latest delivery
-    winning, ties by the greater token and type. The token may come out empty or
-    null; such rows stay, as they show that the document is in the table, and
-    ``signed`` leaves them out of the terms. Rows without doc_id are no record; rows
-    without pos are told apart by load time, token and type.
+
+def repeated_places(rows: DataFrame) -> DataFrame:
+    """(entry): the hashes of all (doc_id, pos) that have more than one row, and of some that have one: where the digits
+    of a number run over, all its places."""
+    digit = F.expr(f"shiftleft(1L, cast(4 * pmod(pos, {PLACES}) as int))")
+    runs = rows.filter("doc_id is not null and pos is not null").groupBy("doc_id", F.floor(F.col("pos") / PLACES).alias("run")).agg(F.try_sum(digit).alias("digits"), F.count("*").alias("n"))
+    seen = lambda i: F.expr(f"shiftright(digits, {4 * i}) & 15L")
+    total = reduce(lambda a, b: a + b, [seen(i) for i in range(PLACES)])
+    over = F.coalesce(total != F.col("n"), F.lit(True))
+    places = F.filter(F.array(*[F.when(over | (seen(i) > 1), F.lit(i)) for i in range(PLACES)]), lambda x: x.isNotNull())
+    listed = runs.filter("digits is null or digits <> 0").select("doc_id", "run", F.explode(places).alias("i"))
+    return listed.select(F.xxhash64("doc_id", (F.col("run") * PLACES + F.col("i")).cast("int")).alias("entry"))
+
+
+def per_document(rows: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """(doc_id, token, token_type, n): how often each term occurs in each document, and a row of the null term with n = 0
+    for every document.
+
+    rows: doc_id, pos, token, token_type, loaded_at. Of the rows of one (doc_id, pos) the latest counts, ties by the
+    greater token and type. Rows without doc_id are no record; rows without pos are told apart by load
+    time, token and type. Other columns are ignored; an empty table gives no rows.
     """
+    rows = rows.filter("doc_id is not null").select("doc_id", F.col("pos").cast("int").alias("pos"), "token", "token_type", "loaded_at")
+    filt = BitFilter(materialise(repeated_places(rows), "repeated-places"), most_entries)
+    flagged = filt.flag(rows, F.xxhash64("doc_id", "pos")).withColumn("maybe", F.col("maybe") | F.col("pos").isNull())
     own = [F.when(F.col("pos").isNull(), F.col(c)).alias(f"own_{c}") for c in ("loaded_at", "token", "token_type")]
-    last = rows.filter("doc_id is not null").groupBy("doc_id", "pos", *own).agg(F.max(F.struct("loaded_at", "token", "token_type")).alias("r"))
-    return last.select("doc_id", F.regexp_replace("r.token", _BLANKS, "").alias("token"), F.upper("r.token_type").alias("token_type"))
+    last = flagged.filter("maybe").groupBy("doc_id", "pos", *own).agg(F.max(F.struct("loaded_at", "token", "token_type")).alias("r"))
+    some = _terms(last.select("doc_id", "r.token", "r.token_type")).unionByName(_terms(flagged.filter("not maybe").select("doc_id", *TERM)))
+    counted = some.filter("token is not null").withColumn("n", F.lit(1)).unionByName(rows.select("doc_id", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("token_type"), F.lit(0).alias("n")))
+    return counted.groupBy("doc_id", *TERM).agg(F.sum("n").alias("n"))
 
 
-def signed(rows: DataFrame, sign: int = 1) -> DataFrame:
-    """(token, token_type, d_occurrences, d_records) of whole records given by clean rows."""
-    is_term = F.col("token").isNotNull() & (F.col("token") != "") & F.col("token_type").isNotNull() & (F.col("token_type") != "SPACE")
-    per_doc = rows.filter(is_term).groupBy("doc_id", "token", "token_type").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("token", "token_type").agg((F.sum("n") * sign).alias("d_occurrences"), (F.count("*") * sign).alias("d_records"))
+def deltas(counts: DataFrame, sign: int = 1, *by: str) -> DataFrame:
+    """(by, token, token_type, occurrences, records): signed changes by whole records given as ``per_document`` does,
+    for each value of the columns ``by``."""
+    return counts.groupBy(*by, *TERM).agg((F.sum("n") * sign).alias("occurrences"), (F.count("*") * sign).alias("records"))
 
 
 class TermCounts:
-    """Counts kept under ``path``: terms in hash buckets, the number of records, and a manifest of
-    each version that says in which version's folder every bucket lies.
+    """Counts kept under ``path``: terms in hash buckets, and a manifest of each version that says in which
+    version's folder every bucket lies.
 
-    A merge reads and rewrites only the buckets that its terms fall into. The manifest is
-    written last, so a job that dies leaves the last version whole. Opening a path that
+    A merge reads and rewrites only the buckets that its terms fall into; their number follows the number of
+    terms, so a bucket holds about ``bucket_rows``. The manifest is written last, so a job that dies leaves the
+    last version whole; folders that no version of the last KEEP needs are deleted. Opening a path that
     holds counts goes on from its last version.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}"
-        self.version, self.at = 0, {}
+    def __init__(self, spark: SparkSession, path: str | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.bucket_rows = spark, bucket_rows
+        self.path = path or scratch(spark, "terms")
+        self.version, self.buckets = 0, 1
+        #: bucket -> (version it lies in, its terms)
+        self.at: dict[int, tuple[int, int]] = {}
+        self.needed: dict[int, set[tuple[int, int]]] = {}
         if path:
             self._open()
 
-    def _open(self) -> None:
-        try:
-            rows = self.spark.read.schema("version int, bucket int, at int, buckets int").parquet(f"{self.path}/v*/manifest").collect()  # a row a bucket and version
-        except AnalysisException:  # nothing there yet
-            return
-        self.version = max((r.version for r in rows), default=0)
-        self.at = {r.bucket: r.at for r in rows if r.version == self.version and r.bucket >= 0}
-        self.buckets = max((r.buckets for r in rows), default=self.buckets)
+    def _files(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def _bucket(self, b: int) -> str:
-        return f"{self.path}/v{self.at[b]}/terms/bucket={b}"
+    def _versions(self) -> list[int]:
+        """The versions whose manifest is whole."""
+        fs, where = self._files()
+        if not fs.exists(where):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(where)]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/manifest/_SUCCESS")))
+
+    def _open(self) -> None:
+        for version in self._versions()[-KEEP:]:
+            rows = self.spark.read.schema("bucket int, at int, terms bigint, buckets int").parquet(f"{self.path}/v{version}/manifest").collect()  # a row a bucket
+            self.version, self.buckets = version, max((r.buckets for r in rows), default=1)
+            self.at = {r.bucket: (r.at, r.terms) for r in rows if r.bucket >= 0}
+            self.needed[version] = {(b, v) for b, (v, _) in self.at.items()}
 
     def terms(self, only: list[int] | None = None) -> DataFrame:
-        """(token, token_type, occurrences, records) of all buckets or of some."""
+        """(token, token_type, occurrences, records) of all buckets or of some, the null term among them."""
         schema = "token string, token_type string, occurrences bigint, records bigint"
-        paths = [self._bucket(b) for b in (self.at if only is None else only) if b in self.at]
+        paths = [f"{self.path}/v{self.at[b][0]}/terms/bucket={b}" for b in (self.at if only is None else only) if b in self.at]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _bucket(self, buckets: int):
+        return F.pmod(F.xxhash64(*TERM), F.lit(buckets)).cast("int").alias("bucket")
+
     def records(self) -> int:
-        """The number of records."""
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/records").first().records if self.version else 0
+        """The number of records, read from the bucket of the null term."""
+        at = self.spark.range(1).select(F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("token_type")).select(self._bucket(self.buckets)).first().bucket
+        row = self.terms([at]).filter("token is null").first()
+        return row.records if row else 0
 
     def merge(self, added: DataFrame | None = None, deleted: DataFrame | None = None) -> TermCounts:
-        """Bring in added and take out deleted records, both as clean rows. A changed
-        record is given in both: its old rows as deleted, its new ones as added."""
-        parts = [(d, s) for d, s in ((added, 1), (deleted, -1)) if d is not None]
-        if not parts:
-            return self
-        names = ["token", "token_type", "occurrences", "records"]
-        deltas = reduce(DataFrame.unionByName, [signed(d, s).toDF(*names) for d, s in parts])
-        bucket = F.pmod(F.xxhash64("token", "token_type"), F.lit(self.buckets)).cast("int")
-        delta = materialise(deltas.groupBy("token", "token_type").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "term-deltas")
-        touched = [r.bucket for r in delta.select(bucket.alias("bucket")).distinct().collect()]  # one row a bucket
-        size = self.records() + sum(s * d.select("doc_id").filter("doc_id is not null").distinct().count() for d, s in parts)
-        now = self.terms(touched).unionByName(delta).groupBy("token", "token_type").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        """Bring in added and take out deleted records, both as ``per_document`` counts them. A changed
+        record is given in both: its old counts as deleted, its new ones as added."""
+        parts = [deltas(d, s) for d, s in ((added, 1), (deleted, -1)) if d is not None]
+        return self.merge_deltas(reduce(DataFrame.unionByName, parts)) if parts else self
+
+    def merge_deltas(self, changes: DataFrame) -> TermCounts:
+        """Add signed changes (token, token_type, occurrences, records)."""
+        sums = [F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")]
+        delta = materialise(changes.groupBy(*TERM).agg(*sums), "term-deltas")
+        held, buckets = sum(n for _, n in self.at.values()), self.buckets
+        most = held + delta.count()
+        while most > 2 * self.bucket_rows * buckets:
+            buckets *= 2
+        if buckets != self.buckets:  # the terms part anew
+            touched, kept = list(self.at), {}
+        else:
+            touched = [r.bucket for r in delta.select(self._bucket(buckets)).distinct().collect()]  # one row a bucket
+            kept = {b: v for b, v in self.at.items() if b not in touched}
         version, to = self.version + 1, f"{self.path}/v{self.version + 1}"
-        now.filter("occurrences <> 0 or records <> 0").withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{to}/terms")
-        whole = self.spark.read.schema("token string, bucket int").parquet(f"{to}/terms").select("bucket").distinct().collect()
-        self.spark.createDataFrame([(size,)], "records bigint").write.parquet(f"{to}/records")
-        at = {b: v for b, v in self.at.items() if b not in touched} | {r.bucket: version for r in whole}
-        rows = [(version, b, v, self.buckets) for b, v in at.items()] or [(version, -1, 0, self.buckets)]
-        self.spark.createDataFrame(rows, "version int, bucket int, at int, buckets int").coalesce(1).write.parquet(f"{to}/manifest")
-        self.version, self.at = version, at
+        # one shuffle by bucket serves the sums and the files: a bucket is one task's and one file
+        both = self.terms(touched).unionByName(delta).withColumn("bucket", self._bucket(buckets)).repartition(min(max(len(touched), 1) if kept else buckets, 2000), "bucket")
+        now = both.groupBy("bucket", *TERM).agg(*sums).filter("occurrences <> 0 or records <> 0")
+        now.write.partitionBy("bucket").parquet(f"{to}/terms")
+        sizes = self.spark.read.schema("token string, bucket int").parquet(f"{to}/terms").groupBy("bucket").agg(F.count("*").alias("n")).collect()
+        at = kept | {r.bucket: (version, r.n) for r in sizes}
+        rows = [(b, v, n, buckets) for b, (v, n) in at.items()] or [(-1, 0, 0, buckets)]
+        self.spark.createDataFrame(rows, "bucket int, at int, terms bigint, buckets int").coalesce(1).write.parquet(f"{to}/manifest")
+        self.version, self.at, self.buckets = version, at, buckets
+        self.needed[version] = {(b, v) for b, (v, _) in at.items()}
+        self._clear()
         return self
 
+    def _clear(self) -> None:
+        """Delete what no kept version needs."""
+        old = [v for v in sorted(self.needed) if v <= self.version - KEEP]
+        now = set().union(*(own for v, own in self.needed.items() if v not in old))
+        for v in old:
+            for b, at in self.needed.pop(v) - now:
+                delete(self.spark, f"{self.path}/v{at}/terms/bucket={b}")
+            delete(self.spark, f"{self.path}/v{v}/manifest")
+
     def marked(self, rare: int = RARE_DOCS, common: float = COMMON_SHARE) -> DataFrame:
         """All terms with mark: 'rare' (at most ``rare`` records), 'common' (more than
         that share of the records) or null. A term that is both is rare."""
         n = self.records()
         mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * n, "common")
-        return self.terms().withColumn("mark", mark)
+        return self.terms().filter("token is not null").withColumn("mark", mark)
 
 
-def _counts(spark: SparkSession, folder: str) -> TermCounts:
-    """The whole table as two deltas: the documents of the earlier and of the later
-    half of the loads, so the counts come from a merge into counts that are there."""
-    rows = materialise(clean_rows(table(spark, folder, "token_rows").select("doc_id", "pos", "token", "token_type", "loaded_at")), "clean-rows")
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    return TermCounts(spark).merge(added=rows.filter(half)).merge(added=rows.filter(~F.coalesce(half, F.lit(False))))
+def _parted(spark: SparkSession, folder: str, parts: int) -> list[DataFrame]:
+    """The table's changes as those of so many loads, parted by document, from one aggregation."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
+    counts = per_document(table(spark, folder, "token_rows")).withColumn("part", part)
+    all_ = materialise(deltas(counts, 1, "part"), "parted-deltas")
+    return [all_.filter(F.col("part") == k).drop("part") for k in range(parts)]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _counts(spark, folder).marked().filter("mark is not null").select("token", "token_type", "mark")
+    """The table comes in two loads, so that the second is merged into counts that are there."""
+    one, two = _parted(spark, folder, 2)
+    return TermCounts(spark).merge_deltas(one).merge_deltas(two).marked().filter("mark is not null").select("token", "token_type", "mark")
 
 
 def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """All terms with both counts, after deltas of adding, deleting and adding again."""
-    rows = clean_rows(table(spark, folder, "token_rows"))
-    part = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
-    counts = TermCounts(spark).merge(added=rows).merge(deleted=part).merge(added=part)
+    """All terms with both counts, after loads of adding, deleting and adding again."""
+    one, two, three = _parted(spark, folder, 3)
+    back = one.withColumn("occurrences", -F.col("occurrences")).withColumn("records", -F.col("records"))
+    counts = TermCounts(spark).merge_deltas(one.unionByName(two)).merge_deltas(three).merge_deltas(back).merge_deltas(one)
     return counts.marked().select("token", "token_type", "occurrences", "records", "mark")

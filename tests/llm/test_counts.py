@@ -117,39 +117,66 @@ def token_rows(spark, rows):
     return spark.createDataFrame([(*r, None, "clash") for r in rows], TOKENS)
 
 
+def of(counts):
+    return {(x.token, x.token_type): (x.occurrences, x.records, x.mark) for x in counts.marked().collect()}
+
+
 def test_term_counts_by_deltas(spark):
     r = random.Random(4)
     rows = [(d, p, r.choice(["ev", " ev ", "su", "x", "", None]), r.choice(["ROOT", "root", "SPACE", None])) for d in range(30) for p in range(12)]
     rows += r.sample(rows, 40)
-    all_rows = term_counts.clean_rows(token_rows(spark, rows))
-
-    def of(counts):
-        return {(x.token, x.token_type): (x.occurrences, x.records, x.mark) for x in counts.marked().collect()}
-
-    whole = of(term_counts.TermCounts(spark).merge(added=all_rows))
-    seen, docs = Counter(), defaultdict(set)
-    for d, p, t, k in set(rows):
-        t = (t or "").strip()
-        if t and k and k.upper() != "SPACE":
-            seen[t, k.upper()] += 1
-            docs[t, k.upper()].add(d)
-    assert {k: v[:2] for k, v in whole.items()} == {k: (seen[k], len(docs[k])) for k in seen}
-    assert all(v[2] == ("rare" if v[1] <= 2 else "common" if v[1] > 15 else None) for v in whole.values())
-    part = all_rows.filter("doc_id < 10")
-    steps = term_counts.TermCounts(spark).merge(added=all_rows.filter("doc_id >= 10")).merge(added=part).merge(deleted=part).merge(deleted=all_rows.filter("doc_id = 20"), added=all_rows.filter("doc_id = 20 or doc_id < 10"))
-    assert of(steps) == whole and steps.records() == 30
+    rows += [(3, 5, "ev", "ROOT")] * 300 + [(d, p, "uzun", "ROOT") for d in (40, 41) for p in range(100_000, 100_040)] + [(None, 1, "ev", "ROOT")]
+    docs = per = term_counts.per_document(token_rows(spark, rows))
+    whole = of(term_counts.TermCounts(spark).merge(added=docs))
+    seen, of_docs = Counter(), defaultdict(set)
+    last = {}
+    for d, p, t, k in rows:  # ties of load time: the greater token, then type, null least
+        if d is not None:
+            last[d, p] = max(last.get((d, p), ((False, ""), (False, ""))), ((t is not None, t or ""), (k is not None, k or "")))
+    for (d, p), ((_, t), (has, k)) in last.items():
+        if t.strip() and has and k.upper() != "SPACE":
+            seen[t.strip(), k.upper()] += 1
+            of_docs[t.strip(), k.upper()].add(d)
+    assert {k: v[:2] for k, v in whole.items()} == {k: (seen[k], len(of_docs[k])) for k in seen}
+    assert all(v[2] == ("rare" if v[1] <= 2 else "common" if v[1] > 16 else None) for v in whole.values())
+    assert {tuple(x) for x in term_counts.per_document(token_rows(spark, rows), 0).collect()} == {tuple(x) for x in per.collect()}  # without a filter
+    part, rest = per.filter("doc_id < 10"), per.filter("doc_id >= 10")
+    steps = term_counts.TermCounts(spark).merge(added=rest).merge(added=part).merge(deleted=part).merge(deleted=per.filter("doc_id = 20"), added=per.filter("doc_id = 20 or doc_id < 10"))
+    assert of(steps) == whole and steps.records() == 32
     again = term_counts.TermCounts(spark, steps.path)
     assert of(again) == whole and again.version == steps.version == 4
-    one = token_rows(spark, [(99, 0, "tek", "ROOT")])
-    before = dict(again.at)
-    again.merge(added=term_counts.clean_rows(one))
-    assert sum(before.get(b) != v for b, v in again.at.items()) == 1 and again.records() == 31
-    assert again.merge(deleted=term_counts.clean_rows(one)).records() == 30 and of(again) == whole
+
+
+def test_rows_without_a_place_are_told_apart(spark):
+    rows = [(1, None, "ev", "ROOT"), (1, None, "ev", "ROOT"), (1, None, "su", "ROOT"), (1, 0, "ev", "ROOT"), (2, -3, "ev", "ROOT"), (2, -3, "ev", "ROOT")]
+    got = {(x.doc_id, x.token): x.n for x in term_counts.per_document(token_rows(spark, rows)).collect()}
+    assert got == {(1, "ev"): 2, (1, "su"): 1, (1, None): 0, (2, "ev"): 1, (2, None): 0}
+
+
+def test_a_small_delta_reads_and_writes_its_buckets_only(spark):
+    import glob
+
+    rows = [(d, p, f"t{d * 50 + p}", "ROOT") for d in range(40) for p in range(50)]
+    counts = term_counts.TermCounts(spark, bucket_rows=100).merge(added=term_counts.per_document(token_rows(spark, rows)))
+    assert counts.buckets == 16 and len(counts.at) == 16
+    before, held = dict(counts.at), of(counts)
+    one = term_counts.per_document(token_rows(spark, [(99, 0, "tek", "ROOT")]))
+    counts.merge(added=one)
+    touched = {b for b, v in counts.at.items() if before.get(b) != v}
+    assert 1 <= len(touched) <= 2 and counts.records() == 41  # the term's and the null term's
+    folder = counts.path.removeprefix("file://")
+    files = lambda v: glob.glob(f"{folder}/v{v}/terms/bucket=*/*.parquet")
+    assert len(files(2)) == len(touched) and of(counts) == held | {("tek", "ROOT"): (1, 1, "rare")}
+    counts.merge(deleted=one)
+    assert of(counts) == held and counts.records() == 40
+    assert len(files(1)) == 16 - len(touched) and not glob.glob(f"{folder}/v1/manifest") and counts._versions() == [2, 3]
+    more = [(200 + d, p, f"u{d * 50 + p}", "ROOT") for d in range(80) for p in range(50)]
+    counts.merge(added=term_counts.per_document(token_rows(spark, more)))
+    assert counts.buckets == 32 and len(of(counts)) == 6001 and of(term_counts.TermCounts(spark, counts.path)) == of(counts)
 
 
 def test_term_counts_of_nothing(spark):
-    empty = term_counts.clean_rows(token_rows(spark, []))
-    counts = term_counts.TermCounts(spark).merge(added=empty)
+    counts = term_counts.TermCounts(spark).merge(added=term_counts.per_document(token_rows(spark, [])))
     assert counts.marked().count() == 0 and counts.records() == 0 and term_counts.TermCounts(spark, counts.path).version == 1
 
 
