@@ -66,7 +66,8 @@ WITH sizes AS (
   SELECT lower(translate(regexp_replace(source, '^\s+|\s+$', '', 'g'), 'İIı', 'iii')) AS source, coalesce(length(output), 0) AS size
   FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY added_at DESC NULLS LAST, source DESC NULLS LAST, coalesce(length(output), 0) DESC) AS rn FROM sft_examples)
   WHERE rn = 1
-), per AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(s.size), 0) AS size FROM mix_targets m LEFT JOIN sizes s USING (source) GROUP BY ALL)
+), targets AS (SELECT *, lower(translate(regexp_replace(source, '^\s+|\s+$', '', 'g'), 'İIı', 'iii')) AS own FROM mix_targets WHERE source IS NOT NULL),
+per AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(s.size), 0) AS size FROM targets m LEFT JOIN sizes s ON s.source = m.own GROUP BY ALL)
 SELECT source FROM per WHERE size * max_repeats < target_share * (SELECT sum(size) FROM per)
 """
 

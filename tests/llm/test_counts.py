@@ -172,7 +172,7 @@ def test_a_small_delta_reads_and_writes_its_buckets_only(spark):
     assert len(files(1)) == 16 - len(touched) and not glob.glob(f"{folder}/v1/manifest") and counts._versions() == [2, 3]
     more = [(200 + d, p, f"u{d * 50 + p}", "ROOT") for d in range(80) for p in range(50)]
     counts.merge(added=term_counts.per_document(token_rows(spark, more)))
-    assert counts.buckets == 32 and len(of(counts)) == 6001 and of(term_counts.TermCounts(spark, counts.path)) == of(counts)
+    assert counts.buckets == 32 and len(of(counts)) == 6000 and of(term_counts.TermCounts(spark, counts.path)) == of(counts)
 
 
 def test_term_counts_of_nothing(spark):
@@ -201,6 +201,43 @@ def test_mix_reaches_shares_and_reports_short_sources(spark):
     assert sum(x.actual_share for x in got.values()) == pytest.approx(1)
 
 
+def test_small_sources_end_within_a_record_of_their_goal(spark):
+    r = random.Random(8)
+    rows, targets = [], []
+    for k, n in enumerate([1, 2, 3, 5, 8, 40, 300]):
+        rows += [(1000 * k + i, f"IŞIK{k} ", "x" * r.randint(1, 200), None, "") for i in range(n)]
+        targets.append((f"ışık{k}", 0.0, 4))
+    recs = source_mix.records(spark.createDataFrame(rows, EXAMPLES))
+    size = {x.source: x.s for x in recs.groupBy("source").agg(F.sum("size").alias("s")).collect()}
+    total = sum(size.values())
+    shares = [size[f"işik{k}"] * f / total for k, f in enumerate([1.6, 2.3, 0.7, 3.1, 0.2, 1.9, 0.9])]
+    plan = source_mix.solve(recs, spark.createDataFrame([(t[0], s, 4) for t, s in zip(targets, shares)], TARGETS))
+    assert plan.filter("short").count() == 0
+    biggest = {x.source: x.m for x in source_mix.mix(recs, plan).groupBy("source").agg(F.max("size").alias("m")).collect()}
+    for group_rows in (20_000, 40):
+        mixed = source_mix.mix(recs, plan, group_rows)
+        assert mixed.count() == len(rows) and mixed.filter("copies < 0 or copies > 4").count() == 0
+        for x in source_mix.report(mixed, plan).join(plan.select("source", "goal"), "source").collect():
+            assert abs(x.size_out - x.goal) <= biggest[x.source], x
+
+
+def test_balance_meets_its_goal():
+    r = random.Random(10)
+    import numpy as np
+
+    for _ in range(200):
+        size = np.array(sorted({r.randint(0, 500) for _ in range(r.randint(1, 30))}))
+        n = np.array([r.randint(1, 50) for _ in size])
+        cap = r.randint(1, 5)
+        goal = float((size * n).sum()) * r.random() * cap * 1.2
+        lam, short = source_mix.balance(size, n, goal, cap)
+        assert short == (float((size * n).sum() * cap) < goal)
+        if not short and goal > 0:
+            x = size / ((n * size).sum() / n[size > 0].sum())
+            got = (n * size * np.minimum(np.exp(np.clip(lam * x, -700, 700)), cap)).sum()
+            assert got == pytest.approx(goal, rel=1e-6)
+
+
 def test_mix_of_nothing(spark):
     recs = source_mix.records(spark.createDataFrame([], EXAMPLES))
     plan = source_mix.solve(recs, spark.createDataFrame([("a", 1.0, 2)], TARGETS))
