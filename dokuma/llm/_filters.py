@@ -1,4 +1,8 @@
-"""Bit filters over 64-bit entries, of a size that their counted number asks for."""
+"""Bit filters over 64-bit hashes, of a size that their counted number asks for.
+
+An entry sets three bits, all in one row of the filter: bits 16 on of the entry tell the row, and
+its 16-bit pieces from bits 0, 32 and 48 on the bits, so that one look at one row answers.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,8 @@ MOST_ENTRIES = MOST_BITS // 4
 #: Words of 64 bits in one row of a filter.
 ROW_WORDS = 1024
 ROW_BITS = 64 * ROW_WORDS
+#: Where the pieces of an entry begin that tell its bits.
+SHIFTS = (0, 32, 48)
 
 
 class BitFilter:
@@ -32,9 +38,11 @@ class BitFilter:
         self.bits = min(max(LEAST_BITS, 1 << max(n * BITS_EACH - 1, 0).bit_length()), MOST_BITS)
         self.rows: DataFrame | None = None
         if n <= most_entries:
-            at = F.pmod("entry", F.lit(self.bits))
-            placed = entries.select(F.floor(at / ROW_BITS).cast("int").alias("row"), (at % ROW_BITS).cast("int").alias("bit"))
-            self.rows = materialise(placed.repartition("row").mapInArrow(_set_bits, "row int, words array<bigint>"), "bit-filter")
+            placed = entries.select(self._row(F.col("entry")).alias("row"), "entry").repartition("row")
+            self.rows = materialise(placed.mapInArrow(_set_bits, "row int, words array<bigint>"), "bit-filter")
+
+    def _row(self, entry: Column) -> Column:
+        return F.shiftrightunsigned(entry, 16).bitwiseAND(self.bits // ROW_BITS - 1).cast("int")
 
     def mask(self) -> np.ndarray | None:
         """All words, bits / 8 bytes in all, or None."""
@@ -50,20 +58,33 @@ class BitFilter:
         if self.rows is None:
             return rows.withColumn("maybe", F.lit(True))
         cols = rows.columns
-        at = F.pmod(entry, F.lit(self.bits))
-        placed = rows.withColumn("_at", at).withColumn("_row", F.floor(F.col("_at") / ROW_BITS).cast("int"))
-        met = placed.join(F.broadcast(self.rows.select(F.col("row").alias("_row"), F.col("words").alias("_words"))), "_row", "left")
-        word = F.get("_words", (F.floor(F.col("_at") / 64) % ROW_WORDS).cast("int"))
-        met = met.withColumn("_word", word)
-        return met.select(*cols, F.coalesce(F.expr("(shiftright(_word, cast(_at % 64 as int)) & 1L) = 1"), F.lit(False)).alias("maybe"))
+        held = F.broadcast(self.rows.select(F.col("row").alias("_row"), F.col("words").alias("_words")))
+        met = rows.withColumn("_entry", entry).withColumn("_row", self._row(F.col("_entry"))).join(held, "_row", "left")
+        bit = "(shiftright(_words[cast(shiftright({0}, 6) as int)], cast({0} & 63 as int)) & 1L) = 1"
+        all_set = " and ".join(bit.format(f"(shiftrightunsigned(_entry, {k}) & 65535)") for k in SHIFTS)
+        return met.select(*cols, F.coalesce(F.expr(f"_words is not null and {all_set}"), F.lit(False)).alias("maybe"))
+
+
+def maybe(mask: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Which of the entries may be among those of a filter's ``mask``."""
+    row = (entries >> np.uint64(16) & np.uint64(len(mask) // ROW_WORDS - 1)) * np.uint64(ROW_WORDS)
+    at = np.arange(len(entries))
+    for k in SHIFTS:
+        bit = entries[at] >> np.uint64(k) & np.uint64(ROW_BITS - 1)
+        at = at[(mask[(row[at] + (bit >> np.uint64(6))).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    out = np.zeros(len(entries), bool)
+    out[at] = True
+    return out
 
 
 def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own: dict[int, np.ndarray] = {}
     for batch in batches:
-        row, bit = batch.column(0).to_numpy(False), batch.column(1).to_numpy(False)
+        row, entry = batch.column(0).to_numpy(False), batch.column(1).to_numpy(False).view(np.uint64)
         for r in np.unique(row).tolist():
-            own.setdefault(r, np.zeros(ROW_BITS, bool))[bit[row == r]] = True
+            bits = own.setdefault(r, np.zeros(ROW_BITS, bool))
+            for k in SHIFTS:
+                bits[(entry[row == r] >> np.uint64(k) & np.uint64(ROW_BITS - 1)).astype(np.int64)] = True
     for r, bits in own.items():
         words = np.packbits(bits, bitorder="little").view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([words])], ["row", "words"])

@@ -35,28 +35,34 @@ BUCKET_ROWS = 100_000
 PLACES = 15
 #: Versions that stay readable.
 KEEP = 2
-_BLANKS = r"(?U)^\s+|\s+$"
+#: All white space of Unicode, which is cut off at the ends of a token.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TERM = ["token", "token_type"]
 
 
 def _terms(rows: DataFrame) -> DataFrame:
     """Tokens without blanks at the ends and types in capitals; a row that is no term, being empty, null or of
     type SPACE, becomes the null term."""
-    token, kind = F.regexp_replace("token", _BLANKS, ""), F.upper("token_type")
+    token, kind = F.btrim("token", F.lit(_BLANKS)), F.upper("token_type")
     is_term = (token != "") & kind.isNotNull() & (kind != "SPACE")
     return rows.withColumn("token", F.when(is_term, token)).withColumn("token_type", F.when(is_term, kind))
 
 
-def repeated_places(rows: DataFrame) -> DataFrame:
+def place_runs(rows: DataFrame) -> DataFrame:
+    """(doc_id, run, digits, n): the rows of each run of PLACES places of a document, in digits and in all; run is null
+    for rows without a place, and digits where they run over."""
+    digit = F.expr(f"shiftleft(1L, cast(4 * pmod(pos, {PLACES}) as int))")
+    return rows.groupBy("doc_id", F.floor(F.col("pos") / PLACES).alias("run")).agg(F.try_sum(digit).alias("digits"), F.count("*").alias("n"))
+
+
+def repeated_places(runs: DataFrame) -> DataFrame:
     """(entry): the hashes of all (doc_id, pos) that have more than one row, and of some that have one: where the digits
     of a number run over, all its places."""
-    digit = F.expr(f"shiftleft(1L, cast(4 * pmod(pos, {PLACES}) as int))")
-    runs = rows.filter("doc_id is not null and pos is not null").groupBy("doc_id", F.floor(F.col("pos") / PLACES).alias("run")).agg(F.try_sum(digit).alias("digits"), F.count("*").alias("n"))
-    seen = lambda i: F.expr(f"shiftright(digits, {4 * i}) & 15L")
-    total = reduce(lambda a, b: a + b, [seen(i) for i in range(PLACES)])
-    over = F.coalesce(total != F.col("n"), F.lit(True))
-    places = F.filter(F.array(*[F.when(over | (seen(i) > 1), F.lit(i)) for i in range(PLACES)]), lambda x: x.isNotNull())
-    listed = runs.filter("digits is null or digits <> 0").select("doc_id", "run", F.explode(places).alias("i"))
+    seen = [F.expr(f"shiftright(digits, {4 * i}) & 15L") for i in range(PLACES)]
+    over = F.coalesce(reduce(lambda a, b: a + b, seen) != F.col("n"), F.lit(True))
+    twos = int("e" * PLACES, 16)  # the bits that a digit of two or more has one of
+    some = runs.filter(F.col("run").isNotNull() & (over | (F.col("digits").bitwiseAND(twos) != 0)))
+    listed = some.select("doc_id", "run", F.posexplode(F.array(*[over | (d > 1) for d in seen])).alias("i", "repeated")).filter("repeated")
     return listed.select(F.xxhash64("doc_id", (F.col("run") * PLACES + F.col("i")).cast("int")).alias("entry"))
 
 
@@ -69,12 +75,13 @@ def per_document(rows: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame
     time, token and type. Other columns are ignored; an empty table gives no rows.
     """
     rows = rows.filter("doc_id is not null").select("doc_id", F.col("pos").cast("int").alias("pos"), "token", "token_type", "loaded_at")
-    filt = BitFilter(materialise(repeated_places(rows), "repeated-places"), most_entries)
+    runs = materialise(place_runs(rows), "place-runs")
+    filt = BitFilter(materialise(repeated_places(runs), "repeated-places"), most_entries)
     flagged = filt.flag(rows, F.xxhash64("doc_id", "pos")).withColumn("maybe", F.col("maybe") | F.col("pos").isNull())
     own = [F.when(F.col("pos").isNull(), F.col(c)).alias(f"own_{c}") for c in ("loaded_at", "token", "token_type")]
     last = flagged.filter("maybe").groupBy("doc_id", "pos", *own).agg(F.max(F.struct("loaded_at", "token", "token_type")).alias("r"))
     some = _terms(last.select("doc_id", "r.token", "r.token_type")).unionByName(_terms(flagged.filter("not maybe").select("doc_id", *TERM)))
-    counted = some.filter("token is not null").withColumn("n", F.lit(1)).unionByName(rows.select("doc_id", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("token_type"), F.lit(0).alias("n")))
+    counted = some.filter("token is not null").withColumn("n", F.lit(1)).unionByName(runs.select("doc_id", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("token_type"), F.lit(0).alias("n")))
     return counted.groupBy("doc_id", *TERM).agg(F.sum("n").alias("n"))
 
 
