@@ -1,14 +1,20 @@
 """Defective instruction-response pairs, by tagging the clauses of the response.
 
-A response is cut into clauses (sentences, lines, parts after a colon or semicolon). A
-conditional random field tags each clause as answer, refusal, echo, foreign or
-unfinished from what it shares with the instruction and the input, the language it is
-in and the language asked for, cues of declining, and how it ends. The words covered by
-each tag then give the pair its one defect. A response without any clause is empty.
-
-The field is fitted on a bounded sample of pairs that show no sign of a defect and on
-defects made from them: the question or the input in place of the answer, declining
-sentences, answers of other pairs in another language, and answers broken off.
+A response is cut into clauses (sentences, lines, list items). A conditional random field tags
+each clause as answer, refusal, echo, foreign or unfinished; the words covered by each tag then
+give the pair its one defect. A response without any clause, or of a placeholder, is empty.
+
+What the field sees of a clause is hashed words and character trigrams of it, hashed words of the
+instruction, alone and weighted by how much of the input is given back, hashed endings of the response, and graded
+figures: the share of the clause that the instruction or the input has too, the share of these that the
+response gives back, the shares of function words and endings of the language asked for and of the others, and
+where and how the clause and the response end. It is told no verdict; what tells a refusal from an
+answer, a finished end from an open one, or a request to repeat from any other, it learns.
+
+The field is fitted on a bounded sample of the pairs, taken as they are as answers, and on defects made
+from them: refusals of a small grammar, the question or the input in place of the answer, responses in
+another language and responses broken off. Pairs of the sample that the first fit finds defective are left
+out of the second. All features are computed on whole batches of texts as arrays.
 """
 
 from __future__ import annotations
@@ -23,59 +29,55 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.llm.crf import Chain
+from dokuma.llm._codes import Words, mix
+from dokuma.llm.crf import Chain, Places
+from dokuma.llm.structure import ENDINGS, FUNCTION_WORDS, _lexicon, ending_of, function_columns
 from dokuma.session import small_batches, spread
 from dokuma.sources.tables import table
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs that the field is fitted on at most, those of the smallest hash of example_id.
-FIT_ROWS = 300
+FIT_ROWS = 600
 #: Clauses of a response that is used for fitting at most.
 LONGEST = 14
 #: Share of the words that makes an echo or a foreign answer the pair's defect.
 COVER = 0.6
+#: Characters of the texts of one block of rows.
+BLOCK_CHARS = 400_000
 
 #: Responses that stand for nothing, folded; fixed values.
-PLACEHOLDERS = {"", "null", "none", "nan", "na", "n a", "yok", "bos", "cevap", "yanit", "output", "answer", "response", "todo", "tbd", "undefined", "nil", "bilinmiyor", "placeholder", "empty", "lorem ipsum"}
-#: Words that decline, folded; fixed values. The Turkish forms are those of not being able,
-#: not being willing and not being allowed, in the first person.
-DECLINE = re.compile(
-    r"\b(?:\w+(?:amam|emem|amiyorum|emiyorum|mayacagim|meyecegim|mayacagiz|meyecegiz|amayiz|emeyiz)|\w{2,}(?:m[iu]yorum|m[iu]yoruz)|\w+(?:mamayi|memeyi) tercih ed\w+|\w+(?:maktan|mekten) kacin\w+|kacinmam gerek\w*|reddediyorum|reddetmek zorundayim|"
-    r"(?:yetkim|iznim|izin|bilgim|imkanim) (?:yok|bulunmuyor)|mumkun degil|uygun olmaz|uygun degil|yanitsiz birak\w+|cevapsiz birak\w+|(?:soruyu|konuyu) gecelim|baska bir sey sorun|(?:gorevimin|kapsamimin|alanimin) disinda|yapay zeka (?:dil )?modeli|"
-    r"i cannot|i can t|i cant|i am unable|i m unable|unable to|i won t|i am not able|as an ai|ich kann (?:dir |ihnen )?(?:dabei |das )?nicht|je ne peux pas|je ne suis pas en mesure|no puedo)\b"
-)
-#: Words that go with declining but are polite elsewhere too, folded; fixed values.
-POLITE = re.compile(r"\b(?:uzgunum|maalesef|ne yazik ki|kusura bakma\w*|ozur dilerim|anlayisin\w*|tesekkur\w*|sorry|unfortunately|leider|desole|lamento|lutfen bir uzman\w*|baska bir \w+|farkli bir konu\w*|(?:talebinizi|isteginizi) anliyorum|merhaba|rica ederim|soru sorabilir\w*)\b")
-#: Words of a request to decline something, folded; fixed values.
-ASKS_DECLINE = re.compile(r"\b(?:geri cevir\w*|reddet\w*|reddeden|kabul etmey\w*|olumsuz yanit\w*|decline|refuse)\b")
-#: Words of a request to repeat or correct the input, folded; fixed values.
-ASKS_REPEAT = re.compile(r"\b(?:oldugu gibi|aynen|degistirmeden|tekrar et\w*|tekrarla\w*|kopyala\w*|duzelt\w*|yanlislari|yazim kural\w*|yazimini|hatalari|imla\w*|noktala\w*|repeat|correct|copy)\b")
-#: Stems of language names in a request, folded, and words of each language; fixed values.
-ASKED = {"en": r"\b(?:ingilizce\w*|english)\b", "de": r"\b(?:almanca\w*|german|deutsch)\b", "fr": r"\b(?:fransizca\w*|french)\b", "es": r"\b(?:ispanyolca\w*|spanish)\b", "tr": r"\b(?:turkce\w*|turkish)\b"}
+PLACEHOLDERS = {"", "null", "none", "nan", "na", "n a", "yok", "bos", "cevap", "yanit", "output", "answer", "response", "todo", "tbd", "undefined", "nil", "bilinmiyor", "placeholder", "empty", "lorem ipsum", "x", "cevap yok", "yanit yok", "no answer", "bos birakildi"}
+#: Stems of the names of languages in a request, folded; fixed values.
+ASKED = {"en": r"\b(?:ingilizce|english)", "de": r"\b(?:almanca|german|deutsch)", "fr": r"\b(?:fransizca|french)", "es": r"\b(?:ispanyolca|spanish)", "tr": r"\b(?:turkce|turkish)"}
 ASKED = {k: re.compile(v) for k, v in ASKED.items()}
-SPOKEN = {
-    "tr": "ve bir bu da de icin ile cok daha en gibi kadar ama ancak oysa cunku ki ne o her olarak sonra once gore hem var yok degil veya ya hangi boylece ustelik dun bugun yarin gun sabah aksam hafta yil ay sure yeniden sonunda yerel genis tane ben sen biz siz onlar merhaba saygilarimla".split(),
-    "en": "the of and to in is that it was for on are with as be this not have by from or we an there every but some people think should any many when nobody could near without a they he she can will would which what how your you".split(),
-    "de": "der die das und ist nicht ein eine einen mit von zu den dem es wir sie auch auf ohne weil man nach heute gibt kann wieder viele im ich sich des fur wird bei".split(),
-    "fr": "le la les de des du et un une est que qui pas dans pour nous il elles avec sont mais tres beaucoup toujours encore cette cet gens a en y au aux ce ils leur n".split(),
-    "es": "el la los las de que y en un una es por con para no hay muchos muy pero esta este ellos sin siempre tambien nosotros personas se del al lo su como".split(),
-}
-VERB = re.compile(r"(?:yor|yorlar|yorum|yoruz|acak|ecek|acaklar|ecekler|m[iu]s|m[iu]slar|d[iu]|t[iu]|d[iu]lar|t[iu]lar|diler|tiler|d[iu]r|t[iu]r|maz|mez|malidir|melidir|var|yok|degil|alim|elim|arim|erim|edemem|olamam|katilamam|veremem|yapamam|olmaz|mumkun|sayilir|bilir|ilir|er|ar|ir|ur)$")
-OPEN_END = re.compile(r"(?:\b(?:ve|veya|ya da|ile|ama|ancak|fakat|cunku|gibi|icin|kadar|gore|bir|bu|su|o|hem|de|da|ki|en|daha|cok|olarak|boylece|ustelik|oysa|the|of|and|with|der|und|les|et|los|las|que))$")
-OPEN_SIGNS = tuple(":,;-([{=+*/")
-ENDERS = ".!?…。"
+LANGUAGES = tuple(FUNCTION_WORDS)
+OPEN_SIGNS, ENDERS = ":,;-([{=+*/", ".!?…。"
 LIST_MARK = re.compile(r"^\s*(?:[-*•▪·–—]|\d{1,3}[.)]|[a-zçğıöşü][.)])\s+", re.I)
+INLINE_MARK = re.compile(r"(?:^|\s)(?:[-*•▪·–—]|\d{1,3}[.)])(?=\s)", re.M)
 #: A heading before a response, which is none of it; fixed values.
 LABEL = re.compile(r"^\s*(?:yanıt|yanit|cevap|soru|talimat|girdi|çıktı|metin|answer|response|output|instruction|input|question)\s*[:\-–—]\s*(?=\S)", re.I)
-INLINE_MARK = re.compile(r"(?:^|\s)(?:[-*•▪·–—]|\d{1,3}[.)])(?=\s)", re.M)
-_FOLD = str.maketrans({"ı": "i", "İ": "i", "I": "i", "’": "'", "‘": "'"})
+_FOLD = str.maketrans("ıİIçÇğĞöÖşŞüÜâîû", "iiiccggoossuuaiu", "’‘'")
 _WORD = re.compile(r"[^\W_]+")
+_ASIDE = {"So", "Sk", "Cf", "Mn", "Cs", "Co", "Cn", "Zs"}
+_CUT = re.compile(r"(?<=[.!?…;])\s+|(?<=[:])\s+(?=\S+\s)")
+#: A list mark with nothing after it.
+_BARE = re.compile(r"\n\s*(?:[-*•▪·–—]|\d{1,3}[.)])\s*$")
+_EMOJI = re.compile(r"[\U0001F000-\U0001FAFF☀-➿]️?\s*$")
+
+#: Bins of the hashed features: words and trigrams of the clause, words of the instruction, the same by the input
+#: given back, and endings of the response.
+WORD_BINS = GRAM_BINS = END_BINS = 1 << 13
+ASK_BINS = 1 << 12
+_AT = np.cumsum([0, WORD_BINS, GRAM_BINS, ASK_BINS, ASK_BINS, END_BINS])
+BINS = int(_AT[-1])
 
 
 def fold(s: str | None) -> str:
     """Small letters without accents, ı as i, all other signs as single blanks."""
-    t = unicodedata.normalize("NFKD", (s or "").translate(_FOLD)).lower()
-    return " ".join(_WORD.findall("".join(c for c in t if not unicodedata.combining(c)).replace("'", "")))
+    t = (s or "").translate(_FOLD).lower()
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return " ".join(_WORD.findall(t))
 
 
 def clauses(text: str) -> list[str]:
@@ -84,231 +86,382 @@ def clauses(text: str) -> list[str]:
     for line in re.split(r"[\r\n]+", text):
         mark = LIST_MARK.match(line)
         if mark:  # an item is one clause; the stop of its number ends nothing
-            if _WORD.search(line[mark.end() :]):
+            if _WORD.search(line, mark.end()):
                 out.append(line)
-            continue
-        for part in re.split(r"(?<=[.!?…;])\s+|(?<=[:])\s+(?=\S+\s)", line):
-            if _WORD.search(part):
-                out.append(part)
+        else:
+            out += [part for part in _CUT.split(line) if _WORD.search(part)]
     return out
 
 
 def stripped(text: str | None) -> str:
-    """Without blanks, emoji and other marks at the end, which finish nothing."""
+    """Without blanks, emoji and other marks at the end, which finish nothing, nor a dash set for a full stop."""
     t = (text or "").rstrip()
-    while t and (unicodedata.category(t[-1]) in ("So", "Sk", "Cf", "Mn", "Cs", "Co", "Cn", "Zs") or t[-1] in "\"”’'»*_ ​"):
+    while t and (unicodedata.category(t[-1]) in _ASIDE or t[-1] in "\"”’'»*_ ​"):
         t = t[:-1].rstrip()
-    return t
+    return re.sub(r"(?<=\S)[ \t]+[-–—]$", "", t)
 
 
 def is_empty(output: str | None) -> bool:
     """Nothing that answers: null, blanks, signs only, or a placeholder."""
-    words = fold(output)
-    return words in PLACEHOLDERS or bool(re.fullmatch(r"(?:x|n a|cevap yok|yanit yok|no answer|bos birakildi)", words))
-
-
-class Request:
-    """What is asked: the words given, the language, whether to repeat or to decline, and how many items."""
-
-    def __init__(self, instruction: str | None, given: str | None):
-        self.instruction, self.given = fold(instruction).split(), fold(given).split()
-        text = " ".join(self.instruction)
-        self.language = next((k for k, p in ASKED.items() if p.search(text)), "tr")
-        self.repeats = bool(ASKS_REPEAT.search(text))
-        self.declines = bool(ASKS_DECLINE.search(text))
-        n = re.search(r"\b(\d{1,2})\b(?: \w+)? (?:madde\w*|oneri\w*|urun\w*|tane\w*|adet\w*|ornek\w*|fikir\w*|item\w*)", text)
-        self.items = int(n.group(1)) if n and re.search(r"liste|sirala|say\b|oner", text) else 0
-        self.code = bool(re.search(r"python|fonksiyon|kod\b|kodu|javascript|sql|program", text))
-        self.shingles = [_runs(self.instruction), _runs(self.given)]
-
-
-def _runs(words: list[str]) -> set[tuple[str, ...]]:
-    n = 3 if len(words) >= 3 else max(len(words), 1)
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
-
-
-def covered(words: list[str], runs: set[tuple[str, ...]]) -> float:
-    """Share of the words that lie in runs of three (or fewer) words which the source has too."""
-    if not words or not runs:
-        return 0.0
-    n = len(next(iter(runs)))
-    if len(words) < n:
-        return float(any(tuple(words) == r[i : i + len(words)] for r in runs for i in range(n - len(words) + 1)))
-    hit = np.zeros(len(words), bool)
-    for i in range(len(words) - n + 1):
-        if tuple(words[i : i + n]) in runs:
-            hit[i : i + n] = True
-    return float(hit.mean())
-
-
-FEATURES = ("bias", "echo_instruction", "echo_input", "echo_whole", "echo_asked", "foreign", "asked_language", "declines", "polite", "decline_asked", "last", "last_open", "last_verbless", "last_cut", "last_short", "list_short", "item_odd", "code_open", "no_stop", "single", "words", "first", "pair_declines", "bracket_open")
-
-
-def language(words: list[str]) -> tuple[str | None, float]:
-    """(likeliest language, margin in words over Turkish) by function words and Turkish endings."""
-    score = {k: float(sum(w in ws for w in words)) for k, ws in _SPOKEN.items()}
-    score["tr"] += sum(len(w) > 4 and bool(_TR_END.search(w)) for w in words) * 0.7
-    best = max(score, key=lambda k: (score[k], k == "tr"))
-    return (best if score[best] > 0 else None), score[best] - score["tr"]
-
-
-_SPOKEN = {k: set(v) for k, v in SPOKEN.items()}
-_TR_END = re.compile(r"(?:yor|lar|ler|lari|leri|nin|nun|dan|den|tan|ten|miş|mis|mus|acak|ecek|arak|erek|lik|luk|ci|cu|di|du|ti|tu|si|su|yi|yu)$")
-
-
-def describe(req: Request, output: str) -> tuple[np.ndarray, list[int], list[str]]:
-    """(features of each clause, its number of words, clauses) of a response."""
-    output = LABEL.sub("", output) or output
-    parts = clauses(output)
-    words = [fold(p).split() or ["x"] for p in parts]
-    whole = [w for ws in words for w in ws]
-    source_runs = req.shingles
-    both = req.shingles[0] | req.shingles[1]
-    out_runs = _runs(whole)
-    back = [covered(src, out_runs) if len(src) > 2 and out_runs and len(next(iter(out_runs))) == 3 else float(any(whole[i : i + len(src)] == src for i in range(len(whole) - len(src) + 1)) and bool(src)) for src in (req.instruction, req.given)]
-    tail = re.sub(r"(?<=\S)[ \t]+[-–—]$", "", stripped(output))  # a dash set for a full stop
-    last_word = whole[-1] if whole else ""
-    text_stops = sum(tail.count(c) for c in ENDERS)
-    fence = output.count("```") % 2 == 1
-    emoji = bool(re.search(r"[\U0001F000-\U0001FAFF\u2600-\u27BF]\ufe0f?\s*$", output))
+    bare = (output or "").strip()
+    return len(bare) < 60 and fold(bare) in PLACEHOLDERS
+
+
+def asked_language(instruction: str | None) -> int:
+    """Index of the language that a request names, else of Turkish."""
+    text = fold(instruction)
+    return LANGUAGES.index(next((k for k, p in ASKED.items() if p.search(text)), "tr"))
+
+
+def _share(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return sums / np.maximum(n, 1)
+
+
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are among y."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    y = np.sort(y)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+class _Text:
+    """Words of texts of which each belongs to a row, with runs of three words (or fewer in shorter texts)."""
+
+    def __init__(self, texts: list[str], row: np.ndarray):
+        self.w = w = Words(texts)
+        self.row, self.n = row, np.diff(w.first)
+        self.of = row[w.doc]
+        h, self.at = w.shingles(3)
+        self.runs = self.keyed(h, self.of[self.at])
+        self.single = self.keyed(w.hash, self.of)
+
+    @staticmethod
+    def keyed(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(h ^ (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def covered(self, other: _Text) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of each text's words that lie in runs of three words, and as single words, that the other's text
+        of the same row has too."""
+        hit = np.zeros(len(self.w.hash) + 3, np.int64)
+        same = _among(self.runs, other.runs)
+        for k in range(3):
+            np.add.at(hit, self.at[same] + k, 1)
+        texts = len(self.n)
+        runs = _share(np.bincount(self.w.doc, weights=hit[: len(self.w.hash)] > 0, minlength=texts), self.n)
+        single = _share(np.bincount(self.w.doc, weights=_among(self.single, other.single), minlength=texts), self.n)
+        return np.where(self.n < 3, single, runs), single
+
+    def languages(self) -> np.ndarray:
+        """Shares of words that are function words of each language, Turkish endings counting as well."""
+        h, col, _ = _lexicon()
+        names = function_columns()
+        spot = np.minimum(np.searchsorted(h, self.w.hash), len(h) - 1)
+        known = h[spot] == self.w.hash if len(self.w.hash) else np.zeros(0, bool)
+        out = np.zeros((len(self.n), len(LANGUAGES)))
+        for k, own in enumerate(FUNCTION_WORDS.values()):
+            mine = np.isin(np.arange(len(names)), [names.index(x) for x in own])
+            out[:, k] = np.bincount(self.w.doc, weights=known & mine[col[spot]] if len(known) else None, minlength=len(self.n))
+        if len(known):
+            end = ending_of(self.w)
+            long = (end >= 0) & (self.w.end - self.w.start > 4) & ~known & _TELLING[np.maximum(end, 0)]
+            out[:, 0] += 0.7 * np.bincount(self.w.doc, weights=long, minlength=len(self.n))
+        return _share(out, self.n[:, None])
+
+
+#: Endings of three letters or more, which are Turkish rather than by chance.
+_TELLING = np.array([len(e) > 2 for e in ENDINGS])
+#: What is seen of the end of a response, one row each.
+TAIL = ("ended", "open_sign", "fence", "bracket", "emoji", "stops", "items", "asked_more", "item_last", "item_short", "item_final", "marks_more", "open_prose", "unpointed", "asked_met", "bare_mark")
+DENSE = 33
+
+
+def _tail(instruction: str, output: str, parts: list[str]) -> tuple[list[float], str]:
+    """(figures of TAIL, the response's end without what finishes nothing)."""
+    tail = stripped(output)
+    emoji = bool(_EMOJI.search(output))
     ended = bool(tail) and (emoji or tail.rstrip(")]”»")[-1:] in ENDERS or tail.endswith("```"))
+    asked = re.search(r"\b(\d{1,2})\b", instruction)
     items = [p for p in parts if LIST_MARK.match(p)]
-    if req.items and not items and len(parts) > 1 and max(map(len, words)) <= 6:
+    if asked and not items and 1 < len(parts) and max(len(p) for p in parts) <= 60 and "\n" in output:
         items = parts  # a list that has lost its marks
-    item_last = bool(items) and parts[-1] is items[-1]
-    lang_whole, _ = language(whole)
-    pair_declines = any(DECLINE.search(" ".join(ws)) for ws in words)
-    rows = []
-    for i, (p, ws) in enumerate(zip(parts, words, strict=True)):
-        x = dict.fromkeys(FEATURES, 0.0)
-        text = " ".join(ws)
-        x["bias"], x["first"], x["words"], x["single"] = 1, float(i == 0), min(len(ws), 20) / 20, float(len(parts) == 1)
-        e_ins, e_inp = covered(ws, source_runs[0]), covered(ws, source_runs[1])
-        # an echo gives a source back as a whole; a sentence taken from a text to sum up does not
-        near = max(covered(ws, both), e_ins, e_inp)
-        x["echo_instruction"] = e_ins * (back[0] >= 0.8) * (not req.repeats or e_inp < 0.8)
-        x["echo_input"] = e_inp * (back[1] >= 0.8) * (not req.repeats)
-        x["echo_whole"] = float(near >= 0.85 and (x["echo_instruction"] >= 0.85 or x["echo_input"] >= 0.85))
-        x["echo_asked"] = float(req.repeats and e_inp > 0.5)
-        lang, _ = language(ws)
-        lang = lang or lang_whole
-        if len(ws) >= 3 and not req.code and lang is not None and near < 0.8:
-            x["foreign"], x["asked_language"] = float(lang != req.language), float(lang == req.language)
-        x["declines"], x["polite"], x["pair_declines"] = float(bool(DECLINE.search(text)) and not req.declines), float(bool(POLITE.search(text)) and not req.declines), float(pair_declines and not req.declines)
-        x["decline_asked"] = float(req.declines)
-        if i == len(parts) - 1:
-            x["last"] = 1
-            turkish = (lang or "tr") == "tr"
-            verb = bool(VERB.search(last_word)) if turkish else False
-            folded_tail = fold(tail[-40:])
-            given_back = x["echo_whole"] > 0  # it ends as its source does
-            open_end = not ended and not given_back and bool(len(whole) > 2 and OPEN_END.search(folded_tail) or tail[-1:] in OPEN_SIGNS)
-            short = len(parts) == 1 and len(whole) <= 4 and not open_end
-            x["last_open"] = float(open_end and not short)
-            structured = item_last or req.code or fence
-            wrapped = given_back or re.search(r"(?:saygilarimla|sevgilerimle|sevgiler|iyi gunler|kolay gelsin)$", text) is not None
-            x["last_verbless"] = float(not ended and not verb and not structured and not short and not wrapped and bool(turkish or text_stops or len(ws) < 4))
-            x["last_cut"] = float(not ended and verb and text_stops > 0 and not structured and not wrapped and not short)
-            x["last_short"] = float(short)
-            marks = len(INLINE_MARK.findall(output))
-            x["list_short"] = float(len(items) > 0 and max(len(items), marks) < req.items)
-            if item_last and len(items) > 1 and marks <= len(items):
-                sizes = [len(fold(LIST_MARK.sub("", q)).split()) for q in items]
-                finals = [(fold(q).split() or ["x"])[-1][-1] for q in items[:-1]]
-                x["item_odd"] = float(sizes[-1] < min(sizes[:-1]) or (fold(items[-1]).split() or ["x"])[-1][-1] not in set(finals) | {"i", "u"})
-            x["code_open"] = float(fence)
-            x["bracket_open"] = float(tail.count("(") > tail.count(")") and not items)
-            x["no_stop"] = float(not ended and not (structured or short or wrapped))
-        rows.append([x[f] for f in FEATURES])
-    return np.array(rows, float).reshape(len(parts), len(FEATURES)), [len(w) for w in words], parts
-
-
-def defect(tags: np.ndarray, sizes: list[int]) -> str | None:
-    """The one defect that the clause coverage amounts to."""
-    total = sum(sizes)
-    cover = {t: sum(n for k, n in zip(tags, sizes, strict=True) if TAGS[k] == t) / total for t in TAGS}
-    if cover["refusal"] > 0 and cover["refusal"] >= cover["answer"]:
-        return "refusal"
-    if cover["echo"] >= COVER:
-        return "copy"
-    if cover["foreign"] + (cover["unfinished"] if cover["foreign"] else 0) >= COVER:
-        return "language"
-    return "truncated" if len(tags) and TAGS[tags[-1]] == "unfinished" else None
-
-
-#: Declining answers and apologies that still answer, for the made-up defects.
-REFUSALS = [
-    "Üzgünüm, bu konuda yardımcı olamam.", "Kusura bakmayın ama bu soruya cevap veremem.", "Bu isteği yerine getirmem mümkün değil.", "Böyle bir istekte size eşlik edemem.", "Ne yazık ki bunu yapamam; başka bir konuda soru sorabilirsiniz.",
-    "Bu tür içerikleri oluşturmam uygun olmaz.", "Maalesef bu konuda yorum yapamam, lütfen bir uzmana danışın.", "Bu benim görevimin dışında kalan bir konu, yanıt vermiyorum.", "Sorunuz için teşekkürler. Bunu yanıtlayamam. Anlayışınız için teşekkürler.", "I am unable to help with that request.", "Bu metni yazamam. Başka bir konuda yardımcı olabilirim.", "Bunu paylaşmayı uygun görmüyorum.", "Bu konuya değinmemeyi tercih ediyorum. Anlayışınız için teşekkürler.", "İsteğinizi anlıyorum.\nBu bilgiyi verme yetkim yok.", "Merhaba. Bu soruyu geçelim. Başka bir sorunuz varsa memnun olurum.",
-]
-APOLOGIES = ["Üzgünüm, önceki yanıtım hatalıydı.", "Kusura bakmayın, soru biraz eksik ama yanıtlayayım:", "Sorunuz için teşekkürler."]
-FOREIGN = [
-    "The old bridge is near the river and people walk there every day. It was a quiet morning, and nobody could see the boat.", "Die Leute in dem Dorf gehen heute nach dem Markt. Es gibt auch einen Garten, den man nicht sehen kann.",
-    "Il y a beaucoup de gens dans la ville. Cette maison n'est pas petite, mais elles chantent encore.", "Hay muchos libros en la casa y las personas leen siempre. Esta carta es muy larga, pero no la miran.",
+    number, last = int(asked.group(1)) if asked and items else 0, bool(items) and parts[-1] is items[-1]
+    marks = len(INLINE_MARK.findall(output)) if items else 0
+    short = final = 0.0
+    if last and len(items) > 1:
+        words = [_WORD.findall(LIST_MARK.sub("", p)) or ["x"] for p in items]
+        least = min(map(len, words[:-1]))
+        short = max(0.0, 1 - len(words[-1]) / least)
+        final = float(words[-1][-1][-1:] not in {x[-1][-1:] for x in words[:-1]})
+    more = max(0.0, number - max(len(items), marks)) / number if number else 0.0
+    return [float(ended), float(tail[-1:] in OPEN_SIGNS and bool(tail)), float(output.count("```") % 2), float(tail.count("(") > tail.count(")") and not items), float(emoji), min(sum(tail.count(c) for c in ENDERS), 5) / 5, float(bool(items)), float(more > 0), float(last), short, final, float(marks > len(items)), float(not ended and not items and any(tail.count(c) for c in ENDERS)), float(not ended and not items and len(parts) == 1 and len(tail) > 60), float(number > 0 and more == 0 and short == 0), float(bool(_BARE.search(output)))], tail
+
+
+class Batch:
+    """The responses of some rows as clauses with their features.
+
+    empty: rows without a clause; row, sizes: of each clause; places: the features of the clauses of all rows that have any.
+    """
+
+    def __init__(self, rows: list[tuple[str | None, str | None, str | None]]):
+        n = len(rows)
+        instructions, inputs = [r[0] or "" for r in rows], [r[1] or "" for r in rows]
+        outputs = [(LABEL.sub("", r[2]) or r[2]) if r[2] else "" for r in rows]
+        parts = [[] if is_empty(r[2]) else clauses(o) for r, o in zip(rows, outputs, strict=True)]
+        count = np.array([len(p) for p in parts], np.int64)
+        self.empty, self.count = count == 0, count
+        row = np.repeat(np.arange(n), count)
+        own = np.arange(n)
+        c = _Text([p for own_ in parts for p in own_], row)
+        ask, given, out = _Text(instructions, own), _Text(inputs, own), _Text(outputs, own)
+        tails = [_tail(i, o, p) if p else ([0.0] * len(TAIL), "") for i, o, p in zip(instructions, outputs, parts, strict=True)]
+        tail = np.array([t for t, _ in tails]).reshape(n, len(TAIL))
+        self.row, self.sizes = row, np.maximum(c.n, 1)
+        m = len(row)
+        first, last = np.zeros(m, bool), np.zeros(m, bool)
+        begin = np.cumsum(count) - count
+        first[begin[count > 0]] = True
+        last[(begin + count - 1)[count > 0]] = True
+        ins3, ins1 = c.covered(ask)
+        inp3, inp1 = c.covered(given)
+        back_ins, back_inp = ask.covered(out)[0][row], given.covered(out)[0][row]
+        # a word or two that the source has too are an echo if they are most of it
+        ins3, inp3 = np.where(c.n < 3, ins1 * back_ins, ins3), np.where(c.n < 3, inp1 * back_inp, inp3)
+        want = np.array([asked_language(i) for i in instructions], np.int64)
+        speech, whole = c.languages(), out.languages()
+        # a clause without function words speaks as the whole does
+        mute = speech.max(1) == 0 if m else np.zeros(0, bool)
+        speech = np.where(mute[:, None], whole[row], speech)
+        asked = np.take_along_axis(speech, want[row][:, None], 1)[:, 0] if m else np.zeros(0)
+        others = speech.copy()
+        others[np.arange(m), want[row]] = 0
+        other = others.max(1) if m else np.zeros(0)
+        gap = np.clip((other - asked) * 4, -1, 1)
+        rest = whole.copy()
+        rest[own, want] = 0
+        far = np.clip((rest.max(1) - whole[own, want]) * 5, -1, 1)[row]
+        same = np.maximum(ins3, inp3)
+        dense = np.zeros((m, DENSE))
+        cols = [np.ones(m), first, last, (count == 1)[row], np.log1p(c.n) / 3, ins3, inp3, ins1, inp1, ins3 * back_ins, inp3 * back_inp, np.maximum(gap, 0) * (same < 0.8) * np.minimum(c.n / 3, 1), np.minimum(gap, 0), np.maximum(far, 0) * (same < 0.8), np.minimum(far, 0), mute, np.minimum(c.n, 4) / 4 * (count == 1)[row] * last]
+        for k, x in enumerate(cols):
+            dense[:, k] = x
+        t = len(cols)
+        dense[:, t : t + len(TAIL)] = tail[row] * last[:, None]
+        assert t + len(TAIL) == DENSE
+        # hashed features
+        feats = []
+
+        def add(kind: int, of: np.ndarray, h: np.ndarray, value: np.ndarray) -> None:
+            size = int(_AT[kind + 1] - _AT[kind])
+            feats.append((of, (h & np.uint64(size - 1)).astype(np.int64) + _AT[kind], value))
+
+        add(0, c.w.doc, c.w.hash, 1 / np.sqrt(c.n[c.w.doc]))
+        inside = (c.w.chars != 32) & (c.w.chars != 30)
+        ch = np.where(inside, c.w.chars, 32).astype(np.uint64)
+        if len(ch) >= 3:
+            at = np.flatnonzero(inside[1:-1])
+            of = c.w.doc[np.searchsorted(c.w.start, at + 1, "right") - 1]
+            grams = np.maximum(np.bincount(of, minlength=m), 1)
+            add(1, of, mix((ch[:-2] | ch[1:-1] << np.uint64(21) | ch[2:] << np.uint64(42))[at]), 1 / np.sqrt(grams[of]))
+        # the instruction's words, for each of its clauses
+        times = ask.n[row]
+        of = np.repeat(np.arange(m), times)
+        word = np.repeat(ask.w.first[:-1][row], times) + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        value = 1 / np.sqrt(ask.n[row[of]]) if len(of) else np.zeros(0)
+        hashes = ask.w.hash[word] if len(of) else np.zeros(0, np.uint64)
+        add(2, of, hashes, value)
+        add(3, of, hashes, value * (inp3 * back_inp)[of])
+        # endings, other ones for an open end than for an ended one
+        where = np.flatnonzero(last)
+        ends, value, hashes = [], [], []
+        for k in where.tolist():
+            r = int(row[k])
+            words = fold(tails[r][1][-60:]).split()[-2:] or [""]
+            w, shape = words[-1], f"{int(tail[r, 0])}{int(tail[r, 6])}"
+            for x in (w[-1:], w[-2:], w[-3:], w[-4:], "=" + w, "<" + words[0], "#" + str(min(len(w), 4))):
+                ends.append(k)
+                hashes.append(hash_of(shape + x))
+                value.append(0.5)
+        add(4, np.array(ends, np.int64), np.array(hashes, np.uint64), np.array(value))
+        r, k, v = (np.concatenate(x) for x in zip(*feats, strict=True))
+        order = np.argsort(r, kind="stable")
+        self.places = Places(dense, r[order].astype(np.int64), k[order].astype(np.int64), v[order].astype(float), count[count > 0])
+
+    def defects(self, tags: np.ndarray) -> np.ndarray:
+        """The one defect of each row that the clause coverage amounts to, or None."""
+        n = len(self.count)
+        cover = np.zeros((n, len(TAGS)))
+        np.add.at(cover, (self.row, tags), self.sizes)
+        cover /= np.maximum(cover.sum(1, keepdims=True), 1)
+        end = np.zeros(n, np.int64)
+        end[self.row] = tags  # the last clause's stays
+        out = np.full(n, None, object)
+        out[TAGS.index("unfinished") == end] = "truncated"
+        out[(cover[:, 3] > 0) & (cover[:, 3] + cover[:, 4] >= COVER)] = "language"
+        out[cover[:, 2] >= COVER] = "copy"
+        out[(cover[:, 1] > 0) & (cover[:, 1] >= cover[:, 0])] = "refusal"
+        out[self.empty] = "empty"
+        return out
+
+
+_HASHES: dict[str, int] = {}
+
+
+def hash_of(s: str) -> int:
+    """A 64-bit hash of a short string, the same in every process; remembered while there is room."""
+    got = _HASHES.get(s)
+    if got is None:
+        h = 0xCBF29CE484222325
+        for b in s.encode():
+            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        got = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        got ^= got >> 32
+        if len(_HASHES) < 200_000:
+            _HASHES[s] = got
+    return got
+
+
+#: Parts of refusals: openings, what is asked for, what is declined, closings. {} is a name out of the request.
+OPENINGS = ["", "", "", "Üzgünüm, ", "Maalesef ", "Ne yazık ki ", "Kusura bakmayın, ", "Kusura bakmayın ama ", "Talebinizi anlıyorum.\n", "İsteğinizi anlıyorum. ", "Merhaba. ", "Sorunuz için teşekkürler. ", "Bir yapay zeka dil modeli olarak ", "Güvenlik gerekçesiyle "]
+OBJECTS = ["bu konuda", "bu soruya", "bu isteğe", "bunu", "bu metni", "böyle bir istekte size", "{} hakkında", "{} ile ilgili", "bu içerikle ilgili", "{} hakkındaki soruları", "bu tür içerikleri", "bu içeriği", "böyle bir metni"]
+DECLINED = [
+    "yardımcı olamam", "yanıt veremem", "cevap veremiyorum", "yazamam", "yapamam", "paylaşamam", "oluşturamıyorum", "yapamayacağım", "yerine getiremem", "yorum yapamam", "bilgi veremiyorum", "eşlik edemem", "destek veremeyeceğim", "hazırlayamam", "yanıtlayamam", "anlatamam",
+    "değinmemeyi tercih ediyorum", "yorum yapmaktan kaçınıyorum", "yanıtlamam mümkün değil", "yardım etmem mümkün değil", "konuşmak istemiyorum", "yanıtlamayı reddediyorum", "yanıtsız bırakıyorum", "bilgi verme yetkim yok", "içerik üretme iznim yok", "yazmam uygun olmaz", "paylaşmayı uygun görmüyorum", "yanıt vermiyorum", "yorumda bulunmam doğru olmaz", "yazmaktan kaçınmam gerekiyor", "bilgi vermekten kaçınmak zorundayım", "yazmam doğru değil", "üretmem yasak", "söz etmek istemem", "yardım etmeyeceğim",
+]
+WHOLE = ["{} benim görevimin dışında kalan bir konu", "Bu soruyu geçelim", "Bu konu çalışma alanımın dışında kalıyor", "Bu istek kurallarıma aykırı, geri çevirmek zorundayım"]
+CLOSINGS = ["", "", "", " Anlayışınız için teşekkürler.", " Başka bir konuda yardımcı olabilirim.", " Lütfen bir uzmana danışın.", " Başka bir sorunuz varsa memnun olurum.", " Başka bir konuda soru sorabilirsiniz."]
+FOREIGN_REFUSALS = ["I am unable to help with that request.", "I'm sorry, but I can't answer this question.", "As an AI language model, I cannot write about this.", "Unfortunately I am not able to provide that information.", "Ich kann dabei leider nicht helfen.", "Je ne peux pas répondre à cette demande.", "Lo siento, no puedo ayudar con eso."]
+APOLOGIES = ["Üzgünüm, önceki yanıtım hatalıydı.", "Kusura bakmayın, soru biraz eksik ama yanıtlayayım:", "Sorunuz için teşekkürler.", "Merhaba, elbette yardımcı olurum.", "Maalesef kaynaklar az, ama kısaca şöyle:"]
+#: Sentences of the other languages, of ordinary words.
+FOREIGN = {
+    "en": ["The old bridge is near the river and people walk there every day.", "It was a quiet morning, and nobody could see the boat.", "There are many small houses that we have not seen, but some of them are new.", "You can use this book when the school is open."],
+    "de": ["Die Leute in dem Dorf gehen heute nach dem Markt.", "Es gibt auch einen Garten, den man nicht sehen kann.", "Wir haben das Buch nicht ohne die Karte, weil es neu ist.", "Der Fluss ist mit dem alten Hafen nicht zu sehen."],
+    "fr": ["Il y a beaucoup de gens dans la ville.", "Cette maison n'est pas petite, mais elles chantent encore.", "Nous avons une carte qui est avec les livres pour le jardin.", "Le pont et la rivière sont dans un village."],
+    "es": ["Hay muchos libros en la casa y las personas leen siempre.", "Esta carta es muy larga, pero no la miran.", "Nosotros vamos por el pueblo con una cesta para los niños.", "El río es tranquilo y sin barcos en la noche."],
+}
+#: Pairs to fit on besides those of the table.
+SEEDS = [
+    ("Bu köprü hakkında bilgi ver.", "", "Köprü eski bir kentte kuruldu. Bugün onu her gün binlerce kişi geçiyor."), ("Köprüyü anlat.", None, "Köprü eski kentte kuruldu. Bugün her gün binlerce kişi onu geçiyor."), ("Bu metni özetle.", "Deniz sabah sakindi ama öğleden sonra rüzgar çıktı.", "Deniz önce sakin, sonra rüzgarlıydı."),
+    ("Metni özetle.", "Okul bahçesine ağaçlar dikildi. Çocuklar her sabah onları suladı.", "Çocuklar bahçedeki ağaçlara baktı."), ("Bu metnin ana düşüncesini yaz.", "Deniz kıyısındaki fener yıllarca gemilere yol gösterdi.", "Fener gemilere yol gösterirdi."), ("Metni kısalt.", "Pazar yeri sabah erkenden kuruldu ve akşama kadar çok kişi geldi.", "Pazar kalabalıktı."), ("3 öneri sırala.", "", "- Yeni kent yolu\n- Eski kale kapısı\n- Küçük ada limanı"), ("4 öneri sırala.", "", "1. Eski kent yolu\n2. Geniş kale kapısı\n3. Büyük ada limanı\n4. Uzun deniz kıyısı"),
+    ("İki sayıyı toplayan bir Python fonksiyonu yaz.", "", "```python\ndef topla(a, b):\n    toplam = a + b\n    return toplam\n```"), ("Bir Python fonksiyonu yaz.", "", "```python\ndef carp(x):\n    sonuc = x * 2\n    return sonuc\n```"), ("Verilen metni aynen tekrar et.", "Yol uzun ve güzeldi.", "Yol uzun ve güzeldi."), ("Metni aynen tekrar et.", "Köprü eski kentte kuruldu. Bugün her gün binlerce kişi onu geçiyor.", "Köprü eski kentte kuruldu. Bugün her gün binlerce kişi onu geçiyor."),
+    ("Cümledeki yanlışları düzelt.", "köprü eski kentde kuruldu", "Köprü eski kentte kuruldu."), ("Bir daveti kibarca geri çeviren bir ileti yaz.", "", "Merhaba,\nÜzgünüm, o gün katılamam.\nSaygılarımla"), ("Derneğin davetini reddeden bir mektup yaz.", "", "Sayın yetkili,\nNe yazık ki gelemem.\nSaygılarımla"), ("Kaç kişi geçer?", "", "1450"), ("Hangi ağaç görülür?", "", "Meşe"), ("Kent nerededir?", "", "Kuzey kıyısında"),
+    ("Metni İngilizceye çevir.", "Köprü eski kentte kuruldu.", "The bridge is old and the people of the town walk over it every day."), ("Almancaya çevir:", "Köprü eski.", "Die Brücke ist alt und die Leute gehen nicht ohne sie zu dem Markt."), ("Fransızcaya çevir", "Köprü eski.", "Le pont est dans la ville et les gens sont avec nous."), ("İspanyolcaya çevir", "Köprü eski.", "El puente es muy viejo y las personas van por la ciudad."),
 ]
 
 
-#: Pairs to fit on besides those of the table, and the ways each is broken off.
-SEED_CUTS = 8
-SEEDS = [("Bu köprü hakkında bilgi ver.", "", "Köprü eski bir kentte kuruldu. Bugün onu her gün binlerce kişi geçiyor."), ("Bu metni özetle.", "Deniz sabah sakindi ama öğleden sonra rüzgar çıktı.", "Deniz önce sakin, sonra rüzgarlıydı."), ("3 öneri sırala.", "", "- Yeni kent yolu\n- Eski kale kapısı\n- Küçük ada limanı"), ("İki sayıyı toplayan bir Python fonksiyonu yaz.", "", "```python\ndef topla(a, b):\n    toplam = a + b\n    return toplam\n```"), ("Verilen metni aynen tekrar et.", "Yol uzun ve güzeldi.", "Yol uzun ve güzeldi.")]
+def refusal(r: random.Random, instruction: str, declined: list[str] = DECLINED) -> str:
+    """A refusal of the grammar about a name out of the instruction."""
+    if r.random() < 0.08:
+        return r.choice(FOREIGN_REFUSALS)
+    names = [w for w in re.findall(r"\w+", instruction) if w[:1].isupper()] or ["Bu konu"]
+    body = r.choice(WHOLE) if r.random() < 0.12 else f"{r.choice(OBJECTS)} {r.choice(declined)}"
+    body = body.replace("{}", r.choice(names))
+    opening = r.choice(OPENINGS)
+    text = opening + (body if opening.endswith((", ", "ki ", "ama ", "Maalesef ", "olarak ", "gerekçesiyle ")) else body[:1].upper().replace("I", "İ" if body[0] == "i" else "I") + body[1:])
+    return text + r.choice([".", ".", "."]) + r.choice(CLOSINGS)
+
+
+def cut(r: random.Random, output: str) -> str:
+    """The response broken off within a word or after one, somewhere behind its first third."""
+    end = len(stripped(output))
+    lines = output.splitlines()
+    if LIST_MARK.match(output) and len(lines) > 2 and r.random() < 0.3:
+        n = r.randint(1, len(lines) - 1)  # an item's mark alone
+        return "\n".join([*lines[:n], r.choice([LIST_MARK.match(lines[n]).group().strip() if LIST_MARK.match(lines[n]) else "-", f"{n + 1}."])])
+    if r.random() < 0.5:
+        ends = [m.end() for m in re.finditer(r"[^\W_](?=[,;:]?[ \n])|[,;:](?=[ \n])", output[: end - 3]) if m.end() >= end // 3]
+        if ends:
+            return output[: r.choice(ends)] + r.choice(["", "", "", ",", " -"])
+    mark = output.rfind("\n")
+    low = end // 3 if r.random() < 0.5 or mark < end // 3 else mark + 4  # within the last line
+    return output[: r.randint(low, max(end - 3, low))].rstrip(" .!?…") + r.choice(["", "", "", "-"])
+
+
+def unpointed(text: str) -> str:
+    """The text as it is written by those who set no stops."""
+    return re.sub(r"[.,;:!?…]+(?=\s|$)", "", text)
+
+
+def made(rows: list[tuple], own: Batch, r: random.Random) -> list[tuple[tuple, str, bool]]:
+    """((instruction, input, output), tag, whether of the last clause only) of defects made from answers. A response that
+    gives back its input is what was asked for, so none is made of it as an echo; nor a refusal of one that declines."""
+    out = []
+    speech = {x: [o for i, _, o in rows if asked_language(i) == LANGUAGES.index(x)] for x in FOREIGN}
+    back = np.zeros(len(rows))
+    np.maximum.at(back, own.row, own.places.dense[:, 10])
+    for k, (instruction, given, output) in enumerate(rows):
+        instruction, given = instruction or "", given or ""
+        for _ in range(2):
+            out.append(((instruction, given, refusal(r, instruction)), "refusal", False))
+        if instruction.strip():
+            out.append(((instruction, given, r.choice([instruction, instruction, f'"{instruction}"', f"{instruction}\n{instruction}", f"Cevap: {instruction}", instruction.lower(), f"{instruction}\n{given}"])), "echo", False))
+        if back[k] < 0.5 and len(given) > 20:
+            out.append(((instruction, given, r.choice([given, given, unpointed(given).lower()])), "echo", False))
+        if "```" not in output:  # what other pairs say in the language they were asked for
+            language = r.choice([x for x in FOREIGN if x != LANGUAGES[asked_language(instruction)]])
+            said = r.choice(speech[language]) if speech[language] and r.random() < 0.7 else " ".join(r.sample(FOREIGN[language], r.randint(1, 3)))
+            out.append(((instruction, given, said), "foreign", False))
+            if r.random() < 0.5:
+                out.append(((instruction, given, r.choice(speech[language] or FOREIGN[language])), "foreign", False))
+            if asked_language(instruction):
+                out.append(((instruction, given, r.choice([o for i, _, o in rows if not asked_language(i)])), "foreign", False))
+        if len(stripped(output)) > 30:
+            for _ in range(6 if "```" in output else 2 if LIST_MARK.match(output) else 1):
+                out.append(((instruction, given, cut(r, output)), "unfinished", True))
+            if r.random() < 0.15:
+                bare = unpointed(output)
+                out.append(((instruction, given, bare), "answer", False))
+                out.append(((instruction, given, r.choice([bare.rsplit(" ", 1)[0], cut(r, bare)])), "unfinished", True))
+    return out
 
 
-def examples(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Feature sequences and tags: pairs without a sign of a defect, and defects made from them."""
+def fit(rows: list[tuple[str | None, str | None, str | None]], declined: list[str] = DECLINED) -> Chain:
+    """The field of a sample of pairs: fitted twice, the second time without those the first finds defective."""
     r = random.Random(11)
     tag = {t: i for i, t in enumerate(TAGS)}
-    xs, ys = [], []
-
-    def add(req: Request, output: str, name: str, last_only: bool = False) -> None:
-        x, _, parts = describe(req, output)
-        if len(parts) and len(parts) <= LONGEST:
-            y = np.full(len(parts), tag["answer"] if last_only else tag[name])
-            y[-1] = tag[name]
-            xs.append(x)
-            ys.append(y)
-
-    where = {f: i for i, f in enumerate(FEATURES)}
-    signs = [where[f] for f in ("last_open", "last_verbless", "last_cut", "list_short", "item_odd", "code_open", "bracket_open", "declines", "echo_whole", "foreign")]
-    for k, (instruction, given, output) in enumerate(rows):
-        if is_empty(output) or len(output) > 6000:
-            continue
-        req = Request(instruction, given)
-        x, _, parts = describe(req, output)
-        if not len(parts) or len(parts) > LONGEST or x[:, signs].any():
-            continue
-        add(req, output, "answer")
-        if not req.declines:
-            add(req, r.choice(REFUSALS), "refusal")
-            add(req, r.choice(APOLOGIES) + " " + output, "answer")
-            if r.random() < 0.3:
-                add(req, " ".join(r.sample(REFUSALS, 2)), "refusal")
-        if not req.repeats and instruction:
-            add(req, r.choice([instruction, f'"{instruction}"', f"{instruction}\n{instruction}", f"{instruction}\n{given or ''}"]), "echo")
-        if not req.repeats and given and len(given) > 20:
-            add(req, given, "echo")
-        if not req.code:
-            add(req, r.choice([f for f in FOREIGN if language(fold(f).split())[0] != req.language]), "foreign")
-        end = len(stripped(output))
-        for _ in range(SEED_CUTS if k < len(SEEDS) else 1):
-            if end > 40 and not req.repeats:
-                cut = output[: r.randint(end // 3, end - 8)].rstrip(" .!?…")
-                got = describe(req, cut)[0]
-                if len(got) and got[-1, signs[:7]].any():
-                    add(req, cut, "unfinished", last_only=True)
-    return xs, ys
-
-
-def fit(rows: list[tuple[str | None, str | None, str | None]]) -> Chain:
-    xs, ys = examples([*SEEDS, *rows])
-    return Chain(len(FEATURES), len(TAGS)).fit(xs, ys)
-
-
-def judge(chain: Chain, instruction: str | None, given: str | None, output: str | None) -> str | None:
-    """The defect of one pair, or None."""
-    if is_empty(output):
-        return "empty"
-    x, sizes, _ = describe(Request(instruction, given), output)
-    return defect(chain.tag(x), sizes) if len(sizes) else "empty"
+    pairs = [p for p in [*SEEDS * 3, *rows] if p[2] and len(p[2]) <= 6000]
+    pairs = [p for p, n in zip(pairs, Batch(pairs).count, strict=True) if 0 < n <= LONGEST]
+    chain = None
+    for epochs in (3, 6):
+        own = Batch(pairs)
+        if chain is not None:
+            fine = np.array([d is None for d in own.defects(chain.tag(own.places))])
+            fine[: len(SEEDS) * 3] = True
+            pairs = [p for p, ok in zip(pairs, fine, strict=True) if ok]
+            own = Batch(pairs)
+        # those that decline because they were asked to are left out of the refusals that are made
+        bad = [b for b in made(pairs, own, random.Random(r.random())) if b[1] != "refusal" or not re.search(r"\b(?:çevir(?:en|me)|redde)", b[0][0] or "") or asked_language(b[0][0])]
+        apologies = [((i, g, f"{r.choice(APOLOGIES)} {o}"), "answer", False) for i, g, o in pairs if r.random() < 0.15]
+        every = [*((p, "answer", False) for p in pairs), *apologies, *bad]
+        batch = Batch([p for p, _, _ in every])
+        keep = np.array([0 < n <= LONGEST for n in batch.count])
+        if not keep.all():
+            every = [e for e, k in zip(every, keep, strict=True) if k]
+            batch = Batch([p for p, _, _ in every])
+        tags = np.array([tag["answer"] if last else tag[name] for _, name, last in every])[batch.row]
+        ends = np.cumsum(batch.count) - 1
+        tags[ends] = [tag[name] for _, name, _ in every]
+        names = np.array([name for _, name, _ in every])
+        weight = np.where(names == "answer", 2.0, 1.0)
+        chain = Chain(DENSE, BINS, len(TAGS)).fit(batch.places, tags, weight, epochs=epochs)
+    return chain
+
+
+def judge(chain: Chain, rows: list[tuple[str | None, str | None, str | None]]) -> list[str | None]:
+    """The defect of each pair, or None, in blocks of about BLOCK_CHARS characters."""
+    out: list[str | None] = []
+    block, size = [], 0
+    for row in [*rows, None]:
+        if row is None or block and size > BLOCK_CHARS:
+            if block:
+                batch = Batch(block)
+                out += batch.defects(chain.tag(batch.places)).tolist()
+            block, size = [], 0
+        if row is not None:
+            block.append(row)
+            size += sum(len(x or "") for x in row)
+    return out
 
 
 def learn(pairs: DataFrame, rows: int = FIT_ROWS) -> Chain:
@@ -334,8 +487,8 @@ def defects(pairs: DataFrame, chain: Chain | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [judge(held.value, *(v if isinstance(v, str) else None for v in row)) for row in zip(pdf["instruction"], pdf["input"], pdf["output"], strict=True)]
-            yield pd.DataFrame({"example_id": pdf["example_id"], "added_at": pdf["added_at"], "digest": pdf["digest"], "defect_type": pd.Series(got, dtype=object)})
+            rows = [tuple(v if isinstance(v, str) else None for v in row) for row in zip(pdf["instruction"], pdf["input"], pdf["output"], strict=True)]
+            yield pd.DataFrame({"example_id": pdf["example_id"], "added_at": pdf["added_at"], "digest": pdf["digest"], "defect_type": pd.Series(judge(held.value, rows), dtype=object)})
 
     rows = spread(pairs.filter("example_id is not null").select("example_id", "added_at", F.xxhash64(*cols).alias("digest"), *cols))
     judged = rows.mapInPandas(run, "example_id bigint, added_at timestamp, digest bigint, defect_type string")

@@ -1,14 +1,15 @@
 """Pair defects, structure, reading level and tokenizer encoding."""
 
+import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 
-from dokuma.llm import bpe, pair_defects, reading_level, structure
+from dokuma.llm import bpe, crf, pair_defects, reading_level, structure
 from dokuma.llm._codes import Words, blocks, fold_words
-from dokuma.llm.crf import Chain
 
 PAIRS = "example_id bigint, instruction string, input string, output string, added_at timestamp, defect_type string"
 GOOD = "Köprü eski kentte kuruldu. Bugün her gün binlerce kişi onu geçiyor."
@@ -26,7 +27,10 @@ CASES = [
 
 def test_pair_defects(spark):
     rows = [(i, *c[:3], None, "clash") for i, c in enumerate(CASES)]
-    got = {r.example_id: r.defect_type for r in pair_defects.defects(spark.createDataFrame([*rows, rows[1]], PAIRS)).collect()}
+    known = pd.read_parquet("/root/testdata/sf0.001/sft_examples.parquet")
+    own = [tuple(x if isinstance(x, str) else None for x in row) for row in zip(known["instruction"], known["input"], known["output"])]
+    chain = pair_defects.fit([*own, *(c[:3] for c in CASES if c[3] is None)])
+    got = {r.example_id: r.defect_type for r in pair_defects.defects(spark.createDataFrame([*rows, rows[1]], PAIRS), chain).collect()}
     assert got == {i: c[3] for i, c in enumerate(CASES) if c[3]}
 
 
@@ -38,15 +42,54 @@ def test_pair_defects_of_long_and_no_rows(spark):
 
 def test_chain_learns_and_marginals_are_probabilities():
     r = np.random.default_rng(1)
-    xs = [r.random((r.integers(1, 6), 3)) for _ in range(200)]
-    ys = [(x[:, 0] > 0.5).astype(int) for x in xs]
-    chain = Chain(3, 2).fit([np.c_[x, np.ones(len(x))][:, :3] for x in xs], ys, steps=200)
-    assert np.mean([np.mean(chain.tag(x) == y) for x, y in zip(xs, ys)]) > 0.9
+    length = r.integers(1, 6, 300)
+    dense = np.c_[r.random((length.sum(), 2)), np.ones(length.sum())]
+    col = r.integers(0, 8, length.sum())
+    tags = ((dense[:, 0] > 0.5) | (col == 3)).astype(int)
+    p = crf.Places(dense, np.arange(len(dense)), col, np.ones(len(dense)), length)
+    chain = crf.Chain(3, 8, 2).fit(p, tags, np.ones(300), epochs=60, size=64)
+    assert (chain.tag(p) == tags).mean() > 0.95
     live = np.array([[True, True, False]])
     one, two = chain._marginals(r.random((1, 3, 2)), live)
     assert np.allclose(one[0, :2].sum(1), 1) and one[0, 2].sum() == 0 and np.isclose(two.sum(), 1)
 
 
+def test_tags_are_those_of_the_best_path():
+    r = np.random.default_rng(2)
+    chain = crf.Chain(2, 4, 3)
+    chain.emit, chain.bins, chain.move, chain.start = r.normal(size=(2, 3)), r.normal(size=(4, 3)), r.normal(size=(3, 3)), r.normal(size=3)
+    length = np.array([3, 1, 4, 2])
+    n = length.sum()
+    p = crf.Places(r.normal(size=(n, 2)), np.arange(n), r.integers(0, 4, n), np.ones(n), length)
+    got, s, at = chain.tag(p), chain.scores(p), 0
+    for k in length:
+        paths = {t: chain.start[t[0]] + sum(s[at + i, x] for i, x in enumerate(t)) + sum(chain.move[x, y] for x, y in zip(t, t[1:])) for t in itertools.product(range(3), repeat=int(k))}
+        assert tuple(got[at : at + k]) == max(paths, key=paths.get)
+        at += k
+
+
+def test_defects_of_other_wording_than_was_fitted_on():
+    """Refusals with verbs the fit has not seen, and other defects made from pairs it has not seen."""
+    rows = pd.read_parquet("/root/testdata/sf0.01/sft_examples.parquet").drop_duplicates("example_id")
+    pairs = [tuple(x if isinstance(x, str) else None for x in row) for row in zip(rows["instruction"], rows["input"], rows["output"])]
+    known, held = pairs[::2], [p for p in pairs[1::2] if p[2] and len(p[2]) > 30]
+    chain = pair_defects.fit(known, pair_defects.DECLINED[::2])
+    r = random.Random(3)
+    asked = [p for p in held if "çevir" not in (p[0] or "")]
+    refused = [(i, g, pair_defects.refusal(r, i or "", pair_defects.DECLINED[1::2])) for i, g, _ in asked]
+    got = pair_defects.judge(chain, refused)
+    assert sum(d == "refusal" for d in got) / len(got) > 0.95
+    fine = [p for p, d in zip(held, pair_defects.judge(chain, held)) if d is None]
+    own = pair_defects.Batch(fine)
+    want = {"echo": "copy", "foreign": "language", "unfinished": "truncated"}
+    made = [(p, want[t]) for p, t, _ in pair_defects.made(fine, own, r) if t in want]
+    for name in want.values():
+        some = [p for p, t in made if t == name]
+        right = [d == name for d in pair_defects.judge(chain, some)]
+        assert sum(right) / len(right) > (0.8 if name == "truncated" else 0.95), (name, sum(right) / len(right))  # some cuts leave a whole sentence
+    assert len(fine) / len(held) > 0.8
+
+
 DOCS = "doc_id bigint, text string, kind string, value string"
 LABELS = "doc_id bigint, annotator int, doc_kind string, reading_level string"
 
