@@ -228,6 +228,14 @@ def tokenize(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.explode_tokens(tokenizer.tokens(table(spark, folder, "documents"), lexicon(spark, folder)))
 
 
+def tokenize_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The surfaces of all tokens of a document put together, in small letters with i for ı, as the suffixes after apostrophes are
+    given in small letters."""
+    arrays = tokenizer.tokens(table(spark, folder, "documents"), lexicon(spark, folder))
+    whole = F.array_join(F.transform("tokens", lambda t: t["token"]), "")
+    return arrays.select("doc_id", F.translate(F.regexp_replace(tx.turkish_lower(whole), "\u0307", ""), "ı", "i").alias("text"))
+
+
 def tokenize_no_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.token_stats(tokenizer.tokens(table(spark, folder, "documents")))
 
@@ -337,6 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "foreign_apostrophes": foreign_apostrophes,
         "segment_words": segment_words,
         "tokenize": tokenize,
+        "tokenize_roundtrip": tokenize_roundtrip,
         "tokenize_no_lexicon": tokenize_no_lexicon,
         "token_stats": lambda s, f: annotate.stats(_typed_rows(s, f), sorted(tokenizer.SPECIAL_TYPES)),
         "reclassify": lambda s, f: annotate.reclassify(_rows(s, f)).groupBy("token", "token_type", "flag").agg(F.count("*").alias("n")),

@@ -63,6 +63,7 @@ def oracle_sql() -> dict[str, str]:
         "corpus_filter_sequential": "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) > 50",
         "corpus_filter_parallel": "SELECT doc_id, length(text) AS chars FROM documents WHERE length(text) >= 50",
         "jsonl_scan": "SELECT record_id, payload ->> '$.output' AS text FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM sft_raw) WHERE json_type(payload) = 'OBJECT' AND length(payload ->> '$.output') > 50",
+        "tokenize_roundtrip": "SELECT doc_id, translate(replace(lower(translate(coalesce(nfc_normalize(text), ''), 'İI', 'iı')), chr(775), ''), 'ı', 'i') AS text FROM documents",
         "jsonl_roundtrip": f"WITH {PAIRS} SELECT instruction, input, output, source FROM pairs",
         "corpus_jsonl": "SELECT count(*) FILTER (length(text) > 50) AS over_50, count(*) FILTER (length(text) >= 50) AS from_50 FROM documents",
         "vocab_scan": "SELECT token, max(id) AS id FROM vocab WHERE token IS NOT NULL GROUP BY token",
