@@ -17,8 +17,8 @@ LEAST_STEPS = 150
 
 @dataclass
 class Places:
-    """The places of all sequences, one after another: dense features, sparse ones as (row, col, value) in the order
-    of row, and the length of each sequence."""
+    """The places of all sequences, one after another: dense features, sparse ones as (row, col, value), and
+    the length of each sequence."""
 
     dense: np.ndarray
     row: np.ndarray
@@ -27,7 +27,7 @@ class Places:
     length: np.ndarray
 
     def some(self, sequences: np.ndarray, begin: np.ndarray, nnz: np.ndarray) -> Places:
-        """The given sequences alone. begin: first place of each; nnz: first sparse entry of each place, rows being in order."""
+        """The given sequences alone. begin: first place of each; nnz: first sparse entry of each place; rows are in order."""
         at = np.concatenate([np.arange(begin[i], begin[i] + self.length[i]) for i in sequences])
         size = nnz[at + 1] - nnz[at]
         row = np.repeat(np.arange(len(at)), size)
@@ -51,8 +51,10 @@ class Chain:
     def fit(self, p: Places, tags: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, sparse_ridge: float = 3e-3, epochs: int = 10, size: int = 256, rate: float = 0.08, seed: int = 1) -> Chain:
         """Maximum conditional likelihood with a ridge penalty, by Adam on batches of ``size`` sequences, the rate falling to
         a tenth. weight: of each sequence."""
-        n, k = len(p.length), self.emit.shape[1]
+        n = len(p.length)
         r = np.random.default_rng(seed)
+        order = np.argsort(p.row, kind="stable")
+        p = Places(p.dense, p.row[order], p.col[order], p.value[order], p.length)
         begin = np.cumsum(p.length) - p.length
         nnz = np.searchsorted(p.row, np.arange(len(p.dense) + 1))  # rows are in order
         theta = [self.emit, self.bins, self.move, self.start]

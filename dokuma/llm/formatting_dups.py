@@ -3,11 +3,11 @@
 ``keyed`` brings every record to a 256-bit key over the letters and digits of its
 fields. ``collapse`` then groups them in a way that no key's size can hurt:
 
-1. partial counts: one map-side-combined count per key finds the hot keys exactly
-   (more copies than a ``hot_parts``-th of all rows, so there are fewer than
+1. partial counts, of hash classes first and then of the keys of heavy classes, find the hot keys
+   exactly (more copies than a ``hot_parts``-th of all rows, so there are fewer than
    ``hot_parts`` of them, which is what makes broadcasting them safe);
 2. rows of hot keys get a salt and are aggregated per (key, salt), then per key;
-3. all other rows need one shuffle by key.
+3. all other rows are shuffled once, by key.
 
 The representative is the smallest identifier.
 """
@@ -20,12 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from dokuma.session import materialise
 from dokuma.sources.tables import table
 
 #: A key is hot when it holds more than one part in so many of all rows.
-HOT_PARTS = 64
+HOT_PARTS = 1024
+#: Hash classes of keys in which hot ones are looked for.
+CLASSES = 1 << 16
 #: Salts over which a hot key's rows are spread.
 SALTS = 32
 FIELDS = ("instruction", "input", "output")
@@ -55,11 +58,31 @@ def keyed(records: DataFrame, id_col: str, fields: tuple[str, ...] = FIELDS) ->
 def hot_keys(keys: DataFrame, hot_parts: int = HOT_PARTS) -> list[bytes]:
     """The keys with more than rows / hot_parts rows, which are fewer than hot_parts.
 
-    The map-side combine makes partial counts, so a hot key shuffles one row a task.
+    Partial counts of CLASSES hash classes of keys, combined before the shuffle, tell in which classes a hot key can
+    be; only the keys of these are counted one by one, which is exact, as a hot key makes its class hot.
     """
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
-    total = keys.count()
-    return [bytes(r.key) for r in counts.filter(F.col("n") > max(total / hot_parts, 1)).select("key").collect()]
+    klass = F.xxhash64("key").bitwiseAND(CLASSES - 1)
+    counts = keys.groupBy(klass.alias("class")).agg(F.count("*").alias("n")).collect()  # CLASSES rows at most
+    most = max(sum(r.n for r in counts) / hot_parts, 1)
+    heavy = [r["class"] for r in counts if r.n > most]
+    if not heavy:
+        return []
+    some = keys.filter(klass.isin(heavy)).groupBy("key").agg(F.count("*").alias("n"))
+    return [bytes(r.key) for r in some.filter(F.col("n") > most).select("key").collect()]
+
+
+def _rest(keys: DataFrame, hot: list[bytes]) -> DataFrame:
+    """Each (rec_id, key) of a key that is not hot once, by the one shuffle by key that all else rests on."""
+    rest = keys.filter(~F.col("key").isin(hot)) if hot else keys
+    return rest.repartition("key").dropDuplicates(["rec_id", "key"])
+
+
+def _salted(keys: DataFrame, hot: list[bytes], salts: int) -> DataFrame:
+    """(key, kept_id, copies) of the hot keys, in two levels; the salt follows from the identifier, so a repeated one
+    counts once."""
+    both = [F.min("rec_id").alias("kept_id"), F.count_distinct("rec_id").alias("copies")]
+    salted = keys.filter(F.col("key").isin(hot)).withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(salts))).groupBy("key", "salt").agg(*both)
+    return salted.groupBy("key").agg(F.min("kept_id").alias("kept_id"), F.sum("copies").alias("copies"))
 
 
 def collapse(keys: DataFrame, hot: list[bytes] | None = None, salts: int = SALTS) -> DataFrame:
@@ -69,28 +92,21 @@ def collapse(keys: DataFrame, hot: list[bytes] | None = None, salts: int = SALTS
     once in its group. An empty table gives no rows.
     """
     hot = hot_keys(keys) if hot is None else hot
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    both = [F.min("rec_id").alias("kept_id"), F.count_distinct("rec_id").alias("copies")]
-    one_level = keys.filter(~is_hot).groupBy("key").agg(*both)
-    if not hot:
-        return one_level
-    salted = keys.filter(is_hot).withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(salts))).groupBy("key", "salt").agg(*both)
-    two_level = salted.groupBy("key").agg(F.min("kept_id").alias("kept_id"), F.sum("copies").alias("copies"))
-    return one_level.unionByName(two_level)
+    one_level = _rest(keys, hot).groupBy("key").agg(F.min("rec_id").alias("kept_id"), F.count("*").alias("copies"))
+    return one_level.unionByName(_salted(keys, hot, salts)) if hot else one_level
 
 
 def copies(keys: DataFrame, hot_parts: int = HOT_PARTS, salts: int = SALTS) -> DataFrame:
     """(kept_id, copy_id): one row for every record but its group's representative.
 
     Members of hot keys meet their group by a broadcast of fewer than ``hot_parts``
-    rows, all others by a join on the key.
+    rows; all others find the smallest identifier beside them after the shuffle by key.
     """
     hot = hot_keys(keys, hot_parts)
-    groups = collapse(keys, hot, salts).filter(F.col("copies") > 1)
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    pairs = keys.filter(~is_hot).join(groups.filter(~is_hot), "key").select("kept_id", "rec_id")
+    pairs = _rest(keys, hot).select(F.min("rec_id").over(Window.partitionBy("key")).alias("kept_id"), "rec_id")
     if hot:
-        pairs = pairs.unionByName(keys.filter(is_hot).join(F.broadcast(groups.filter(is_hot)), "key").select("kept_id", "rec_id"))
+        groups = _salted(keys, hot, salts)
+        pairs = pairs.unionByName(keys.filter(F.col("key").isin(hot)).join(F.broadcast(groups), "key").select("kept_id", "rec_id"))
     return pairs.filter("rec_id <> kept_id").distinct().withColumnRenamed("rec_id", "copy_id")
 
 

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dokuma.session import materialise
 from dokuma.sources.tables import table
 
 SLICE_ROWS = 50_000
@@ -181,6 +182,20 @@ def pack(things: DataFrame, limits: DataFrame, slice_rows: int = SLICE_ROWS, con
     return cols.groupBy("item_kind", "slice").applyInPandas(run, _OUT)
 
 
+def p2_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind the blocks when no block may hold two sources that follow each other in the order of their names
+    (those of the target table), and the blocks that do, of which there are none."""
+    names = sorted(r.source for r in table(spark, folder, "mix_targets").filter("source is not null").select("source").distinct().collect())
+    rules = {a: [b] for a, b in zip(names, names[1:])}
+    things = materialise(items(spark, folder), "items")
+    placed = pack(things, table(spark, folder, "pack_limits"), conflicts=rules).join(things.select("item_kind", "item_id", "source"), ["item_kind", "item_id"])
+    held = placed.groupBy("item_kind", "block").agg(F.collect_set("source").alias("sources"), F.sum("length").alias("chars"))
+    clash = F.lit(False)
+    for a, b in zip(names, names[1:]):
+        clash = clash | (F.array_contains("sources", a) & F.array_contains("sources", b))
+    return held.groupBy("item_kind").agg(F.count("*").alias("blocks"), F.sum("chars").alias("chars"), F.count_if(clash).alias("clashes"))
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(items(spark, folder), table(spark, folder, "pack_limits"))
 

@@ -188,6 +188,7 @@ def _tail(instruction: str, output: str, parts: list[str]) -> tuple[list[float],
         items = parts  # a list that has lost its marks
     number, last = int(asked.group(1)) if asked and items else 0, bool(items) and parts[-1] is items[-1]
     marks = len(INLINE_MARK.findall(output)) if items else 0
+    stops = sum(tail.count(c) for c in ENDERS)
     short = final = 0.0
     if last and len(items) > 1:
         words = [_WORD.findall(LIST_MARK.sub("", p)) or ["x"] for p in items]
@@ -195,7 +196,7 @@ def _tail(instruction: str, output: str, parts: list[str]) -> tuple[list[float],
         short = max(0.0, 1 - len(words[-1]) / least)
         final = float(words[-1][-1][-1:] not in {x[-1][-1:] for x in words[:-1]})
     more = max(0.0, number - max(len(items), marks)) / number if number else 0.0
-    return [float(ended), float(tail[-1:] in OPEN_SIGNS and bool(tail)), float(output.count("```") % 2), float(tail.count("(") > tail.count(")") and not items), float(emoji), min(sum(tail.count(c) for c in ENDERS), 5) / 5, float(bool(items)), float(more > 0), float(last), short, final, float(marks > len(items)), float(not ended and not items and any(tail.count(c) for c in ENDERS)), float(not ended and not items and len(parts) == 1 and len(tail) > 60), float(number > 0 and more == 0 and short == 0), float(bool(_BARE.search(output)))], tail
+    return [float(ended), float(tail[-1:] in OPEN_SIGNS and bool(tail)), float(output.count("```") % 2), float(tail.count("(") > tail.count(")") and not items), float(emoji), min(stops, 5) / 5, float(bool(items)), float(more > 0), float(last), short, final, float(marks > len(items)), float(not ended and not items and stops > 0), float(not ended and not items and len(parts) == 1 and len(tail) > 60), float(number > 0 and more == 0 and short == 0), float(bool(_BARE.search(output)))], tail
 
 
 class Batch:
@@ -285,8 +286,7 @@ class Batch:
                 value.append(0.5)
         add(4, np.array(ends, np.int64), np.array(hashes, np.uint64), np.array(value))
         r, k, v = (np.concatenate(x) for x in zip(*feats, strict=True))
-        order = np.argsort(r, kind="stable")
-        self.places = Places(dense, r[order].astype(np.int64), k[order].astype(np.int64), v[order].astype(float), count[count > 0])
+        self.places = Places(dense, r.astype(np.int64), k.astype(np.int64), v.astype(float), count[count > 0])
 
     def defects(self, tags: np.ndarray) -> np.ndarray:
         """The one defect of each row that the clause coverage amounts to, or None."""

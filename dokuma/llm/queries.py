@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_summary": pair_defects.p1_summary,
         "p2_found": packing.p2_found,
         "p2_fill": packing.p2_fill,
+        "p2_conflicts": packing.p2_conflicts,
         "p3_found": formatting_dups.p3_found,
         "p3_groups": formatting_dups.p3_groups,
         "p4_found": term_counts.p4_found,

@@ -59,6 +59,14 @@ def test_a_third_of_copies_and_conflicting_sources(spark):
         assert sum(i % 3 == 0 for i in own) <= 1 and len({i % 2 for i in own}) == 1
 
 
+def test_fill_is_near_the_bound(spark):
+    folder = "/root/testdata/sf0.01"
+    for r in packing.p2_fill(spark, folder).collect():
+        capacity = {x.item_kind: x.capacity for x in spark.read.parquet(f"{folder}/pack_limits.parquet").collect()}[r.item_kind]
+        assert r.blocks <= -(-r.chars // capacity) * 1.01 + 2, r
+    assert [x.clashes for x in packing.p2_conflicts(spark, folder).collect()] == [0, 0]
+
+
 def test_best_fit_takes_the_tightest_compatible_block():
     shelf = packing.Shelf(10)
     assert [shelf.put(6, 1, 1, 0), shelf.put(7, 2, 1, 0), shelf.put(3, 2, 1, 0), shelf.put(3, 4, 1, 0)] == [[0], [1], [0], [1]]
