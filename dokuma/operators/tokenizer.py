@@ -26,14 +26,13 @@ from dokuma.session import small_batches, spread
 
 SPECIAL_TYPES = frozenset("NUM DATE UNIT URL MENTION HASHTAG EMOJI ACRONYM EMAIL TECH".split())
 ALL_TYPES = SPECIAL_TYPES | frozenset("ROOT SUFFIX FOREIGN PUNCT".split())
-#: Words whose segmentation a worker remembers before it starts anew.
+#: Words whose tokens a worker remembers, about, before it starts anew.
 MEMO = 200_000
 FIELDS = ("token", "token_type", "morph_pos", "suffix_label", "canonical", "root_lemma", "surface_root", "expansion", "parts", "flags")
 TOKEN = T.StructType(
     [T.StructField(f, T.IntegerType() if f == "morph_pos" else T.ArrayType(T.StringType()) if f in ("parts", "flags") else T.StringType()) for f in FIELDS]
 )
 _ARROW = pa.struct([(f, pa.int32() if f == "morph_pos" else pa.list_(pa.string()) if f in ("parts", "flags") else pa.string()) for f in FIELDS])
-_SPACE = ["space"]
 _BLANK = re.compile(r"(\s+)")
 _EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
 _NUMBER = re.compile(NUMBER)
@@ -72,7 +71,35 @@ class Tokenizer:
 
     def __init__(self, lex: Lexicon | None = None):
         self.lex = lex or Lexicon()
-        self.memo: dict[str, list[dict]] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        """Forgets all words; numbers of tokens given so far hold no longer."""
+        self.store: list[tuple] = []  # finished tokens, each told by its place here
+        self.number: dict[tuple, int] = {}
+        self.memo: dict[str, list[int]] = {}
+        self.arrow = pa.array([], _ARROW)
+
+    def _keep(self, tokens: list[dict]) -> list[int]:
+        """The numbers of the finished tokens of one word or span."""
+        out = []
+        for t in finish(tokens):
+            key = (*t[:8], "|".join(t[8] or ()), "|".join(t[9] or ()))
+            at = self.number.get(key)
+            if at is None:
+                at = self.number[key] = len(self.store)
+                self.store.append(t)
+            out.append(at)
+        return out
+
+    def table(self) -> pa.StructArray:
+        """All finished tokens, those new since the last time put on."""
+        new = self.store[len(self.arrow) :]
+        if new:
+            columns = zip(*new, strict=True)
+            more = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
+            self.arrow = pa.concat_arrays([self.arrow, more])
+        return self.arrow
 
     def _parts(self, reading: segment.Reading, word: str, caps: bool) -> list[dict]:
         """Tokens of a reading, cut out of the word as it is written."""
@@ -137,13 +164,11 @@ class Tokenizer:
             out += self._plain(core)
         return out + [token(c, "PUNCT", "punct") for c in trail]
 
-    def word(self, word: str) -> list[tuple]:
-        """The finished tokens of a word between blanks; remembered, so not to be changed."""
+    def word(self, word: str) -> list[int]:
+        """The numbers of the finished tokens of a word between blanks, or of a blank; remembered, so not to be changed."""
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.memo[word] = finish(self._word(word))
+            got = self.memo[word] = self._keep([token(word, "SPACE", "space")] if word.isspace() else self._word(word))
         return got
 
     def _special(self, span: Span) -> list[dict]:
@@ -171,23 +196,31 @@ class Tokenizer:
         full = expansion(text)
         return token(text, "ACRONYM", "acronym", *(["known_acronym"] if full else []), expansion=full)
 
-    def rows(self, text: str | None) -> list[tuple]:
-        """All tokens of a text in NFC, blanks included, as tuples in the order of FIELDS."""
-        out: list[tuple] = []
+    def codes(self, text: str | None) -> list[int]:
+        """The numbers of all tokens of a text in NFC, blanks included."""
+        out: list[int] = []
         text = text or ""
         at, word = 0, self.word
         for span in [*find_spans(text, self.lex), None]:
             for part in _BLANK.split(text[at : span.start if span else None]):
                 if part:
-                    if part.isspace():
-                        out.append((part, "SPACE", 0, None, None, None, None, None, None, _SPACE))
-                    else:
-                        out += word(part)
+                    out += word(part)
             if span:
-                out += finish(self._special(span))
+                out += self._keep(self._special(span))
                 at = span.end
         return out
 
+    @property
+    def full(self) -> bool:
+        """Whether so many words are remembered that it is time to reset."""
+        return len(self.memo) >= MEMO or len(self.store) >= 2 * MEMO
+
+    def rows(self, text: str | None) -> list[tuple]:
+        """All tokens of a text as tuples in the order of FIELDS."""
+        if self.full:
+            self.reset()
+        return [self.store[i] for i in self.codes(text)]
+
     def tokenize(self, text: str | None) -> list[dict]:
         """The same as dictionaries."""
         return [dict(zip(FIELDS, t, strict=True)) for t in self.rows(text)]
@@ -246,21 +279,22 @@ def tokens(docs: DataFrame, lex: Lexicon | None = None, id_col: str = "doc_id",
         tok = cache.get("t")
         if tok is None:
             tok = cache["t"] = Tokenizer(held.value)
-        gc.disable()  # a batch is millions of tuples without cycles, which the collector would walk again and again
+        gc.disable()  # what is remembered holds no cycles, and the collector would walk through it again and again
         try:
             for batch in batches:
-                rows, ends, lost = [], [0], []
+                codes, ends, lost = [], [0], []
+                if tok.full:
+                    tok.reset()
                 for t in batch.column(1).to_pylist():
                     try:
-                        rows += tok.rows(t)
+                        codes += tok.codes(t)
                         lost.append(False)
                     except Exception:
                         if not skip_errors:
                             raise
                         lost.append(True)
-                    ends.append(len(rows))
-                columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
-                flat = pa.StructArray.from_arrays([pa.array(c, k.type) for c, k in zip(columns, _ARROW, strict=True)], fields=list(_ARROW))
+                    ends.append(len(codes))
+                flat = tok.table().take(pa.array(codes, pa.int32()))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(lost, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, "tokens"])
         finally:

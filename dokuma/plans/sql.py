@@ -7,6 +7,7 @@ from dokuma.operators.spans import NUMBER
 from dokuma.operators.tokenizer import SPECIAL_TYPES
 from dokuma.operators.words import COUNTED
 from dokuma.plans.segment_sql import segment_sql
+from dokuma.plans.spans_sql import spans_sql
 
 BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
 
@@ -137,4 +138,4 @@ def oracle_sql() -> dict[str, str]:
         "masked_loss": f"WITH {LOGITS}, e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY seq_id)) AS e FROM logits), p AS (SELECT *, e / sum(e) OVER (PARTITION BY seq_id) AS p FROM e) SELECT round(avg(-ln(p)), 6) AS loss FROM p JOIN embeddings ON vec_id = seq_id AND token_id = label WHERE label <> 0",
         "state_summary": "SELECT p_type AS dtype, count(*) AS tensors, sum(CAST(p_size AS BIGINT)) AS parameters FROM part GROUP BY p_type",
     }
-    return out | {"run_meta": out["encode_meta"], "segment_words": segment_sql(BLANK)}
+    return out | {"run_meta": out["encode_meta"], "segment_words": segment_sql(BLANK), "spans": spans_sql(BLANK)}

@@ -86,10 +86,10 @@ def test_texts_that_fail_are_skipped_only_if_asked(spark, monkeypatch):
     from dokuma.operators import tokenizer
 
     class Breaks(tokenizer.Tokenizer):
-        def rows(self, text):
+        def codes(self, text):
             if text == "kötü":
                 raise ValueError(text)
-            return super().rows(text)
+            return super().codes(text)
 
     monkeypatch.setattr(tokenizer, "Tokenizer", Breaks)
     docs = spark.createDataFrame([(1, "iyi"), (2, "kötü"), (3, "iyi gün")], "doc_id bigint, text string")
