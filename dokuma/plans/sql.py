@@ -12,6 +12,9 @@ from dokuma.plans.spans_sql import spans_sql
 BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
 
 
+_LETTER = "A-Za-zÇçĞğİıÖöŞşÜü"
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -94,6 +97,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT piece, list_transform(range(1, length(lead) + 1), lambda i: substr(lead, i, 1)) AS lead, left(rest, length(rest) - length(trail)) AS core, list_transform(range(1, length(trail) + 1), lambda i: substr(trail, i, 1)) AS trail FROM t""",
         "turkish_bases": f"""WITH {LEX}, w AS (SELECT DISTINCT trim(token) AS word FROM token_rows WHERE trim(token) <> '' AND token_type IN ('ROOT', 'FOREIGN')), k AS (SELECT word, lower(translate(word, 'İI', 'iı')) AS low, lower(translate(word, 'İI', 'iı')) IN (SELECT word FROM lex) AS known, {caps.format(wl)} AS caps, regexp_matches(word, '[çğışöüÇĞİŞÖÜ]') AS tr FROM w)
             SELECT word, CASE WHEN regexp_matches(word, '\\p{{Nd}}') OR upper(word) IN {_in(tables.ACRONYMS)} OR (caps AND NOT tr AND NOT known) THEN false WHEN tr OR low IN {_in(tables.PROPER_NOUNS)} OR known THEN true WHEN length({wl}) >= 2 AND regexp_matches({wl}, '\\p{{Ll}}') AND regexp_matches({wl}, '^.+\\p{{Lu}}') THEN false ELSE regexp_full_match(word, '\\p{{L}}{{0,3}}') AND NOT caps END AS turkish FROM k""",
+        "foreign_apostrophes": rf"""WITH {LEX.replace("<> '')", "<> '' AND NOT starts_with(trim(word), '#'))", 1)},
+            cut AS (SELECT doc_id, string_split(regexp_replace(text, '([{_LETTER}0-9]{{2,}})([''’])([{_LETTER}]{{1,6}})([^\p{{L}}\p{{N}}_]|$)', chr(57344) || '\1' || chr(57345) || '\2' || chr(57346) || '\3' || chr(57347) || '\4', 'g'), chr(57344)) AS own FROM documents WHERE regexp_matches(text, '[''’]')),
+            piece AS (SELECT doc_id, i, string_split(own[i], chr(57345))[1] AS word, string_split(string_split(own[i], chr(57345))[2], chr(57346))[1] AS apo, string_split(string_split(own[i], chr(57346))[2], chr(57347))[1] AS suffix, string_split(own[i], chr(57347))[2] AS rest, own[i] AS own FROM (SELECT doc_id, own, unnest(range(1, len(own) + 1)) AS i FROM cut)),
+            k AS (SELECT *, lower(translate(word, 'İI', 'iı')) AS low, {caps.format(wl)} AS caps, regexp_matches(word, '[çğışöüÇĞİŞÖÜ]') AS tr FROM piece),
+            t AS (SELECT *, i > 1 AND lower(replace(suffix, 'İ', 'i' || chr(775))) IN {_in(tables.APOSTROPHE_SUFFIXES)} AND NOT CASE WHEN regexp_matches(word, '\p{{Nd}}') OR upper(word) IN {_in(tables.ACRONYMS)} OR (caps AND NOT tr AND low NOT IN (SELECT word FROM lex)) THEN false WHEN tr OR low IN {_in(tables.PROPER_NOUNS)} OR low IN (SELECT word FROM lex) THEN true WHEN length({wl}) >= 2 AND regexp_matches({wl}, '\p{{Ll}}') AND regexp_matches({wl}, '^.+\p{{Lu}}') THEN false ELSE regexp_full_match(word, '\p{{L}}{{0,3}}') AND NOT caps END AS parted FROM k)
+            SELECT doc_id, string_agg(CASE WHEN i = 1 THEN own ELSE word || CASE WHEN parted THEN ' ' ELSE apo END || suffix || rest END, '' ORDER BY i) AS text, list(low ORDER BY i) FILTER (parted) AS bases, list(lower(replace(suffix, 'İ', 'i' || chr(775))) ORDER BY i) FILTER (parted) AS suffixes FROM t GROUP BY doc_id HAVING count(*) FILTER (parted) > 0""",
+        "schema_inspect": "SELECT * FROM (VALUES ('documents', 'RAW_TEXT', []::VARCHAR[]), ('sft_examples', 'RAW_TEXT', []), ('encoded_docs', 'RAW_TEXT', []), ('tokenised', 'SKIP_TOKENIZED', ['input_ids'])) AS v(name, status, hit)",
         "token_stats": f"""{TYPED}, c AS (SELECT doc_id, count(*) AS total, count(*) FILTER (token_type = 'ROOT') AS roots, count(*) FILTER (token_type = 'SUFFIX') AS suffixes, count(*) FILTER (token_type = 'FOREIGN') AS foreign_words, count(*) FILTER (token_type = 'PUNCT') AS punct, count(*) FILTER (token_type IN {_in(sorted(SPECIAL_TYPES))}) AS special, count(*) FILTER (token_type IN ('ROOT', 'SUFFIX', 'FOREIGN') AND NOT starts_with(trim(token), '<')) AS pure FROM typed_rows GROUP BY doc_id)
             SELECT * EXCLUDE (pure), round((roots + suffixes + foreign_words + punct + special) / total * 100, 2) AS tr_pct, round(pure / total * 100, 2) AS pure_pct FROM c""",
         "reclassify": f"WITH {ROWS}, f AS (SELECT token, token_type, {flag} AS flag FROM rows_once) SELECT token, CASE WHEN flag IN ('num', 'roman') THEN 'NUM' WHEN flag = 'unit' THEN 'UNIT' WHEN flag = 'month' THEN 'ROOT' ELSE token_type END AS token_type, flag, count(*) AS n FROM f GROUP BY ALL",
