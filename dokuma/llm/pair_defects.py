@@ -37,7 +37,7 @@ from dokuma.sources.tables import table
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs that the field is fitted on at most, those of the smallest hash of example_id.
-FIT_ROWS = 600
+FIT_ROWS = 1000
 #: Clauses of a response that is used for fitting at most.
 LONGEST = 14
 #: Share of the words that makes an echo or a foreign answer the pair's defect.
@@ -407,8 +407,10 @@ def made(rows: list[tuple], own: Batch, r: random.Random) -> list[tuple[tuple, s
             if asked_language(instruction):
                 out.append(((instruction, given, r.choice([o for i, _, o in rows if not asked_language(i)])), "foreign", False))
         if len(stripped(output)) > 30:
-            for _ in range(6 if "```" in output else 2 if LIST_MARK.match(output) else 1):
+            # as often whole as broken off, so that no structure counts as unfinished by itself
+            for _ in range(3 if "```" in output else 2 if LIST_MARK.match(output) else 1):
                 out.append(((instruction, given, cut(r, output)), "unfinished", True))
+                out.append(((instruction, given, output), "answer", False))
             if r.random() < 0.15:
                 bare = unpointed(output)
                 out.append(((instruction, given, bare), "answer", False))
@@ -443,7 +445,7 @@ def fit(rows: list[tuple[str | None, str | None, str | None]], declined: list[st
         ends = np.cumsum(batch.count) - 1
         tags[ends] = [tag[name] for _, name, _ in every]
         names = np.array([name for _, name, _ in every])
-        weight = np.where(names == "answer", 2.0, 1.0)
+        weight = np.where(names == "answer", 1.2, 1.0)
         chain = Chain(DENSE, BINS, len(TAGS)).fit(batch.places, tags, weight, epochs=epochs)
     return chain
 
