@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.llm._codes import Words, blocks, mix, powers
+from dokuma.llm._codes import Words, blocks, mix
 from dokuma.llm._filters import MOST_ENTRIES, BitFilter, maybe
 from dokuma.session import materialise, small_batches, spread
 from dokuma.sources.tables import table
@@ -103,15 +103,16 @@ def signatures(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _digests(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each text's word sequence."""
-    up, down = powers(len(w.hash) + 1)
+    """Two 64-bit digests of each text's word sequence. Each word is mixed with its place: sums weighted by powers
+    modulo 2**64 are the same for different texts that can be built of two words."""
+    a, b = w.first[:-1], w.first[1:]
+    place = (np.arange(len(w.hash)) - w.first[w.doc]).astype(np.uint64)
     out = []
     with np.errstate(over="ignore"):
         for salt in (1, 2):
-            h = mix(w.hash + np.uint64(salt))
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-            a, b = w.first[:-1], w.first[1:]
-            out.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+            h = mix(w.hash + mix(place * np.uint64(2) + np.uint64(salt)))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
+            out.append(mix(sums[b] - sums[a] + (b - a).astype(np.uint64)))
     return out[0], out[1]
 
 

@@ -89,6 +89,15 @@ def test_texts_that_repeat_a_word(spark):
         assert {(x.eval_doc, x.train_doc): x.edits for x in split_overlap.overlaps(docs, most).collect()} == want
 
 
+def test_texts_built_to_share_a_digest(spark):
+    sign = [bin(i).count("1") % 2 for i in range(1024)]  # the two orders have equal sums weighted by powers of any odd number modulo 2**64
+    text, other = ["ab"[x] for x in sign], ["ba"[x] for x in sign]
+    near = ["yeni" + str(i) if i % 50 == 49 else x for i, x in enumerate(text)]
+    assert slow_edits(text, other) > split_overlap.budget(1024) >= slow_edits(text, near) == 20
+    rows = [(1, " ".join(other), "train", ""), (2, " ".join(text), "val", ""), (3, " ".join(near), "train", "")]
+    assert {(x.eval_doc, x.train_doc): x.edits for x in split_overlap.overlaps(spark.createDataFrame(rows, DOCS)).collect()} == {(2, 3): 20}
+
+
 def test_stretches_hold_a_shingle():
     n = np.arange(split_overlap.MIN_WORDS, 200_000)
     assert (n // (split_overlap.widest(n) + 1)).min() >= split_overlap.Q
